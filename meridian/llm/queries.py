@@ -5,11 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meridian.llm.common import table
 from meridian.llm.packing import pack
+from meridian.llm.quality_rules import quality_rules
 from meridian.llm.sharding import shard_uniform
 from meridian.llm.token_counts import token_counts
+from meridian.llm.toxicity import score_toxicity
+from meridian.llm.url_filters import judge_urls
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls whose path number is a labelled document; bad: of low quality or toxic."""
+    pages = table(spark, sf_dir, "pages").select("url", F.expr("try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)', 1) AS BIGINT)").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return pages.join(labels, "doc_id")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), labelled_urls(spark, sf_dir), URL_RULES)
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scores = score_toxicity(table(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +65,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": op1_url_filters,
+        "op2_quality_rules": op2_quality_rules,
+        "op3_toxicity": op3_toxicity,
         "op8_token_counts": op8_token_counts,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
