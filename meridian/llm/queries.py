@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import table
 from meridian.llm.decontamination import contaminated
+from meridian.llm.html_text import main_text
 from meridian.llm.packing import pack
 from meridian.llm.quality_rules import quality_rules
 from meridian.llm.sharding import shard_uniform
@@ -48,6 +49,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": op1_url_filters,
         "op2_quality_rules": op2_quality_rules,
         "op3_toxicity": op3_toxicity,
+        "op4_html_text": op4_html_text,
         "op6_decontamination": op6_decontamination,
         "op8_token_counts": op8_token_counts,
         "op9_packing": op9_packing,
