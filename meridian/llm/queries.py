@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import table
 from meridian.llm.decontamination import contaminated
 from meridian.llm.html_text import main_text
+from meridian.llm.jaccard_join import near_duplicates
 from meridian.llm.packing import pack
 from meridian.llm.quality_rules import quality_rules
 from meridian.llm.sharding import shard_uniform
@@ -57,6 +58,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_html_text": op4_html_text,
         "op6_decontamination": op6_decontamination,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_token_counts": op8_token_counts,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
