@@ -14,6 +14,7 @@ from meridian.llm.jaccard_join import near_duplicates
 from meridian.llm.packing import pack
 from meridian.llm.quality_rules import quality_rules
 from meridian.llm.sharding import shard_uniform
+from meridian.llm.substring_dedup import remove_repeats
 from meridian.llm.token_counts import token_counts
 from meridian.llm.toxicity import score_toxicity
 from meridian.llm.url_filters import judge_urls
@@ -54,6 +55,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_toxicity": op3_toxicity,
         "op4_html_text": op4_html_text,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_token_counts": op8_token_counts,
