@@ -10,12 +10,14 @@ so it counts twice. `allocation` picks segments and neighbourhoods per band by e
 takes part in its own band (with partners of its band and the next) and in the band below.
 
 Scan: signatures of all sets, packed by signature range into binary rows. Index: a task per range
-sorts its signatures and keeps the lists of sets that share one, equal lists once. Candidates, first
-round: each list's least member with all others; exact verification; components. Second round: the
-pairs of a list that are still in different components. A list with many components (a signature of
-a common passage) is left out for all sets whose other segments still number more than H, which by
-the same argument loses no link. Equal sets share one fingerprint and count as one. Verification
-loads each text once per block of pairs; blocks of a set with many partners are split.
+sorts its signatures and keeps the lists of sets that share one, equal lists once. First round: each
+set with the list head it shares most with; exact verification; components. A list within one
+component is settled. Second round, for the open lists: the argument above holds for any choice of
+segments, so a set whose other segments still number more than H has no link to lose there and
+leaves, and a pair must share more of them than the reserve of either set (a count filter). What
+remains is verified; so lists of a common passage cost little and lose no link. Equal sets share one
+fingerprint and count as one. Verification loads each text once per block of pairs; blocks of a set
+with many partners are split.
 
 Sets whose contributions fall short of H + 1 (so unlikely that tests must force it) are compared by
 single tokens instead. Null and empty texts have empty sets and are linked with nothing; a text with
@@ -40,8 +42,6 @@ from meridian.llm.components import components
 
 #: Sets up to this size have each token as a segment of its own.
 TINY = 32
-#: A list with more components than this is a common one.
-COMMON = 40
 #: Shares of a band's segments that may have one-deletion neighbourhoods. In rows alone none would be
 #: cheapest; the least share keeps a reserve for sets with common segments.
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4)
@@ -182,7 +182,9 @@ def scan(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                     continue
                 used, local = np.unique(who[lo:hi] >> 1, return_inverse=True)
                 packed = (local.astype(np.uint32) << 1) | (who[lo:hi] & 1)
-                rows.append((b, np.array(mine, np.int64).tobytes(), fps[used].tobytes(), size[used].tobytes(), room[used].tobytes(), sig[lo:hi].tobytes(), packed.astype(np.uint32).tobytes()))
+                # the range holds the upper bits: of the rest 40 are kept, a collision only adds a candidate
+                low = np.ascontiguousarray(sig[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :5]
+                rows.append((b, np.array(mine, np.int64).tobytes(), fps[used].tobytes(), size[used].tobytes(), room[used].tobytes(), low.tobytes(), packed.astype(np.uint16).tobytes()))
             cols = list(zip(*rows)) if rows else [()] * 7
             for x in (facts, sets, sizes, spare, sigs, at):
                 x.clear()
@@ -209,7 +211,7 @@ def scan(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 sizes.append(len(s))
                 spare.append(tuple(room))
                 facts[-1][3] = int(min(room) < 0)
-                if held >= FLUSH:
+                if held >= FLUSH or len(sets) >= 32_000:
                     yield flush()
                     held = 0
         yield flush()
@@ -228,11 +230,14 @@ def index(packed: DataFrame) -> DataFrame:
             return [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
 
         facts = np.concatenate(column("docs", np.int64)).reshape(-1, 4)
-        fps, sizes, sigs, at = column("fps", np.int64), column("sizes", np.int32), column("sigs", np.uint64), column("at", np.uint32)
+        fps, sizes, at = column("fps", np.int64), column("sizes", np.int32), column("at", np.uint16)
         first = np.cumsum([0] + [len(x) for x in fps])
-        sig = np.concatenate(sigs)
+        low = np.concatenate(column("sigs", np.uint8)).reshape(-1, 5)
+        sig = np.zeros((len(low), 8), np.uint8)
+        sig[:, :5] = low
+        sig = sig.view(np.uint64).ravel()
         below = (np.concatenate(at) & 1).astype(bool)
-        who = np.concatenate([(a >> 1) + f for a, f in zip(at, first)]).astype(np.int64)
+        who = np.concatenate([(a >> 1).astype(np.int64) + f for a, f in zip(at, first)])
         fp_all, size_all, spare_all = np.concatenate(fps), np.concatenate(sizes), np.concatenate(column("spare", np.int32)).reshape(-1, 2)
         known, back = np.unique(fp_all, return_inverse=True)
         one = np.zeros(len(known), np.int64)
@@ -245,7 +250,8 @@ def index(packed: DataFrame) -> DataFrame:
         sig, who, below = sig[fresh], who[fresh], below[fresh]
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, np.int64)
         lengths = np.diff(np.r_[starts, len(sig)])
-        shared = lengths > 1
+        # every pair has the scheme of its smaller set's band, so a list without such a set is of no use
+        shared = (lengths > 1) & (np.add.reduceat(~below, starts) > 0) if len(sig) else lengths > 1
         lists: dict[str, list] = {k: [] for k in ("list", "weight", "members", "sizes", "below", "spare")}
         if shared.any():
             with np.errstate(over="ignore"):
@@ -318,7 +324,7 @@ def weak_pairs(facts: DataFrame, docs: DataFrame, n: int, fits) -> DataFrame:
     return both.select(F.least("fp_u", "fp_v").alias("u"), F.greatest("fp_u", "fp_v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id) for every document; see the module's text."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
@@ -329,26 +335,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     lists = materialize(lists, "distinct-lists")
     fits = F.expr(f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v)")
 
+    # first round: each set with the list heads it shares most signatures with
+    head = F.array_position("members", F.array_min("members")).cast("int")
     member = F.explode(F.arrays_zip(F.col("members").alias("v"), F.col("sizes").alias("size_v"))).alias("x")
-    star = lists.select(F.array_min("members").alias("u"), F.element_at("sizes", F.array_position("members", F.array_min("members")).cast("int")).alias("size_u"), member)
-    star = star.select("u", "size_u", "x.v", "x.size_v").where("u <> v").where(fits).select("u", "v").distinct()
-    star = materialize(star, "star-pairs")
+    star = lists.select("weight", F.element_at("members", head).alias("u"), F.element_at("sizes", head).alias("size_u"), member)
+    star = star.select("weight", "u", "size_u", "x.v", "x.size_v").where("u <> v").where(fits).groupBy("u", "v").agg(F.sum("weight").alias("weight"))
+    star = materialize(star.groupBy("v").agg(F.max_by("u", F.struct("weight", "u")).alias("u")).select("u", "v"), "star-pairs")
     edges = materialize(verify(star, reps, docs, n, percent, star.count()), "links")
     roots = components(edges)
 
-    # second round: pairs of a list in different components
-    rows = lists.select("list", "weight", F.size("members").alias("members"), F.posexplode(F.arrays_zip(F.col("members").alias("fp"), F.col("sizes").alias("size"), F.col("below").alias("below"), F.col("spare").alias("spare"))).alias("pos", "x"))
+    # second round: pairs in different components that share enough signatures of open lists
+    rows = lists.select("list", "weight", F.explode(F.arrays_zip(F.col("members").alias("fp"), F.col("sizes").alias("size"), F.col("below").alias("below"), F.col("spare").alias("spare"))).alias("x"))
     rows = rows.select("list", "weight", "x.fp", "x.size", "x.below", "x.spare").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rows = materialize(rows, "members")
-    per_list = rows.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.approx_count_distinct("root").alias("roots")).where("lo <> hi")
-    open_ = materialize(rows.join(per_list.select("list", "roots"), "list"), "open-lists")
-    hot = open_.where(F.col("roots") > common)
-    heavy = hot.groupBy("fp", "below").agg(F.sum("weight").alias("lost"), F.first("spare").alias("spare")).where("lost > spare").select("fp", "below")
-    left = open_.where(F.col("roots") <= common).unionByName(hot.join(heavy, ["fp", "below"], "left_semi"))
-    side = lambda s: left.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "size", "root")))
-    cross = side("u").join(side("v"), "list").where("fp_u < fp_v AND root_u <> root_v").where(fits)
-    cross = cross.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).distinct()
-    cross = cross.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
+    open_ = rows.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
+    left = materialize(rows.join(open_, "list"), "open-lists")
+    heavy = left.groupBy("fp", "below").agg(F.sum("weight").alias("lost"), F.first("spare").alias("spare")).where("lost > spare").select("fp", "below")
+    left = materialize(left.join(heavy, ["fp", "below"], "left_semi"), "heavy-lists")
+    side = lambda s: left.select("list", "weight", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "size", "root", "below", "spare")))
+    cross = side("u").where("NOT below_u").join(side("v").drop("weight"), "list").where(fits)
+    cross = cross.where("root_u <> root_v AND IF(below_v, size_u < size_v, fp_u < fp_v)")
+    cross = cross.groupBy("fp_u", "fp_v").agg(F.sum("weight").alias("shared"), F.greatest(F.max("spare_u"), F.max("spare_v")).alias("spare")).where("shared > spare")
+    cross = cross.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"))
     cross = materialize(cross.unionByName(weak_pairs(facts, docs, n, fits)), "cross-pairs")
     if rows_ := cross.count():
         more = materialize(verify(cross, reps, docs, n, percent, rows_), "more-links")
