@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridian.plans import market_queries  # noqa: F401
+from meridian.plans.registry import ORACLES, QUERIES, oracle
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: oracle(sql) for k, sql in ORACLES.items()}
