@@ -15,7 +15,7 @@ set with the list head it shares most with; exact verification; components. A li
 component is settled. Second round, for the open lists: the argument above holds for any choice of
 segments, so a set whose other segments still number more than H has no link to lose there and
 leaves, and a pair must share more of them than the reserve of either set (a count filter). What
-remains is verified; so lists of a common passage cost little and lose no link. Equal sets share one
+remains is compared exactly in blocks that emit links only. Equal sets share one
 fingerprint and count as one. Verification loads each text once per block of pairs; blocks of a set
 with many partners are split.
 
@@ -47,6 +47,8 @@ TINY = 32
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4)
 #: Signatures that a scan holds before it sends them on.
 FLUSH = 400_000
+#: Sets of one head in a block of the second round.
+BLOCK_SETS = 2000
 #: Stands for a null id.
 NULL_ID = -(1 << 63)
 #: More texts than this are joined by a shuffle instead of a broadcast of their ids.
@@ -304,6 +306,73 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     return texts.join(wanted, "fp").groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(check, "u bigint, v bigint")
 
 
+def settle(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components among sets of open lists; `rows` are memberships.
+
+    Sets with one head are dealt to a block, in parts if they are many. A block gets the lists of its
+    sets whole and each text in them once; it counts the signatures that its sets share with others
+    in numpy, and compares exactly the pairs that share enough and are not connected yet.
+    """
+    many = rows.where("NOT below").groupBy("head").agg(F.ceil(F.countDistinct("fp") / BLOCK_SETS).cast("int").alias("parts"))
+    deal = F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("fp"), F.col("parts"))), F.lit(1 << 30))
+    homes = materialize(rows.where("NOT below").join(many, "head").select("list", "fp", deal.alias("block")), "homes")
+    seen = homes.select("block", "list").distinct()
+    mine = homes.select("block", F.col("fp").alias("_fp")).distinct()
+    parts = rows.select("list", "weight", "fp", "size", "below", "spare", "root").join(seen, "list")
+    parts = materialize(parts.join(mine.withColumnRenamed("block", "_block"), (F.col("block") == F.col("_block")) & (F.col("fp") == F.col("_fp")), "left").withColumn("mine", F.col("_fp").isNotNull() & ~F.col("below")).drop("_block", "_fp"), "parts")
+    wanted = materialize(parts.select("block", "fp").distinct(), "wanted")
+    chosen = materialize(wanted.select("fp").distinct().join(reps, "fp"), "chosen")
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    texts = docs.join(chosen, "doc_id").select("fp", "text").join(wanted, "fp").select("block", "fp", "text")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        hashes, sets, out = WordHashes(), {}, []
+        for fp, text in zip(left["fp"].tolist(), left["text"]):
+            s = shingle_set(text, hashes, n)
+            if fingerprint(s) == fp:
+                sets[fp] = s
+        parent = {x: x for x in right["root"].unique().tolist()}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        key, who = np.unique(np.stack([right["fp"].to_numpy(), right["below"].to_numpy().astype(np.int64)], 1), axis=0, return_inverse=True)
+        who = who.ravel()
+        first = np.zeros(len(key), np.int64)
+        first[who] = np.arange(len(right))
+        facts = right.iloc[first]
+        size, spare, root, below, own = (facts[c].to_numpy() for c in ("size", "spare", "root", "below", "mine"))
+        fp, weight = key[:, 0], right["weight"].to_numpy()
+        _, lists = np.unique(right["list"].to_numpy(), return_inverse=True)
+        by_list = np.argsort(lists, kind="stable")
+        start = np.searchsorted(lists[by_list], np.arange(lists.max() + 2))
+        by_set = np.argsort(who, kind="stable")
+        of_set = np.searchsorted(who[by_set], np.arange(len(key) + 1))
+        need = np.array([needs(int(x), bool(y), percent) for x, y in zip(size, below)])
+        for u in np.flatnonzero(own).tolist():
+            rows_u = by_set[of_set[u] : of_set[u + 1]]
+            spans = [by_list[start[k] : start[k + 1]] for k in lists[rows_u].tolist()]
+            together = np.concatenate(spans)
+            shared = np.bincount(who[together], np.repeat(weight[rows_u], [len(x) for x in spans]), len(key))
+            most = (100 - percent) * (size[u] + size) // (100 + percent)  # tokens in which a linked pair may differ
+            ok = (shared > spare[u] + need[u] - 1 - most) & (shared > spare + need - 1 - most) & (root != root[u])
+            ok &= np.where(below, size > size[u], fp > fp[u]) & (100 * np.minimum(size, size[u]) >= percent * np.maximum(size, size[u]))
+            for v in np.flatnonzero(ok)[np.argsort(-shared[ok], kind="stable")].tolist():
+                a, b = find(int(root[u])), find(int(root[v]))
+                if a != b:
+                    x, y = sets[int(fp[u])], sets[int(fp[v])]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        parent[a] = b
+                        out.append((int(fp[u]), int(fp[v])))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(run, "u bigint, v bigint")
+
+
 def weak_pairs(facts: DataFrame, docs: DataFrame, n: int, fits) -> DataFrame:
     """Pairs that share a token and have a weak set in them; nearly always there is no such set."""
     weak = facts.where("weak = 1").select("fp").distinct()
@@ -335,31 +404,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     lists = materialize(lists, "distinct-lists")
     fits = F.expr(f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v)")
 
-    # first round: each set with the list heads it shares most signatures with
-    head = F.array_position("members", F.array_min("members")).cast("int")
-    member = F.explode(F.arrays_zip(F.col("members").alias("v"), F.col("sizes").alias("size_v"))).alias("x")
-    star = lists.select("weight", F.element_at("members", head).alias("u"), F.element_at("sizes", head).alias("size_u"), member)
-    star = star.select("weight", "u", "size_u", "x.v", "x.size_v").where("u <> v").where(fits).groupBy("u", "v").agg(F.sum("weight").alias("weight"))
-    star = materialize(star.groupBy("v").agg(F.max_by("u", F.struct("weight", "u")).alias("u")).select("u", "v"), "star-pairs")
+    # first round: each set with the head of its lists that it shares most signatures with; the head
+    # of a list is the member with the most and longest lists, such as the source of many near copies
+    member = F.explode(F.arrays_zip(F.col("members").alias("fp"), F.col("sizes").alias("size"), F.col("below").alias("below"), F.col("spare").alias("spare"))).alias("x")
+    rows = materialize(lists.select("list", "weight", F.size("members").alias("length"), member).select("list", "weight", "length", "x.fp", "x.size", "x.below", "x.spare"), "members")
+    rank = rows.groupBy("fp").agg(F.sum(F.col("weight") * F.col("length")).alias("rank"))
+    heads = rows.join(rank, "fp").groupBy("list").agg(F.max_by(F.struct(F.col("fp").alias("u"), F.col("size").alias("size_u")), F.struct("rank", "fp")).alias("h")).select("list", "h.u", "h.size_u")
+    star = rows.select("list", "weight", F.col("fp").alias("v"), F.col("size").alias("size_v")).join(heads, "list").where("u <> v").where(fits)
+    star = star.groupBy("u", "v").agg(F.sum("weight").alias("weight")).groupBy("v").agg(F.max_by("u", F.struct("weight", "u")).alias("u")).select("u", "v")
+    star = materialize(star, "star-pairs")
     edges = materialize(verify(star, reps, docs, n, percent, star.count()), "links")
     roots = components(edges)
 
     # second round: pairs in different components that share enough signatures of open lists
-    rows = lists.select("list", "weight", F.explode(F.arrays_zip(F.col("members").alias("fp"), F.col("sizes").alias("size"), F.col("below").alias("below"), F.col("spare").alias("spare"))).alias("x"))
-    rows = rows.select("list", "weight", "x.fp", "x.size", "x.below", "x.spare").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rows = materialize(rows, "members")
+    rows = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = materialize(rows.join(star.select(F.col("v").alias("fp"), F.col("u").alias("head")), "fp", "left").withColumn("head", F.coalesce("head", "fp")), "rooted")
     open_ = rows.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
     left = materialize(rows.join(open_, "list"), "open-lists")
     heavy = left.groupBy("fp", "below").agg(F.sum("weight").alias("lost"), F.first("spare").alias("spare")).where("lost > spare").select("fp", "below")
     left = materialize(left.join(heavy, ["fp", "below"], "left_semi"), "heavy-lists")
-    side = lambda s: left.select("list", "weight", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "size", "root", "below", "spare")))
-    cross = side("u").where("NOT below_u").join(side("v").drop("weight"), "list").where(fits)
-    cross = cross.where("root_u <> root_v AND IF(below_v, size_u < size_v, fp_u < fp_v)")
-    cross = cross.groupBy("fp_u", "fp_v").agg(F.sum("weight").alias("shared"), F.greatest(F.max("spare_u"), F.max("spare_v")).alias("spare")).where("shared > spare")
-    cross = cross.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"))
-    cross = materialize(cross.unionByName(weak_pairs(facts, docs, n, fits)), "cross-pairs")
-    if rows_ := cross.count():
-        more = materialize(verify(cross, reps, docs, n, percent, rows_), "more-links")
+    more = settle(left, reps, docs, n, percent)
+    weak = materialize(weak_pairs(facts, docs, n, fits), "weak-pairs")
+    if n_weak := weak.count():
+        more = more.unionByName(verify(weak, reps, docs, n, percent, n_weak))
+    more = materialize(more, "more-links")
+    if not more.isEmpty():
         roots = components(edges.unionByName(more))
     named = facts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "named")
