@@ -196,16 +196,16 @@ def cut_out(source: DataFrame, width: int, seed: int | None) -> DataFrame:
 
 
 def seeds_of(passages: DataFrame, width: int, seed: int) -> DataFrame:
-    """Distinct (hash, shard) of the seeds of passages."""
+    """Seeds (doc_id, fp, start, hash) of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for shard, item in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for *key, item in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 g = np.unique(seed_places(known.of(ascii_words(item.as_py())), width, seed)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), shard, np.int32))], names=["hash", "shard"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(g), k, np.int64)) for k in key), pa.array(g.view(np.int64))], names=["doc_id", "fp", "start", "hash"])
 
-    return passages.select("shard", "text").mapInArrow(run, "hash bigint, shard int").distinct()
+    return passages.select("doc_id", "fp", "start", "text").mapInArrow(run, "doc_id bigint, fp bigint, start bigint, hash bigint")
 
 
 def common_length(a: str, i: int, b: str, j: int, step: int) -> int:
@@ -252,16 +252,23 @@ class PassageAutomaton:
             self.chars.append(chars)
         automaton.make_automaton()
         self.automaton = automaton
+        for places in self.places:  # long passages first: they settle most of what they touch
+            places.sort(key=lambda x: (-len(self.chars[x[0]]), self.owner[x[0]]))
 
     def find(self, doc: int, text: str) -> list[tuple[int, int]]:
         """Word intervals of a text that passages of smaller documents cover."""
         get = self.code.get
         chars = "".join([get(w, "\x01") for w in ascii_words(text)])
         done: dict[tuple[int, int], int] = {}
-        out = []
+        out: list[tuple[int, int]] = []
+        around = self.width - self.seed
+        lo = hi = 0  # the last interval that was found
         for end, k in self.automaton.iter(chars):
             i = end - self.seed + 1
+            first, last = max(0, i - around), min(len(chars), end + 1 + around)  # all windows with this seed
             for passage, p in self.places[k]:
+                if lo <= first and last <= hi:
+                    break
                 if self.owner[passage] >= doc or done.get((passage, i - p), -1) > i:
                     continue
                 other = self.chars[passage]
@@ -269,7 +276,8 @@ class PassageAutomaton:
                 after = common_length(chars, i + self.seed, other, p + self.seed, 1)
                 done[passage, i - p] = i + self.seed + after
                 if before + self.seed + after >= self.width:
-                    out.append((i - before, i + self.seed + after))
+                    lo, hi = i - before, i + self.seed + after
+                    out.append((lo, hi))
         return out
 
 
@@ -289,11 +297,19 @@ def repeats(docs: DataFrame, width: int, seed: int) -> DataFrame:
     owned = materialize(owned.groupBy("doc_id", "fp").agg(F.collect_list("places").alias("places")), "owned")
     passages = regions.join(owned, ["doc_id", "fp"]).select("doc_id", "fp", "start", "text", "places")
     passages = materialize(cut_out(passages, width, None), "passages")
+    # passages of near copies go together: by the smallest document that has one of their seeds
+    place = ["doc_id", "fp", "start"]
+    their = materialize(seeds_of(passages, width, seed), "passage-seeds")
+    origin = their.join(seeds.groupBy("hash").agg(F.min("doc_id").alias("origin")), "hash").groupBy(*place).agg(F.min("origin").alias("origin"))
+    passages = materialize(passages.join(origin, place).select(*place, "origin", "text", "n_words"), "placed")
     words = passages.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     shards = max(tasks, -(-words // SHARD_WORDS))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("doc_id", "fp"), F.lit(shards)).cast("int"))
+    large = passages.groupBy("origin").agg(F.ceil(F.sum("n_words") / SHARD_WORDS).cast("int").alias("split")).where("split > 1")
+    deal = F.pmod(F.xxhash64("origin", F.pmod(F.xxhash64("doc_id", "fp"), F.coalesce("split", F.lit(1)))), F.lit(shards)).cast("int")
+    passages = materialize(passages.join(large, "origin", "left").select(*place, deal.alias("shard"), "text"), "sharded")
 
-    shards_of = seeds.select("doc_id", "fp", "hash").join(seeds_of(passages, width, seed), "hash").select("doc_id", "fp", "shard").distinct()
+    known = their.join(passages.select(*place, "shard"), place).select("hash", "shard").distinct()
+    shards_of = materialize(seeds.select("doc_id", "fp", "hash").join(known, "hash").select("doc_id", "fp", "shard").distinct(), "routes")
     routed = regions.join(shards_of, ["doc_id", "fp"]).select("shard", "doc_id", "fp", "start", "text")
     load = regions.select("doc_id", "fp", F.octet_length("text").alias("bytes")).join(shards_of, ["doc_id", "fp"]).groupBy("shard").agg(F.ceil(F.sum("bytes") / STREAM_BYTES).cast("int").alias("parts"))
     load = materialize(load, "load")
