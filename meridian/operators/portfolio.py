@@ -89,7 +89,8 @@ def performance(returns: DataFrame, keys: list[str], value: str = "ret", moved:
     )
     year = F.sqrt(F.lit(252.0))
     return agg.select(
-        *keys, "trading_days", "total_return",
+        *keys, "trading_days", "total_return", F.ln(F.col("total_return") + 1).alias("log_growth"),
+        (F.ln(F.col("total_return") + 1) * 252 / F.col("trading_days")).alias("annualized_log_growth"),
         (F.pow(F.col("total_return") + 1, F.lit(252.0) / F.col("trading_days")) - 1).alias("annualized_return"),
         (F.col("_std") * year).alias("annualized_volatility"),
         F.when(F.col("_std") > 1e-12, F.try_divide("_mean", "_std") * year).alias("sharpe"),
