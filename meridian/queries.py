@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridian.plans import aggregate_queries, market_queries, model_queries, source_queries  # noqa: F401
+from meridian.plans import aggregate_queries, market_queries, model_queries, source_queries, text_queries  # noqa: F401
 from meridian.plans.registry import ORACLES, QUERIES, oracle
 
 
