@@ -11,8 +11,9 @@ document with a smaller id is removed; windows are judged on the input.
 3. Automata. Passages are dealt to shards of bounded size by owner. A shard's seeds, written with
    one character per distinct word, become an Aho-Corasick automaton (pyahocorasick).
 4. Stream. A document's regions go to the shards that hold one of its seeds, shards with much to
-   read are split. Each seed found is extended word by word in both directions inside its passage;
-   `width` words or more of another, smaller document are marked.
+   read are split. Where the automaton finds a seed, the confirmed window around it tells in which
+   of the seed's passages to compare word by word, in both directions; `width` words or more of a
+   smaller document are marked.
 5. All documents are read once more and the marked words left out.
 
 Work between the steps is written to the checkpoint folder. Null and empty texts have no words.
@@ -231,9 +232,8 @@ class PassageAutomaton:
         import ahocorasick
 
         self.width, self.seed, self.code = width, seed, {}
-        self.owner, self.chars, self.places = [], [], []
+        self.owner, self.chars, windows = [], [], []
         known, automaton = WordHashes(), ahocorasick.Automaton()
-        found: dict[str, int] = {}
         for owner, text in passages:
             words = ascii_words(text)
             for w in words:
@@ -243,41 +243,46 @@ class PassageAutomaton:
             chars = "".join(map(self.code.__getitem__, words))
             for p in seed_places(known.of(words), width, seed)[0].tolist():
                 phrase = chars[p : p + seed]
-                k = found.setdefault(phrase, len(found))
-                if k == len(self.places):
-                    self.places.append([])
-                    automaton.add_word(phrase, k)
-                self.places[k].append((len(self.owner), p))
+                if phrase not in automaton:
+                    automaton.add_word(phrase, True)
+            w = window_hashes(known.of(words), width)
+            windows.append((w, np.full(len(w), len(self.owner)), np.arange(len(w))))
             self.owner.append(owner)
             self.chars.append(chars)
         automaton.make_automaton()
-        self.automaton = automaton
-        for places in self.places:  # long passages first: they settle most of what they touch
-            places.sort(key=lambda x: (-len(self.chars[x[0]]), self.owner[x[0]]))
+        self.automaton, self.known = automaton, known
+        # the passage and place of each confirmed window: the one of a seed's passages to extend in
+        self.windows, passage, place = (np.concatenate(x) for x in zip(*windows))
+        order = np.argsort(self.windows, kind="stable")
+        self.windows, self.passage, self.place = self.windows[order], passage[order], place[order]
+        self.owners = np.array(self.owner, np.int64)[self.passage]
 
     def find(self, doc: int, text: str) -> list[tuple[int, int]]:
         """Word intervals of a text that passages of smaller documents cover."""
+        words = ascii_words(text)
+        w = window_hashes(self.known.of(words), self.width)
+        at = np.minimum(np.searchsorted(self.windows, w), len(self.windows) - 1)
+        likely = (self.windows[at] == w) & (self.owners[at] < doc)
+        if not likely.any():
+            return []
         get = self.code.get
-        chars = "".join([get(w, "\x01") for w in ascii_words(text)])
-        done: dict[tuple[int, int], int] = {}
+        chars = "".join([get(x, "\x01") for x in words])
+        starts = np.flatnonzero(likely)
         out: list[tuple[int, int]] = []
-        around = self.width - self.seed
-        lo = hi = 0  # the last interval that was found
-        for end, k in self.automaton.iter(chars):
+        done = 0  # windows that start before are settled
+        for end, _ in self.automaton.iter(chars):
             i = end - self.seed + 1
-            first, last = max(0, i - around), min(len(chars), end + 1 + around)  # all windows with this seed
-            for passage, p in self.places[k]:
-                if lo <= first and last <= hi:
-                    break
-                if self.owner[passage] >= doc or done.get((passage, i - p), -1) > i:
-                    continue
-                other = self.chars[passage]
-                before = common_length(chars, i, other, p, -1)
-                after = common_length(chars, i + self.seed, other, p + self.seed, 1)
-                done[passage, i - p] = i + self.seed + after
-                if before + self.seed + after >= self.width:
-                    lo, hi = i - before, i + self.seed + after
-                    out.append((lo, hi))
+            k = int(np.searchsorted(starts, max(done, i - (self.width - self.seed))))
+            while k < len(starts) and starts[k] <= i:
+                s = int(starts[k])
+                other, o = self.chars[self.passage[at[s]]], int(self.place[at[s]])
+                after = common_length(chars, s, other, o, 1)
+                if after >= self.width:
+                    out.append((s - common_length(chars, s, other, o, -1), s + after))
+                    done = s + after - self.width + 1
+                else:
+                    done = s + 1
+                k = int(np.searchsorted(starts, done))
         return out
 
 
@@ -293,7 +298,7 @@ def repeats(docs: DataFrame, width: int, seed: int) -> DataFrame:
     regions = whole.join(marked, ["doc_id", "fp"]).select("doc_id", "fp", "start", "text", "places")
     regions = materialize(cut_out(regions, width, seed), "regions")
 
-    owned = recurring(packed_hashes(regions.select("doc_id", "fp", "start", "text"), 2 * tasks, width, None), True)
+    owned = recurring(packed_hashes(regions.select("doc_id", "fp", "start", "text"), max(1, tasks // 2), width, None), True)
     owned = materialize(owned.groupBy("doc_id", "fp").agg(F.collect_list("places").alias("places")), "owned")
     passages = regions.join(owned, ["doc_id", "fp"]).select("doc_id", "fp", "start", "text", "places")
     passages = materialize(cut_out(passages, width, None), "passages")
