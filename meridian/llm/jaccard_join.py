@@ -34,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.llm.common import WordHashes, ascii_words, materialize, mix64, tasks_for, window_hashes
@@ -47,8 +47,8 @@ TINY = 32
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4)
 #: Signatures that a scan holds before it sends them on.
 FLUSH = 400_000
-#: Sets of one head in a block of the second round.
-BLOCK_SETS = 2000
+#: List memberships in a block of the second round, about.
+BLOCK_ROWS = 50_000
 #: Stands for a null id.
 NULL_ID = -(1 << 63)
 #: More texts than this are joined by a shuffle instead of a broadcast of their ids.
@@ -313,13 +313,13 @@ def settle(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: i
     sets whole and each text in them once; it counts the signatures that its sets share with others
     in numpy, and compares exactly the pairs that share enough and are not connected yet.
     """
-    many = rows.where("NOT below").groupBy("head").agg(F.ceil(F.countDistinct("fp") / BLOCK_SETS).cast("int").alias("parts"))
-    deal = F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("fp"), F.col("parts"))), F.lit(1 << 30))
-    homes = materialize(rows.where("NOT below").join(many, "head").select("list", "fp", deal.alias("block")), "homes")
-    seen = homes.select("block", "list").distinct()
-    mine = homes.select("block", F.col("fp").alias("_fp")).distinct()
-    parts = rows.select("list", "weight", "fp", "size", "below", "spare", "root").join(seen, "list")
-    parts = materialize(parts.join(mine.withColumnRenamed("block", "_block"), (F.col("block") == F.col("_block")) & (F.col("fp") == F.col("_fp")), "left").withColumn("mine", F.col("_fp").isNotNull() & ~F.col("below")).drop("_block", "_fp"), "parts")
+    blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    many = rows.where("NOT below").groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    deal = F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("fp"), F.col("parts"))), F.lit(blocks)).cast("int")
+    homes = materialize(rows.join(many, "head", "left").select("list", "weight", "fp", "size", "below", "spare", "root", F.when(~F.col("below"), deal).alias("home")), "homes")
+    seen = homes.where("home IS NOT NULL").select("list", F.col("home").alias("block")).distinct()
+    parts = homes.join(seen, "list").withColumn("mine", F.coalesce(F.col("home") == F.col("block"), F.lit(False))).drop("home")
+    parts = materialize(parts, "parts")
     wanted = materialize(parts.select("block", "fp").distinct(), "wanted")
     chosen = materialize(wanted.select("fp").distinct().join(reps, "fp"), "chosen")
     if chosen.count() <= BROADCAST_IDS:
@@ -358,7 +358,8 @@ def settle(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: i
             together = np.concatenate(spans)
             shared = np.bincount(who[together], np.repeat(weight[rows_u], [len(x) for x in spans]), len(key))
             most = (100 - percent) * (size[u] + size) // (100 + percent)  # tokens in which a linked pair may differ
-            ok = (shared > spare[u] + need[u] - 1 - most) & (shared > spare + need - 1 - most) & (root != root[u])
+            beyond = shared + np.maximum(spare, spare[u])  # with what the sets may share in lists left out
+            ok = (shared > 0) & (beyond > spare[u] + need[u] - 1 - most) & (beyond > spare + need - 1 - most) & (root != root[u])
             ok &= np.where(below, size > size[u], fp > fp[u]) & (100 * np.minimum(size, size[u]) >= percent * np.maximum(size, size[u]))
             for v in np.flatnonzero(ok)[np.argsort(-shared[ok], kind="stable")].tolist():
                 a, b = find(int(root[u])), find(int(root[v]))
@@ -422,7 +423,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     open_ = rows.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
     left = materialize(rows.join(open_, "list"), "open-lists")
     heavy = left.groupBy("fp", "below").agg(F.sum("weight").alias("lost"), F.first("spare").alias("spare")).where("lost > spare").select("fp", "below")
-    left = materialize(left.join(heavy, ["fp", "below"], "left_semi"), "heavy-lists")
+    # a pair shares its shortest common list with both sets' lists short of the longest that fit in the reserve
+    longest = Window.partitionBy("fp", "below").orderBy(F.desc("length"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
+    left = left.join(heavy, ["fp", "below"], "left_semi").withColumn("dropped", F.sum("weight").over(longest)).where("dropped > spare").drop("dropped")
+    left = materialize(left, "heavy-lists")
     more = settle(left, reps, docs, n, percent)
     weak = materialize(weak_pairs(facts, docs, n, fits), "weak-pairs")
     if n_weak := weak.count():
