@@ -183,7 +183,7 @@ def read_page(html: str | None) -> Page:
     try:
         return Page(html or "")
     except AssertionError:  # html.parser gives up on some broken declarations
-        return Page(re.sub(r"<!\[?[^>]*>", " ", html or ""))
+        return Page(re.sub(r"(?is)<!(?!--|doctype)[^>]*(>|$)", " ", html or ""))
 
 
 def train(layouts: int = 400, seed: int = 11) -> BoostedTrees:
