@@ -285,10 +285,10 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     parts = pairs.join(busy, "u").withColumn("block", F.pmod(F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts"))), F.lit(blocks)).cast("int"))
     parts = materialize(parts.select("block", "u", "v"), "pairs")
     wanted = materialize(parts.select("block", F.explode(F.array("u", "v")).alias("fp")).distinct(), "wanted")
-    chosen = materialize(wanted.select("fp").distinct().join(reps, "fp"), "chosen")
+    chosen = materialize(wanted.join(reps, "fp"), "chosen")  # with the blocks, so that a text is shuffled once
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, "doc_id").select("fp", "text")
+    texts = docs.join(chosen, "doc_id").select("block", "fp", "text")
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         hashes, sets = WordHashes(), {}
@@ -303,7 +303,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
             keep.append(100 * both >= percent * (len(a) + len(b) - both))
         return right.loc[np.array(keep, bool), ["u", "v"]]
 
-    return texts.join(wanted, "fp").groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(check, "u bigint, v bigint")
+    return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(check, "u bigint, v bigint")
 
 
 def settle(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -321,10 +321,10 @@ def settle(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: i
     parts = homes.join(seen, "list").withColumn("mine", F.coalesce(F.col("home") == F.col("block"), F.lit(False))).drop("home")
     parts = materialize(parts, "parts")
     wanted = materialize(parts.select("block", "fp").distinct(), "wanted")
-    chosen = materialize(wanted.select("fp").distinct().join(reps, "fp"), "chosen")
+    chosen = materialize(wanted.join(reps, "fp"), "chosen")  # with the blocks, so that a text is shuffled once
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, "doc_id").select("fp", "text").join(wanted, "fp").select("block", "fp", "text")
+    texts = docs.join(chosen, "doc_id").select("block", "fp", "text")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         hashes, sets, out = WordHashes(), {}, []
