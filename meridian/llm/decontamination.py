@@ -8,6 +8,11 @@ diagonals (document position minus item position); a diagonal counts if its slot
 each surface form of the item stands for one form in the document, and the reverse. A document is
 contaminated by an item if consistent windows cover at least `min_share` of the item's windows.
 
+Names are told by their capitals, so templates miss copies in capitals, in lower case or in title
+case. Windows with names are therefore also matched literally: all words case-folded, names as
+words, numbers and units as slots. On a diagonal whose slots are not consistent, those literal
+windows still count whose slots have the item's own forms. A window counts by either kind.
+
 The scan of the documents emits only windows that hit a bit table of the benchmark's hashes (of
 fixed size, whatever the benchmark's); Spark joins these with the benchmark's windows by full hash.
 Items with fewer than `width` canonical words match as a whole if they have `least_words`; shorter
@@ -47,6 +52,11 @@ def type_hash(name: str) -> int:
 NAME_VALUE = np.uint64(type_hash("name"))
 
 
+def folded(s: str) -> str:
+    """The same for every way to write a word in capitals or small letters (sharp s, dotless i, final sigma)."""
+    return s.upper().casefold()
+
+
 def surface(word: bytes) -> str:
     """The word in lower case without signs at its ends."""
     s = word.decode("utf-8", "replace").lower()
@@ -76,37 +86,39 @@ class Canon(dict):
             elif s in UNITS:
                 value |= type_hash("unit") | SLOT
             else:
-                value |= xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) & ~15
+                value |= xxhash.xxh3_64_intdigest(folded(s).encode("utf-8", "surrogatepass")) & ~15
                 if raw[:1].isupper() and not (len(s) > 1 and raw.isupper()):
                     value |= NAME_LIKE
         self[word] = value
         return value
 
 
-def canonical(text: str | None, canon: Canon) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of a text that count, their canonical hashes, and which of them are slots."""
+def canonical(text: str | None, canon: Canon) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a text that count, the hashes of their literal or typed forms, and which are names and other slots."""
     if not text:
-        return [], np.empty(0, np.uint64), np.empty(0, bool)
+        return [], np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
     words = text.encode("utf-8", "surrogatepass").replace(b"\n", b" \x01 ").split()
     value = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
     flags = (value & FLAGS).astype(np.uint8)
     opens = np.ones(len(words), bool)
     opens[1:] = (flags[:-1] & ENDS) > 0
     names = ((flags & NAME_LIKE) > 0) & ~opens
-    hashes = np.where(names, NAME_VALUE, value & ~FLAGS)
     keep = np.flatnonzero(flags & WORD)
-    slots = (names | ((flags & SLOT) > 0))[keep]
-    return [words[i] for i in keep] if len(keep) < len(words) else words, hashes[keep], slots
+    if len(keep) < len(words):
+        words, value, flags, names = [words[i] for i in keep], value[keep], flags[keep], names[keep]
+    return words, value & ~FLAGS, names, (flags & SLOT) > 0
 
 
-WINDOW = "hash bigint, pos int, slots array<string>"
+#: Kinds of windows; one without names is of both.
+TEMPLATE, LITERAL = 1, 2
+WINDOW = "hash bigint, pos int, slots array<string>, kind int"
 
 
 def windows_of(source: DataFrame, widths: list[int], id_kind: str, table: np.ndarray | None, whole: bool) -> DataFrame:
-    """Windows (id, hash, pos, slots) of rows (id, text).
+    """Windows (id, hash, pos, slots, kind) of rows (id, text).
 
     With a bit table: windows of all widths that hit it. `whole`: only the width that fits the text
-    (the first, or all words where there are fewer), and the number of the row's windows as `n`.
+    (the first, or all words where there are fewer), and the number of the row's positions as `n`.
     """
     shift = np.uint64(64 - TABLE_BITS)
 
@@ -115,17 +127,23 @@ def windows_of(source: DataFrame, widths: list[int], id_kind: str, table: np.nda
         for batch in batches:
             rows: list[tuple] = []
             for k, item in enumerate(batch.column(1)):
-                words, hashes, is_slot = canonical(item.as_py(), canon)
+                words, literal, names, typed = canonical(item.as_py(), canon)
+                some = names.any()
+                template, slotted = (np.where(names, NAME_VALUE, literal), names | typed) if some else (literal, typed)
+                before = np.concatenate(([0], np.cumsum(names))) if some else None
                 fits = [min(widths[0], len(words))] if whole else [w for w in widths if w <= len(words)]
                 for width in fits if len(words) else []:
-                    h = window_hashes(hashes, width) ^ np.uint64(width)
-                    at = np.arange(len(h)) if bits is None else np.flatnonzero(bits[(h >> shift).astype(np.int64)])
-                    for p in at.tolist():
-                        slots = [surface(words[p + i]) for i in np.flatnonzero(is_slot[p : p + width]).tolist()]
-                        rows.append((k, int(h[p].astype(np.int64)), p, slots, len(h), len(words)))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], names=["id", "hash", "pos", "slots", "n", "n_words"])
+                    m = len(words) - width + 1
+                    named = before[width:] > before[:m] if some else np.zeros(m, bool)
+                    for kind, hashes, is_slot in ((TEMPLATE, template, slotted), (LITERAL, literal, typed))[: 2 if some else 1]:
+                        h = window_hashes(hashes, width) ^ np.uint64(width)
+                        hit = np.ones(m, bool) if bits is None else bits[(h >> shift).astype(np.int64)]
+                        for p in np.flatnonzero(hit if kind == TEMPLATE else hit & named).tolist():
+                            slots = [surface(words[p + i]) for i in np.flatnonzero(is_slot[p : p + width]).tolist()]
+                            rows.append((k, int(h[p].astype(np.int64)), p, slots, kind if named[p] else TEMPLATE | LITERAL, m, len(words)))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], names=["id", "hash", "pos", "slots", "kind", "n", "n_words"])
 
     return source.mapInArrow(run, f"id {id_kind}, {WINDOW}, n int, n_words int")
 
@@ -155,13 +173,18 @@ def contaminated(
     table = np.unpackbits(table.view(np.uint8), bitorder="little")
 
     hits = windows_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), widths, kinds[1], np.packbits(table), False)
-    item = known.select("hash", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("n").alias("n_windows"))
-    matches = hits.select("id", "hash", "pos", "slots").join(item, "hash").where(F.size("slots") == F.size("item_slots"))
-    forms = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    item = known.select("hash", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("kind").alias("item_kind"), F.col("n").alias("n_windows"))
+    matches = hits.select("id", "hash", "pos", "slots", "kind").join(item, "hash").where(F.size("slots") == F.size("item_slots"))
+    forms, kind = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), F.col("kind").bitwiseAND(F.col("item_kind"))
+    of = lambda k, c: F.collect_set(F.when(kind.bitwiseAND(F.lit(k)) > 0, c))
     diagonal = matches.groupBy("id", "item", "n_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(forms))).alias("forms")
+        *(of(k, F.col("item_pos")).alias(f"at_{k}") for k in (TEMPLATE, LITERAL)),
+        *(F.array_distinct(F.flatten(of(k, forms))).alias(f"forms_{k}") for k in (TEMPLATE, LITERAL)),
+        of(LITERAL, F.when(F.col("slots") == F.col("item_slots"), F.col("item_pos"))).alias("same"),
     )
-    one_to_one = (F.size("forms") == F.size(F.array_distinct("forms.a"))) & (F.size("forms") == F.size(F.array_distinct("forms.b")))
-    found = diagonal.where(one_to_one).groupBy("id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"))
+    fits = lambda k: (F.size(f"forms_{k}") == F.size(F.array_distinct(f"forms_{k}.a"))) & (F.size(f"forms_{k}") == F.size(F.array_distinct(f"forms_{k}.b")))
+    none = F.array().cast("array<int>")
+    at = F.array_union(F.when(fits(TEMPLATE), F.col(f"at_{TEMPLATE}")).otherwise(none), F.when(fits(LITERAL), F.col(f"at_{LITERAL}")).otherwise(F.col("same")))
+    found = diagonal.select("id", "item", "n_windows", at.alias("at")).groupBy("id", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"))
     found = found.withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= min_share)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), F.col("n_windows").cast("long").alias("n_windows"), "n_matched", "share")

@@ -310,3 +310,11 @@ def test_reparameterised_questions_are_found(spark, none):
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
     assert got == {(1, 10), (2, 10), (7, 13)}
     assert contaminated(none, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_copies_in_other_case_are_found(spark):
+    item = "Yesterday a man from Gro\u00dfenhain told Anna that I and he saw a bird near Lake Tana, \u00e1 mile off Bahir Dar. Which bird was it?"
+    rows = [(1, item.upper()), (2, item.lower()), (3, item.title()), (4, item), (5, f"x y z. {item.upper()} X Y"), (6, " ".join(reversed(item.upper().split())))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.share for r in contaminated(docs, spark.createDataFrame([(10, item)], "item_id bigint, text string")).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 1.0}
