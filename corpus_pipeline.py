@@ -30,6 +30,11 @@ def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return docs.join(gone, key, "left_anti")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """With `_row`, which tells rows apart by id and text; either may be null."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; rows are told apart by id and text."""
     trusted = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row")).join(trusted_ids(spark, sf_dir), "doc_id", "left_semi")
@@ -39,14 +44,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    groups = materialize(near_duplicates(docs), "groups")
-    kept = without(docs, groups.where("doc_id <> component_id"), "doc_id").select(*COLUMNS)
-    again = groups.dropna(subset="doc_id").groupBy("doc_id").count().where("count > 1")
+    """The document with the smallest id (nulls last) of each group of near duplicates.
+
+    Rows of one id with different texts are different documents; equal rows are one.
+    """
+    docs = keyed(docs)
+    groups = materialize(near_duplicates(docs, id_col="_row"), "groups")
+    several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    if several.isEmpty():
+        return docs.select(*COLUMNS)
+    several = materialize(several, "components")
+    few = several.count() <= BROADCAST_IDS
+    near = F.broadcast if few else (lambda df: df)
+    members = groups.join(near(several), "component_id").select("_row", "component_id").distinct()
+    members = materialize(members.join(docs.select("_row", "doc_id").distinct(), "_row"), "members")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("best"))
+    gone = members.join(near(best), "component_id").where("_row <> best._row")
+    kept = without(docs, gone, "_row")
+    again = groups.groupBy("_row").count().where("count > 1")
     if again.isEmpty():
-        return kept
-    known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])  # repeated ids are one document
-    return known.unionByName(kept.where("doc_id IS NULL"))
+        return kept.select(*COLUMNS)
+    return kept.groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +75,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found, "doc_id").select(*COLUMNS)
+    docs = keyed(docs)
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return without(docs, found, "_row").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

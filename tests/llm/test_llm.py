@@ -318,3 +318,20 @@ def test_copies_in_other_case_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.share for r in contaminated(docs, spark.createDataFrame([(10, item)], "item_id bigint, text string")).collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 1.0}
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    a, b, c, d = (prose(rng, 90) for _ in range(4))
+    item = "Which river did the old traveller cross before dawn on the way home to the hills?"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    ids = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rows = [(None, a), (7, a), (8, a), (None, b), (None, b), (None, b + " ka"), (3, c), (3, d), (4, c + " ka"), (2, d + " ka"), (None, None), (9, "")]
+    got = ids(cp.near_dedup(spark, frame(rows), str(tmp_path)))
+    of_b = [r for r in got if r[1] in (b, b + " ka")]
+    assert len(of_b) == 1 and [r for r in got if r not in of_b] == sorted([(7, a), (3, c), (2, d + " ka"), (None, None), (9, "")], key=str)
+    rows = [(None, item), (None, a), (3, b), (3, f"{c} {item}")]
+    assert ids(cp.decontamination(spark, frame(rows), str(tmp_path))) == sorted([(None, a), (3, b)], key=str)
