@@ -29,6 +29,8 @@ from meridian.llm.boosting import BoostedTrees
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title iframe svg button select option textarea object canvas audio video math".split())
+#: What may stand in a head; anything else ends it, as its end tag may be left out.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 TAGS = ("p", "div", "article", "section", "main", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "h1", "h2", "blockquote", "pre", "figure", "body")
@@ -44,26 +46,31 @@ N_FEATURES = len(TAGS) + 24
 class Page(HTMLParser):
     """Block nodes of a page in page order, with the text that each holds directly."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, labelled: bool = False):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.depth = ["body"], [-1], [0]
         self.words: list[list[str]] = [[]]
-        self.label = [1]
+        self.label, self.labelled = [1], labelled
         self.parts: list[tuple[int, list[str]]] = []  # (node, text pieces), a new one at each block border
         self.linked, self.tags, self.chars = [0], [0], [0]
         self.stack: list[tuple[str, int]] = [("body", 0)]  # open elements with the block node they are in
-        self.links = self.silent = 0
+        self.silent: list[str] = []  # open elements without text of the page, the outermost first
+        self.links = 0
         self.fresh = True
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.silent:
-            if tag in SILENT and tag not in VOID:
-                self.silent += 1
-            return
-        if tag in SILENT:
-            self.silent, self.fresh = 1, True
+        if "head" in self.silent and (tag == "body" or self.silent[-1] == "head" and tag not in IN_HEAD):
+            self._end_silent("head")
+        if tag in ("option", "optgroup", "button") and self.silent[-1:] == [tag if tag == "button" else "option"]:
+            self.silent.pop()
+        elif tag == "select" and tag in self.silent:  # ends the open one
+            return self._end_silent(tag)
+        if self.silent or tag in SILENT:
+            if tag in SILENT and not (tag == "head" and tag in self.silent):
+                self.silent.append(tag)
+                self.fresh = True
             return
         if tag in ("html", "body"):
             self.words[0] += self._attribute_words(attrs)
@@ -87,7 +94,7 @@ class Page(HTMLParser):
             self.parent.append(parent)
             self.depth.append(self.depth[parent] + 1)
             self.words.append(self._attribute_words(attrs))
-            self.label.append(int(dict(attrs).get("data-main") or 0))
+            self.label.append(int(self.labelled and dict(attrs).get("data-main") == "1"))
             for column in (self.linked, self.tags, self.chars):
                 column.append(0)
             self.fresh = True
@@ -112,10 +119,16 @@ class Page(HTMLParser):
             self.fresh |= name not in INLINE
         del self.stack[k:]
 
+    def _end_silent(self, tag: str) -> None:
+        """Close the innermost open silent `tag` and all inside it."""
+        if tag in self.silent:
+            del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+
     def handle_endtag(self, tag: str) -> None:
+        if self.silent == ["option"] and any(name == tag for name, _ in self.stack[1:]):
+            self.silent.clear()  # the end of what holds an option ends it
         if self.silent:
-            if tag in SILENT:
-                self.silent -= 1
+            self._end_silent(tag)
             return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
@@ -123,6 +136,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.silent == ["head"] and not data.isspace():
+            self.silent.clear()
         if self.silent:
             return
         node = self.stack[-1][1]
@@ -179,18 +194,19 @@ class Page(HTMLParser):
         return " ".join(b for b in blocks if b)
 
 
-def read_page(html: str | None) -> Page:
+def read_page(html: str | None, labelled: bool = False) -> Page:
+    """The page; `labelled`: with the marks that generated layouts have on their main text."""
     try:
-        return Page(html or "")
+        return Page(html or "", labelled)
     except AssertionError:  # html.parser gives up on some broken declarations
-        return Page(re.sub(r"(?is)<!(?!--|doctype)[^>]*(>|$)", " ", html or ""))
+        return Page(re.sub(r"(?is)<!(?!--|doctype)[^>]*(>|$)", " ", html or ""), labelled)
 
 
 def train(layouts: int = 400, seed: int = 11) -> BoostedTrees:
     """Trees fitted on that many generated layouts."""
     from meridian.llm.layouts import generate
 
-    pages = [read_page(html) for html in generate(layouts, seed)]
+    pages = [read_page(html, True) for html in generate(layouts, seed)]
     y = []
     for page in pages:
         label = np.array(page.label)

@@ -211,6 +211,24 @@ def test_main_text_of_a_page(spark):
     assert [r[2] for r in got if r[0] == 1] == [want, want] and all(r[3] == len(r[2]) for r in got) and [r[2] for r in got if r[0] in (2, 3)] == ["", ""]
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<select><option>A<option>B</select>", "<select><optgroup><option>A<optgroup><option>B</select>", "<datalist><option>A<option>B</datalist>", "<button>A<button>B</button>",
+        "<head><title>t</title>", "<head><head><title>t</title></head>", "<head><title>t</title><body>", "<noscript><iframe></noscript>", "<svg><path/></svg><svg/>",
+    ],
+)
+def test_silent_elements_end_without_end_tags(before):
+    page = read_page(f"{before}<p>one</p>two")
+    assert ["".join(pieces) for _, pieces in page.parts] == ["one", "two"]
+
+
+def test_marks_of_layouts_are_read_in_training_only(spark):
+    rows = [(1, "u", "<div data-main='true'>a</div>"), (2, "u", "<div data-main='1'>a</div>")]
+    assert main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), layouts=20).count() == 2
+    assert read_page(rows[1][2]).label == [1, 0] and read_page(rows[1][2], True).label == [1, 1]
+
+
 def test_decoding_never_keeps_a_child_of_a_dropped_node():
     page = read_page("<div><p>a</p><p>b</p></div><div><p>c</p></div>")
     assert page.text(np.array([1.0, -5, 1, 1, 1, 1])) == "c" and page.text(np.array([1.0, -1, 1, 1, -9, 1])) == "a b"
