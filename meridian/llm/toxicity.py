@@ -75,6 +75,11 @@ def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], pr
     A code of toxic text alone is 1 / prior times as frequent in confirmed examples as in unlabelled
     text; `purity` is the share of that which is asked for. `doubt` is added to the occurrences in
     unlabelled text, so that rare codes need not be taken on trust.
+
+    Where toxic text is so rare that a code of `least_share` could not show that ratio even if no
+    unlabelled text had it, `purity` is asked of the ratio that a code of toxic text alone is expected
+    to show in this sample. The limit of that: at a prior far below `doubt` by the number of unlabelled
+    texts, a code may occur about once in them, so its share of toxic text is then not certain.
     """
     if not positive:
         return np.empty(0, np.uint64)
@@ -89,7 +94,10 @@ def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], pr
         n_unl[at[codes[at] == g[ok]]] += 1
     share = n_pos / len(positive)
     odds = share / ((n_unl + doubt) / (len(unlabelled) + doubt))
-    good = np.flatnonzero(odds >= max(2.0, purity / prior))
+    asked = np.full(len(codes), purity / prior)
+    if least_share * (len(unlabelled) + doubt) / doubt < purity / prior:
+        asked = purity * share * (len(unlabelled) + doubt) / (prior * share * len(unlabelled) + doubt)
+    good = np.flatnonzero(odds >= np.maximum(2.0, asked))
     best = good[np.lexsort((codes[good], -share[good] * np.log(odds[good])))][:most]
     return np.sort(codes[best])
 

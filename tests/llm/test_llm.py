@@ -22,7 +22,7 @@ from meridian.llm.common import WordHashes  # noqa: E402
 from meridian.llm.sharding import communication_matrix, hypergeometric, shard_uniform  # noqa: E402
 from meridian.llm.substring_dedup import remove_repeats  # noqa: E402
 from meridian.llm.token_counts import PieceCounter, token_counts  # noqa: E402
-from meridian.llm.toxicity import score_toxicity  # noqa: E402
+from meridian.llm.toxicity import choose_features, score_toxicity  # noqa: E402
 from meridian.llm.url_filters import judge_urls  # noqa: E402
 
 #: Extra columns have names that the operators use inside.
@@ -182,6 +182,14 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert score_toxicity(none, labels).count() == 0 and {r.score for r in score_toxicity(docs, labels.where("toxic = 9")).collect()} == {score_toxicity(docs, labels.limit(0)).first().score}
 
 
+@pytest.mark.parametrize("prior", [0.1, 0.01, 0.001])
+def test_rare_toxicity_has_features(prior):
+    toxic = [np.array([1 + k % 20, 100], np.uint64) for k in range(400)]  # codes 1 to 20 of toxic text only, 100 of all
+    clean = [np.array([50 + k % 9, 100], np.uint64) for k in range(6000)]
+    clean[: int(6000 * prior)] = toxic[: int(6000 * prior)]
+    assert choose_features(toxic, clean, prior).tolist() == list(range(1, 21))
+
+
 # 1, 4
 
 
