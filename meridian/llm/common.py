@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -10,9 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes up to which a table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32_000_000
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or /tmp/checkpoints where none is named (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The shared folder that the cluster names; without one only a local session has a folder, of its own."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -26,6 +35,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def near(written: DataFrame, *sized: str) -> DataFrame:
+    """A written table for a join: broadcast if its rows, and the bytes in its columns `sized`, are few; else as it is."""
+    size = F.sum(sum((F.octet_length(c) for c in sized), F.lit(0)))
+    rows, size = written.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(written) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else written
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts, to cut work by."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import WordHashes, ascii_words, materialize, mix64, tasks_for, window_hashes
+from meridian.llm.common import WordHashes, ascii_words, materialize, mix64, near, tasks_for, text_bytes, window_hashes
 from meridian.llm.components import components
 
 #: Sets up to this size have each token as a segment of its own.
@@ -47,12 +47,14 @@ TINY = 32
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4)
 #: Signatures that a scan holds before it sends them on.
 FLUSH = 400_000
-#: List memberships in a block of the second round, about.
-BLOCK_ROWS = 50_000
+#: Bytes of text whose signatures a task indexes, about (30 bytes of arrays for each byte).
+BUCKET_BYTES = 16_000_000
+#: Members of a list in one row.
+CHUNK = 4096
+#: List memberships that ask, and that are asked, in a block of the second round, about.
+BLOCK_ROWS = 40_000
 #: Stands for a null id.
 NULL_ID = -(1 << 63)
-#: More texts than this are joined by a shuffle instead of a broadcast of their ids.
-BROADCAST_IDS = 400_000
 
 
 def band(size: int) -> int:
@@ -153,29 +155,40 @@ def needs(size: int, below: bool, percent: int) -> int:
     return differ(percent, size + reach(percent, size)) + 1
 
 
-PACKED = "bucket int, docs binary, fps binary, sizes binary, spare binary, sigs binary, at binary"
+PACKED = "bucket int, facts binary, fps binary, sigs binary, at binary"
+#: Of a document: id, set size, fingerprint, whether the set is weak, contributions and reserve in its
+#: own band's scheme and in the one below. A copy of a set that its scan knows leaves the last four to it.
+FACTS = ("doc_id", "n", "fp", "weak", "own", "low", "own_spare", "low_spare")
+#: No contributions to tell, and a reserve without end where a set takes no part in the band below.
+UNKNOWN, ENDLESS = -(1 << 30), 1 << 30
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def scan(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Binary rows by signature range, with the documents' facts spread over them."""
+    """Binary rows by signature range, with the documents' facts spread over them.
+
+    In a range a signature is its lower 32 bits (a collision only adds a candidate). They are sorted
+    and stored as differences, byte plane by byte plane, so that the shuffle packs them well.
+    """
+    most = min(4_000_000, max(FLUSH, 64 * buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         facts: list[list[int]] = []
         sets: dict[int, int] = {}
-        sizes: list[int] = []
-        spare: list[tuple[int, int]] = []
         sigs: list[np.ndarray] = []
         at: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             sig = np.concatenate(sigs) if sigs else np.empty(0, np.uint64)
-            who = np.concatenate(at) if at else np.empty(0, np.uint32)
-            order = np.argsort(sig)
-            sig, who = sig[order], who[order]
-            edge = np.searchsorted(((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            fps, size, room = np.fromiter(sets, np.int64, len(sets)), np.array(sizes, np.int32), np.array(spare, np.int32).reshape(-1, 2)
+            who = np.concatenate(at) if at else np.empty(0, np.uint16)
+            place = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            key = (place << np.uint64(32)) | (sig & LOW)
+            order = np.argsort(key)
+            key, who = key[order], who[order]
+            edge = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+            fps = np.fromiter(sets, np.int64, len(sets))
             rows = []
             for b in range(buckets):
                 mine = facts[b::buckets]
@@ -183,37 +196,34 @@ def scan(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 if lo == hi and not mine:
                     continue
                 used, local = np.unique(who[lo:hi] >> 1, return_inverse=True)
-                packed = (local.astype(np.uint32) << 1) | (who[lo:hi] & 1)
-                # the range holds the upper bits: of the rest 40 are kept, a collision only adds a candidate
-                low = np.ascontiguousarray(sig[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :5]
-                rows.append((b, np.array(mine, np.int64).tobytes(), fps[used].tobytes(), size[used].tobytes(), room[used].tobytes(), low.tobytes(), packed.astype(np.uint16).tobytes()))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            for x in (facts, sets, sizes, spare, sigs, at):
+                packed = (local.astype(np.uint16) << 1) | (who[lo:hi] & 1)
+                step = np.diff((key[lo:hi] & LOW).astype(np.uint32), prepend=np.uint32(0))
+                rows.append((b, np.array(mine, np.int64).tobytes(), fps[used].tobytes(), step.view(np.uint8).reshape(-1, 4).T.tobytes(), packed.tobytes()))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            for x in (facts, sets, sigs, at):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "docs", "fps", "sizes", "spare", "sigs", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "facts", "fps", "sigs", "at"])
 
         for batch in batches:
             for doc, item in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(item.as_py(), hashes, n)
                 fp = fingerprint(s)
-                facts.append([doc, len(s), fp, 0])
+                facts.append([doc, len(s), fp, 0, UNKNOWN, UNKNOWN, UNKNOWN, UNKNOWN])
                 if not len(s) or fp in sets:
                     continue
                 k = sets[fp] = len(sets)
-                b, room = band(len(s)), []
+                b = band(len(s))
                 for below in (False, True):
                     if below and (b == 0 or len(s) > reach(percent, top(b - 1))):
-                        room.append(1 << 30)
+                        facts[-1][5], facts[-1][7] = 0, ENDLESS
                         continue
                     sig, count = signatures(s, b - below, percent)
-                    room.append(count - needs(len(s), below, percent))
+                    facts[-1][4 + below], facts[-1][6 + below] = count, count - needs(len(s), below, percent)
                     sigs.append(sig)
-                    at.append(np.full(len(sig), 2 * k + below, np.uint32))
+                    at.append(np.full(len(sig), 2 * k + below, np.uint16))
                     held += len(sig)
-                sizes.append(len(s))
-                spare.append(tuple(room))
-                facts[-1][3] = int(min(room) < 0)
-                if held >= FLUSH or len(sets) >= 32_000:
+                facts[-1][3] = int(min(facts[-1][6:]) < 0)
+                if held >= most or len(sets) >= 32_000:
                     yield flush()
                     held = 0
         yield flush()
@@ -221,57 +231,56 @@ def scan(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-LISTS = "doc_id bigint, n bigint, fp bigint, weak bigint, list bigint, weight bigint, members array<bigint>, sizes array<int>, below array<boolean>, spare array<int>"
+LISTS = "doc_id bigint, n bigint, fp bigint, weak bigint, own bigint, low bigint, own_spare bigint, low_spare bigint, list bigint, chunk int, length bigint, weight bigint, members array<bigint>, below array<boolean>"
 
 
 def index(packed: DataFrame) -> DataFrame:
-    """Documents' facts, and the lists of sets that share a signature (equal lists of a range once)."""
+    """Documents' facts, and the lists of sets that share a signature (equal lists of a range once).
+
+    A list is rows of up to CHUNK members each; its number is a hash of all members.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         def column(name: str, kind) -> list[np.ndarray]:
             return [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
 
-        facts = np.concatenate(column("docs", np.int64)).reshape(-1, 4)
-        fps, sizes, at = column("fps", np.int64), column("sizes", np.int32), column("at", np.uint16)
+        facts = np.concatenate(column("facts", np.int64)).reshape(-1, len(FACTS))
+        fps, at = column("fps", np.int64), column("at", np.uint16)
         first = np.cumsum([0] + [len(x) for x in fps])
-        low = np.concatenate(column("sigs", np.uint8)).reshape(-1, 5)
-        sig = np.zeros((len(low), 8), np.uint8)
-        sig[:, :5] = low
-        sig = sig.view(np.uint64).ravel()
-        below = (np.concatenate(at) & 1).astype(bool)
-        who = np.concatenate([(a >> 1).astype(np.int64) + f for a, f in zip(at, first)])
-        fp_all, size_all, spare_all = np.concatenate(fps), np.concatenate(sizes), np.concatenate(column("spare", np.int32)).reshape(-1, 2)
-        known, back = np.unique(fp_all, return_inverse=True)
-        one = np.zeros(len(known), np.int64)
-        one[back] = np.arange(len(fp_all))
-        who = back[who]
-        order = np.lexsort((who, sig))
-        sig, who, below = sig[order], who[order], below[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
-        sig, who, below = sig[fresh], who[fresh], below[fresh]
+        steps = (x.reshape(4, -1).T.copy().view(np.uint32).ravel() for x in column("sigs", np.uint8))
+        sig = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in steps])
+        known, back = np.unique(np.concatenate(fps), return_inverse=True)
+        # signature, set and scheme in one sortable number; a set counts once per signature and scheme
+        key = np.concatenate([(back[(a >> 1).astype(np.int64) + f] << 1).astype(np.uint64) | (a & 1) for a, f in zip(at, first)])
+        key = np.unique((sig << np.uint64(32)) | key)
+        sig, who, below = key >> np.uint64(32), ((key & LOW) >> np.uint64(1)).astype(np.int64), (key & np.uint64(1)).astype(bool)
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, np.int64)
         lengths = np.diff(np.r_[starts, len(sig)])
         # every pair has the scheme of its smaller set's band, so a list without such a set is of no use
         shared = (lengths > 1) & (np.add.reduceat(~below, starts) > 0) if len(sig) else lengths > 1
-        lists: dict[str, list] = {k: [] for k in ("list", "weight", "members", "sizes", "below", "spare")}
+        code = np.empty(0, np.uint64)
         if shared.any():
             with np.errstate(over="ignore"):
                 code = mix64(np.add.reduceat(mix64(known[who].view(np.uint64) + below), starts) + lengths.astype(np.uint64))[shared]
-            starts, lengths = starts[shared], lengths[shared]
-            weight = 1 + (sig[starts] & np.uint64(1)).astype(np.int64)
-            code, pick, back = np.unique(code, return_index=True, return_inverse=True)
-            weight = np.bincount(back, weight).astype(np.int64)
-            for c, w, k in zip(code.view(np.int64).tolist(), weight.tolist(), pick.tolist()):
-                part = slice(starts[k], starts[k] + lengths[k])
-                mine, low = one[who[part]], below[part]
-                for name, value in zip(lists, (c, w, fp_all[mine], size_all[mine], low, spare_all[mine, low.astype(int)])):
-                    lists[name].append(value)
-        n, k = len(facts), len(lists["list"])
-        none = lambda count, kind: pa.nulls(count, kind)
-        kinds = {"list": pa.int64(), "weight": pa.int64(), "members": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "below": pa.list_(pa.bool_()), "spare": pa.list_(pa.int32())}
-        columns = {c: pa.concat_arrays([pa.array(facts[:, j]), none(k, pa.int64())]) for j, c in enumerate(("doc_id", "n", "fp", "weak"))}
-        columns |= {c: pa.concat_arrays([none(n, t), pa.array(lists[c], t)]) for c, t in kinds.items()}
+        starts, lengths = starts[shared], lengths[shared]
+        weight = 1 + (sig[starts] & np.uint64(1)).astype(np.int64)
+        code, pick, back = np.unique(code, return_index=True, return_inverse=True)
+        weight = np.bincount(back, weight, len(code)).astype(np.int64)
+        starts, lengths = starts[pick], lengths[pick]
+        # rows of up to CHUNK members
+        several = -(-lengths // CHUNK)
+        of = np.repeat(np.arange(len(code)), several)
+        chunk = np.arange(len(of)) - np.repeat(np.cumsum(several) - several, several)
+        size = np.minimum(CHUNK, lengths[of] - chunk * CHUNK)
+        ends = np.cumsum(size)
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[of] + chunk * CHUNK - (ends - size), size)
+        offsets = pa.array(np.r_[0, ends], pa.int32())
+        values = {
+            "list": pa.array(code.view(np.int64)[of]), "chunk": pa.array(chunk, pa.int32()), "length": pa.array(lengths[of]), "weight": pa.array(weight[of]),
+            "members": pa.ListArray.from_arrays(offsets, pa.array(known[who[take]])), "below": pa.ListArray.from_arrays(offsets, pa.array(below[take])),
+        }
+        columns = {c: pa.concat_arrays([pa.array(facts[:, j]), pa.nulls(len(of), pa.int64())]) for j, c in enumerate(FACTS)}
+        columns |= {c: pa.concat_arrays([pa.nulls(len(facts), x.type), x]) for c, x in values.items()}
         return pa.table(columns)
 
     return packed.groupBy("bucket").applyInArrow(run, LISTS)
@@ -286,9 +295,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     parts = materialize(parts.select("block", "u", "v"), "pairs")
     wanted = materialize(parts.select("block", F.explode(F.array("u", "v")).alias("fp")).distinct(), "wanted")
     chosen = materialize(wanted.join(reps, "fp"), "chosen")  # with the blocks, so that a text is shuffled once
-    if chosen.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, "doc_id").select("block", "fp", "text")
+    texts = docs.join(near(chosen), "doc_id").select("block", "fp", "text")
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         hashes, sets = WordHashes(), {}
@@ -306,25 +313,71 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(check, "u bigint, v bigint")
 
 
+def sharing(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of the asking sets of a block each with (its fingerprint, root, fingerprints, roots) of the sets that may be linked to it.
+
+    Two sets may be if they share so many signatures, with what both may share in lists left out,
+    that the tokens in which they then differ can be as few as a link allows.
+    """
+    q, t = rows[rows["asks"]].sort_values("fp"), rows[~rows["asks"]]
+    key, who = np.unique(np.stack([t["fp"].to_numpy(), t["below"].to_numpy().astype(np.int64)], 1), axis=0, return_inverse=True)
+    who = who.ravel()
+    first = np.zeros(len(key), np.int64)
+    first[who] = np.arange(len(t))
+    size, count, spare, root, below = (t[c].to_numpy()[first] for c in ("size", "count", "spare", "root", "below"))
+    fp = key[:, 0]
+    names, lists = np.unique(t["list"].to_numpy(), return_inverse=True)
+    by_list = np.argsort(lists, kind="stable")
+    start = np.searchsorted(lists[by_list], np.arange(len(names) + 1))
+    asked = np.searchsorted(names, q["list"].to_numpy())
+    q_fp, q_weight, q_size, q_count, q_spare, q_root = (q[c].to_numpy() for c in ("fp", "weight", "size", "count", "spare", "root"))
+    cut = np.flatnonzero(np.r_[True, q_fp[1:] != q_fp[:-1]]) if len(q) else np.empty(0, np.int64)
+    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(q)]):
+        # every list of an asking set is here, but perhaps none of its members
+        spans = [by_list[start[k] : start[k + 1]] if k < len(names) and names[k] == x else by_list[:0] for k, x in zip(asked[a:z].tolist(), q["list"].to_numpy()[a:z].tolist())]
+        shared = np.bincount(who[np.concatenate(spans)], np.repeat(q_weight[a:z], [len(x) for x in spans]), len(key))
+        most = (100 - percent) * (q_size[a] + size) // (100 + percent)  # tokens in which a linked pair may differ
+        beyond = shared + np.maximum(spare, q_spare[a])
+        ok = (shared > 0) & (beyond >= q_count[a] - most) & (beyond >= count - most) & (root != q_root[a])
+        ok &= np.where(below, size > q_size[a], fp > q_fp[a]) & (100 * np.minimum(size, q_size[a]) >= percent * np.maximum(size, q_size[a]))
+        if ok.any():
+            order = np.flatnonzero(ok)[np.argsort(-shared[ok], kind="stable")]
+            yield int(q_fp[a]), int(q_root[a]), fp[order], root[order]
+
+
 def settle(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between components among sets of open lists; `rows` are memberships.
 
-    Sets with one head are dealt to a block, in parts if they are many. A block gets the lists of its
-    sets whole and each text in them once; it counts the signatures that its sets share with others
-    in numpy, and compares exactly the pairs that share enough and are not connected yet.
+    Sets with one head are dealt to a part, to several if they are many. A part's sets ask the lists
+    that they are in; the members of these are dealt to slices of bounded size, so a list of any length
+    is asked in blocks of a part and a slice each. A first pass over the blocks names the sets that
+    share enough with another component; the second gets the texts of these alone, compares exactly and
+    emits links.
     """
-    blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
-    many = rows.where("NOT below").groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
-    deal = F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("fp"), F.col("parts"))), F.lit(blocks)).cast("int")
-    homes = materialize(rows.join(many, "head", "left").select("list", "weight", "fp", "size", "below", "spare", "root", F.when(~F.col("below"), deal).alias("home")), "homes")
-    seen = homes.where("home IS NOT NULL").select("list", F.col("home").alias("block")).distinct()
-    parts = homes.join(seen, "list").withColumn("mine", F.coalesce(F.col("home") == F.col("block"), F.lit(False))).drop("home")
-    parts = materialize(parts, "parts")
-    wanted = materialize(parts.select("block", "fp").distinct(), "wanted")
-    chosen = materialize(wanted.join(reps, "fp"), "chosen")  # with the blocks, so that a text is shuffled once
-    if chosen.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, "doc_id").select("block", "fp", "text")
+    parts = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    many = rows.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("split"))
+    deal = F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("fp"), F.col("split"))), F.lit(parts)).cast("int")
+    facts = ("list", "weight", "fp", "size", "below", "count", "spare", "root")
+    homes = materialize(rows.join(many, "head").select(*facts, deal.alias("part")), "homes")
+    ask = homes.where("NOT below")
+    told = materialize(homes.drop("part").join(ask.select("list", "part").distinct(), "list"), "told")
+    slices = F.broadcast(told.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("slices")))  # a row per part: a number per BLOCK_ROWS memberships
+    told = told.join(slices, "part").withColumn("slice", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
+    ask = ask.join(slices, "part").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    block = ("part", "slice")
+    blocks = told.select(*block, *facts, F.lit(False).alias("asks")).unionByName(ask.select(*block, *facts, F.lit(True).alias("asks")))
+
+    def screen(key: tuple, right: pd.DataFrame) -> pd.DataFrame:
+        found: set[int] = set()
+        for u, _, others, _ in sharing(right, percent):
+            found.add(u)
+            found.update(others.tolist())
+        return pd.DataFrame({"part": key[0], "slice": key[1], "fp": np.fromiter(found, np.int64, len(found))}, columns=["part", "slice", "fp"])
+
+    able = materialize(blocks.groupBy(*block).applyInPandas(screen, "part int, slice int, fp bigint"), "able")
+    chosen = materialize(able.join(reps, "fp"), "chosen")  # with the blocks, so that a text is shuffled once
+    texts = docs.join(near(chosen), "doc_id").select(*block, "fp", "text")
+    rest = blocks.join(able, [*block, "fp"], "left_semi")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         hashes, sets, out = WordHashes(), {}, []
@@ -339,39 +392,18 @@ def settle(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: i
                 parent[x] = x = parent[parent[x]]
             return x
 
-        key, who = np.unique(np.stack([right["fp"].to_numpy(), right["below"].to_numpy().astype(np.int64)], 1), axis=0, return_inverse=True)
-        who = who.ravel()
-        first = np.zeros(len(key), np.int64)
-        first[who] = np.arange(len(right))
-        facts = right.iloc[first]
-        size, spare, root, below, own = (facts[c].to_numpy() for c in ("size", "spare", "root", "below", "mine"))
-        fp, weight = key[:, 0], right["weight"].to_numpy()
-        _, lists = np.unique(right["list"].to_numpy(), return_inverse=True)
-        by_list = np.argsort(lists, kind="stable")
-        start = np.searchsorted(lists[by_list], np.arange(lists.max() + 2))
-        by_set = np.argsort(who, kind="stable")
-        of_set = np.searchsorted(who[by_set], np.arange(len(key) + 1))
-        need = np.array([needs(int(x), bool(y), percent) for x, y in zip(size, below)])
-        for u in np.flatnonzero(own).tolist():
-            rows_u = by_set[of_set[u] : of_set[u + 1]]
-            spans = [by_list[start[k] : start[k + 1]] for k in lists[rows_u].tolist()]
-            together = np.concatenate(spans)
-            shared = np.bincount(who[together], np.repeat(weight[rows_u], [len(x) for x in spans]), len(key))
-            most = (100 - percent) * (size[u] + size) // (100 + percent)  # tokens in which a linked pair may differ
-            beyond = shared + np.maximum(spare, spare[u])  # with what the sets may share in lists left out
-            ok = (shared > 0) & (beyond > spare[u] + need[u] - 1 - most) & (beyond > spare + need - 1 - most) & (root != root[u])
-            ok &= np.where(below, size > size[u], fp > fp[u]) & (100 * np.minimum(size, size[u]) >= percent * np.maximum(size, size[u]))
-            for v in np.flatnonzero(ok)[np.argsort(-shared[ok], kind="stable")].tolist():
-                a, b = find(int(root[u])), find(int(root[v]))
+        for u, root, others, roots in sharing(right, percent):
+            for v, other in zip(others.tolist(), roots.tolist()):
+                a, b = find(root), find(other)
                 if a != b:
-                    x, y = sets[int(fp[u])], sets[int(fp[v])]
+                    x, y = sets[u], sets[v]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         parent[a] = b
-                        out.append((int(fp[u]), int(fp[v])))
+                        out.append((u, v))
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    return texts.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(run, "u bigint, v bigint")
+    return texts.groupBy(*block).cogroup(rest.groupBy(*block)).applyInPandas(run, "u bigint, v bigint")
 
 
 def weak_pairs(facts: DataFrame, docs: DataFrame, n: int, fits) -> DataFrame:
@@ -388,8 +420,9 @@ def weak_pairs(facts: DataFrame, docs: DataFrame, n: int, fits) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), fingerprint(s))), pa.array(np.full(len(s), len(s), np.int32)), pa.array(s.view(np.int64))], names=["fp", "size", "token"])
 
     tokens = docs.mapInArrow(run, "fp bigint, size int, token bigint").distinct()
-    left = tokens.join(weak, "fp").select(F.col("fp").alias("fp_u"), F.col("size").alias("size_u"), "token")
-    right = tokens.select(F.col("fp").alias("fp_v"), F.col("size").alias("size_v"), "token")
+    left = materialize(tokens.join(near(weak), "fp").select(F.col("fp").alias("fp_u"), F.col("size").alias("size_u"), "token"), "weak-tokens")
+    theirs = near(materialize(left.select("token").distinct(), "tokens"))  # of all other sets only the tokens of weak ones are shuffled
+    right = tokens.join(theirs, "token", "left_semi").select(F.col("fp").alias("fp_v"), F.col("size").alias("size_v"), "token")
     both = left.join(right, "token").where("fp_u <> fp_v").where(fits)
     return both.select(F.least("fp_u", "fp_v").alias("u"), F.greatest("fp_u", "fp_v").alias("v")).distinct()
 
@@ -398,34 +431,43 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     """Rows (id, n_shingles, component_id) for every document; see the module's text."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialize(index(scan(docs, n, percent, 4 * tasks_for(spark))), "lists")
-    facts = found.where("list IS NULL").select("doc_id", "n", "fp", "weak")
-    reps = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    lists = found.where("list IS NOT NULL").groupBy("list").agg(F.sum("weight").alias("weight"), *(F.first(c).alias(c) for c in ("members", "sizes", "below", "spare")))
-    lists = materialize(lists, "distinct-lists")
+    buckets = max(tasks_for(spark), math.ceil(text_bytes(docs) / BUCKET_BYTES))
+    found = materialize(index(scan(docs, n, percent, buckets)), "lists")
+    facts = found.where("list IS NULL").select(*FACTS)
+    sets = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("size"), *(F.max(c).alias(c) for c in FACTS[4:]))
+    sets = materialize(sets, "sets")
+    reps = sets.select("fp", "doc_id")
+    lists = found.where("list IS NOT NULL").groupBy("list", "chunk").agg(F.sum("weight").alias("weight"), *(F.first(c).alias(c) for c in ("length", "members", "below")))
     fits = F.expr(f"100 * least(size_u, size_v) >= {percent} * greatest(size_u, size_v)")
 
     # first round: each set with the head of its lists that it shares most signatures with; the head
     # of a list is the member with the most and longest lists, such as the source of many near copies
-    member = F.explode(F.arrays_zip(F.col("members").alias("fp"), F.col("sizes").alias("size"), F.col("below").alias("below"), F.col("spare").alias("spare"))).alias("x")
-    rows = materialize(lists.select("list", "weight", F.size("members").alias("length"), member).select("list", "weight", "length", "x.fp", "x.size", "x.below", "x.spare"), "members")
-    rank = rows.groupBy("fp").agg(F.sum(F.col("weight") * F.col("length")).alias("rank"))
-    heads = rows.join(rank, "fp").groupBy("list").agg(F.max_by(F.struct(F.col("fp").alias("u"), F.col("size").alias("size_u")), F.struct("rank", "fp")).alias("h")).select("list", "h.u", "h.size_u")
-    star = rows.select("list", "weight", F.col("fp").alias("v"), F.col("size").alias("size_v")).join(heads, "list").where("u <> v").where(fits)
-    star = star.groupBy("u", "v").agg(F.sum("weight").alias("weight")).groupBy("v").agg(F.max_by("u", F.struct("weight", "u")).alias("u")).select("u", "v")
-    star = materialize(star, "star-pairs")
-    edges = materialize(verify(star, reps, docs, n, percent, star.count()), "links")
+    member = F.explode(F.arrays_zip(F.col("members").alias("fp"), F.col("below").alias("below"))).alias("x")
+    rows = lists.select("list", "weight", "length", member).select("list", "weight", "length", "x.fp", "x.below")
+    by_scheme = [F.when(F.col("below"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("low", "own", "count"), ("low_spare", "own_spare", "spare"))]
+    rank = F.sum(F.col("weight") * F.col("length")).over(Window.partitionBy("fp"))  # a set's lists are bounded by its text
+    rows = rows.join(sets, "fp").select("list", "weight", "length", "fp", "below", "size", *by_scheme, rank.alias("rank"))
+    rows = materialize(rows, "members")
+    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("size", "below", "count")]
+    heads = rows.groupBy("list").agg(F.max_by(F.struct(F.col("fp").alias("u"), *of("u")), F.struct("rank", "fp")).alias("h")).select("list", "h.*")
+    star = rows.select("list", "weight", F.col("fp").alias("v"), *of("v")).join(heads, "list").where("u <> v").where(fits)
+    star = star.groupBy("u", "v", "below_u", "below_v").agg(F.sum("weight").alias("weight"), *(F.first(f"{c}_{x}").alias(f"{c}_{x}") for c in ("size", "count") for x in "uv"))
+    # linked sets share all contributions but those of the tokens in which they may differ
+    may = F.expr(f"NOT (below_u AND below_v) AND weight >= greatest(count_u, count_v) - ({100 - percent} * (size_u + size_v)) div {100 + percent}")
+    star = star.groupBy("v").agg(F.max_by("u", F.struct("weight", "u")).alias("head"), F.max_by("u", F.when(may, F.struct("weight", "u"))).alias("u"))
+    star = materialize(star, "star")
+    pairs = star.where("u IS NOT NULL").select("u", "v")
+    edges = materialize(verify(pairs, reps, docs, n, percent, pairs.count()), "links")
     roots = components(edges)
 
     # second round: pairs in different components that share enough signatures of open lists
     rows = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rows = materialize(rows.join(star.select(F.col("v").alias("fp"), F.col("u").alias("head")), "fp", "left").withColumn("head", F.coalesce("head", "fp")), "rooted")
     open_ = rows.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
-    left = materialize(rows.join(open_, "list"), "open-lists")
-    heavy = left.groupBy("fp", "below").agg(F.sum("weight").alias("lost"), F.first("spare").alias("spare")).where("lost > spare").select("fp", "below")
+    left = materialize(rows.join(open_, "list").drop("rank"), "open-lists")
     # a pair shares its shortest common list with both sets' lists short of the longest that fit in the reserve
     longest = Window.partitionBy("fp", "below").orderBy(F.desc("length"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
-    left = left.join(heavy, ["fp", "below"], "left_semi").withColumn("dropped", F.sum("weight").over(longest)).where("dropped > spare").drop("dropped")
+    left = left.withColumn("dropped", F.sum("weight").over(longest)).where("dropped > spare").drop("dropped")
+    left = left.join(star.select(F.col("v").alias("fp"), "head"), "fp", "left").withColumn("head", F.coalesce("head", "fp"))
     left = materialize(left, "heavy-lists")
     more = settle(left, reps, docs, n, percent)
     weak = materialize(weak_pairs(facts, docs, n, fits), "weak-pairs")
