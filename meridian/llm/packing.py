@@ -34,7 +34,8 @@ class TokenIds:
     """Token ids as the `tokenizers` library gives them for a byte-level BPE file.
 
     The same vocabulary in rank form is encoded by tiktoken, which gives the same ids several times
-    faster; texts that hold the special string go to the library of the file itself.
+    faster; texts that hold the special string, and those with runs (of spaces, say) that its pattern
+    cannot step back over, go to the library of the file itself.
     """
 
     def __init__(self, json_file: str, ranks_file: str | None, pattern: str | None):
@@ -53,7 +54,10 @@ class TokenIds:
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or SPECIAL in text:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the pattern's stack is bounded
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def pieces_of(docs: DataFrame, json_file: str, ranks_file: str | None, pattern: str | None, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
