@@ -8,14 +8,18 @@ document with a smaller id is removed; windows are judged on the input.
 2. Confirmed passages. The windows of the regions are grouped by hash; the smallest document with a
    window that recurs owns it. Runs of windows that a document owns are its passages: together they
    hold every recurring window.
-3. Automata. Passages are dealt to shards of bounded size by owner. A shard's seeds, written with
-   one character per distinct word, become an Aho-Corasick automaton (pyahocorasick).
+3. Automata. Passages are dealt to shards of bounded size by origin. A shard's phrases - each seed
+   with half of a window's other words before it, and with as many behind it - are written with one
+   character per distinct word and become an Aho-Corasick automaton (pyahocorasick), with the
+   passages and places of each phrase. Every window of a passage holds one of its phrases.
 4. Stream. A document's regions go to the shards that hold one of its seeds, shards with much to
-   read are split. Where the automaton finds a seed, the confirmed window around it tells in which
-   of the seed's passages to compare word by word, in both directions; `width` words or more of a
-   smaller document are marked.
+   read are split. Where the automaton finds a phrase, it is extended word by word in both directions
+   in each of its passages; `width` words or more of a smaller document are marked.
 5. All documents are read once more and the marked words left out.
 
+A seed or window that a scan meets in several documents is settled there: only its least and greatest
+document take part in the shuffle by hash, so a phrase of all documents makes no large group.
+
 Work between the steps is written to the checkpoint folder. Null and empty texts have no words.
 Rows with one id are one document to others, each row is cut by its own text; a null id counts as
 smaller than all. Ties (the same window twice in a document) are taken at the first place. Columns
@@ -24,6 +28,7 @@ not named are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import WordHashes, ascii_words, materialize, tasks_for, window_hashes
+from meridian.llm.common import WordHashes, ascii_words, materialize, near, tasks_for, text_bytes, window_hashes
 
 NULL_ID = -(1 << 63)
 #: Hashes that a scan holds before it sends them on.
 FLUSH = 400_000
+#: Bytes of text whose seeds, and whose windows, a task compares, about.
+SEED_BYTES, WINDOW_BYTES = 100_000_000, 12_000_000
 #: Passage words in a shard, and bytes of regions that one task streams through it, about.
-SHARD_WORDS, STREAM_BYTES = 200_000, 8_000_000
-#: More ids than this are joined by a shuffle instead of a broadcast.
-BROADCAST_IDS = 500_000
+SHARD_WORDS, STREAM_BYTES = 120_000, 8_000_000
+#: Marks a place whose document's occurrences were sent apart.
+SENT = np.uint32(1 << 31)
 
 
 def sliding(a: np.ndarray, w: int, best) -> np.ndarray:
@@ -64,34 +71,62 @@ def seed_places(h: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.nd
     return places, g[places]
 
 
-def by_range(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, docs: np.ndarray, fps: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows (bucket, hashes, local document numbers, places, documents, fingerprints) by hash range."""
-    order = np.argsort(hashes)
-    hashes, doc, pos = hashes[order], doc[order], pos[order]
-    edge = np.searchsorted(((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-    rows = []
-    for b in range(buckets):
-        part = slice(edge[b], edge[b + 1])
-        if edge[b] < edge[b + 1]:
-            used, local = np.unique(doc[part], return_inverse=True)
-            rows.append((b, hashes[part].tobytes(), local.astype(np.uint32).tobytes(), pos[part].astype(np.uint32).tobytes(), docs[used].tobytes(), fps[used].tobytes()))
-    return rows
+PACKED = "bucket int, sent boolean, hashes binary, doc binary, pos binary, docs binary, fps binary"
+
+
+def combined(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, docs: np.ndarray, fps: np.ndarray, buckets: int, owners_only: bool) -> list[tuple]:
+    """Rows (bucket, sent, hashes, local document numbers, places, documents, fingerprints) by hash range.
 
+    Entries come in the order of (document, fingerprint, place). Of a hash with several documents the
+    first and the last entry stay; unless `owners_only`, all its entries are sent apart besides.
+    """
+    order = np.argsort(hashes, kind="stable")
+    hashes, doc, pos = hashes[order], doc[order], pos[order].astype(np.uint32)
+    first = np.r_[True, hashes[1:] != hashes[:-1]]
+    start = np.flatnonzero(first)
+    size = np.diff(np.r_[start, len(hashes)])
+    several = docs[doc[start]] != docs[doc[start + size - 1]]
+    last = np.zeros(len(hashes), bool)
+    last[(start + size - 1)[several]] = True
+    rows = []
 
-PACKED = "bucket int, hashes binary, doc binary, pos binary, docs binary, fps binary"
+    def add(bucket: int, sent: bool, take: np.ndarray | slice, mark: np.ndarray | None = None) -> None:
+        used, local = np.unique(doc[take], return_inverse=True)
+        where = pos[take] if mark is None else pos[take] | np.where(mark[take], SENT, np.uint32(0))
+        rows.append((bucket, sent, hashes[take].tobytes(), local.astype(np.uint32).tobytes(), where.tobytes(), docs[used].tobytes(), fps[used].tobytes()))
+
+    shared = np.repeat(several, size)
+    if owners_only:
+        stay, mark = first | last, None
+    else:
+        stay, mark = ~shared | first | last, shared
+        apart = np.flatnonzero(shared)
+        apart = apart[np.argsort(doc[apart], kind="stable")]
+        for k in range(0, len(apart), 50_000):  # spread by document, not by hash
+            take = apart[k : k + 50_000]
+            add(int(docs[doc[take[0]]]) * 0x9E3779B1 % buckets, True, take)
+    stay = np.flatnonzero(stay)
+    edge = np.searchsorted(((hashes[stay] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        add(b, False, stay[edge[b] : edge[b + 1]], mark)
+    return rows
 
 
 def packed_hashes(source: DataFrame, buckets: int, width: int, seed: int | None) -> DataFrame:
     """Hashes of seeds (or, without `seed`, of all windows) of rows (doc_id, fp, start, text), packed by range."""
+    most = min(4_000_000, max(FLUSH, 64 * buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        held, parts, docs, fps = 0, [], [], []
+        held, parts = 0, []
 
         def flush() -> pa.RecordBatch:
-            rows = by_range(*(np.concatenate(c) for c in zip(*parts)), np.array(docs, np.int64), np.array(fps, np.int64), buckets)
+            parts.sort(key=lambda x: x[:3])
+            docs, fps = (np.array([x[k] for x in parts], np.int64) for k in (0, 1))
+            hashes, pos = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts])
+            rows = combined(hashes, np.repeat(np.arange(len(parts)), [len(x[3]) for x in parts]), pos, docs, fps, buckets, not seed)
             cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "hashes", "doc", "pos", "docs", "fps"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "sent", "hashes", "doc", "pos", "docs", "fps"])
 
         for batch in batches:
             for doc, fp, start, item in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
@@ -102,13 +137,11 @@ def packed_hashes(source: DataFrame, buckets: int, width: int, seed: int | None)
                     hashes = window_hashes(h, width)
                     places = np.arange(len(hashes))
                 if len(places):
-                    parts.append((hashes, np.full(len(places), len(docs), np.uint32), places + start))
-                    docs.append(doc)
-                    fps.append(fp)
+                    parts.append((doc, fp, start, hashes, places + start))
                     held += len(places)
-                if held >= FLUSH:
+                if held >= most:
                     yield flush()
-                    held, parts, docs, fps = 0, [], [], []
+                    held, parts = 0, []
         if parts:
             yield flush()
 
@@ -123,18 +156,21 @@ def recurring(packed: DataFrame, owners_only: bool) -> DataFrame:
     """
 
     def run(group: pa.Table) -> pa.Table:
-        def column(name: str, kind) -> list[np.ndarray]:
-            return [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
-
-        ids = column("docs", np.int64)
-        first = np.cumsum([0] + [len(x) for x in ids])
-        which = np.concatenate([d.astype(np.int64) + f for d, f in zip(column("doc", np.uint32), first)])
-        ids, fps = np.concatenate(ids), np.concatenate(column("fps", np.int64))
-        hashes, pos = np.concatenate(column("hashes", np.uint64)), np.concatenate(column("pos", np.uint32)).astype(np.int64)
-        order = np.lexsort((pos, fps[which], ids[which], hashes))
-        hashes, which, pos = hashes[order], which[order], pos[order]
-        new = np.r_[True, hashes[1:] != hashes[:-1]]
-        start = np.flatnonzero(new)
+        def read(rows: list[dict]) -> tuple[np.ndarray, ...]:
+            column = lambda name, kind: [np.frombuffer(x[name], kind) for x in rows]
+            ids = column("docs", np.int64)
+            first = np.cumsum([0] + [len(x) for x in ids])
+            which = [d.astype(np.int64) + f for d, f in zip(column("doc", np.uint32), first)]
+            none = np.empty(0, np.int64)
+            join = lambda arrays, kind: np.concatenate([none.astype(kind), *arrays])
+            return join(ids, np.int64), join(column("fps", np.int64), np.int64), join(which, np.int64), join(column("hashes", np.uint64), np.uint64), join(column("pos", np.uint32), np.uint32)
+
+        rows = group.to_pylist()
+        ids, fps, which, hashes, pos = read([r for r in rows if not r["sent"]])
+        place = (pos & ~SENT).astype(np.int64)
+        order = np.lexsort((place, fps[which], ids[which], hashes))
+        hashes, which, pos, place = hashes[order], which[order], pos[order], place[order]
+        start = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, np.int64)
         size = np.diff(np.r_[start, len(hashes)])
         several = ids[which[start]] != ids[which[start + size - 1]]  # ids are sorted in each run
         if owners_only:
@@ -145,11 +181,14 @@ def recurring(packed: DataFrame, owners_only: bool) -> DataFrame:
             order = np.argsort(key, kind="stable")
             at, key = at[order], key[order]
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-            places = np.split(pos[at].astype(np.uint32), cut[1:]) if len(cut) else []
+            places = np.split(place[at].astype(np.uint32), cut[1:]) if len(cut) else []
             head = which[at[cut]]
             return pa.table({"doc_id": ids[head], "fp": fps[head], "places": pa.array([x.tobytes() for x in places], pa.binary())})
-        keep = np.repeat(several, size)
-        return pa.table({"doc_id": ids[which[keep]], "fp": fps[which[keep]], "hash": hashes[keep].view(np.int64), "pos": pos[keep].astype(np.int32)})
+        keep = np.repeat(several, size) & ((pos & SENT) == 0)
+        own = ids[which[keep]], fps[which[keep]], hashes[keep], place[keep]
+        ids, fps, which, hashes, pos = read([r for r in rows if r["sent"]])
+        doc, fp, code, at = (np.concatenate(x) for x in zip(own, (ids[which], fps[which], hashes, pos)))
+        return pa.table({"doc_id": doc, "fp": fp, "hash": code.view(np.int64), "pos": at.astype(np.int32)})
 
     kind = "doc_id bigint, fp bigint, places binary" if owners_only else "doc_id bigint, fp bigint, hash bigint, pos int"
     return packed.groupBy("bucket").applyInArrow(run, kind)
@@ -226,63 +265,60 @@ def common_length(a: str, i: int, b: str, j: int, step: int) -> int:
 
 
 class PassageAutomaton:
-    """Aho-Corasick automaton over the seeds of passages (doc_id, text)."""
+    """Aho-Corasick automaton over the phrases of passages (doc_id, text)."""
 
     def __init__(self, passages: list[tuple[int, str]], width: int, seed: int):
         import ahocorasick
 
-        self.width, self.seed, self.code = width, seed, {}
-        self.owner, self.chars, windows = [], [], []
-        known, automaton = WordHashes(), ahocorasick.Automaton()
-        for owner, text in passages:
+        side = -(-(width - seed) // 2)  # a window has as many words before or behind its seed
+        self.width, self.length, self.code = width, seed + side, {}
+        self.owner, self.chars = [], []
+        known, phrases = WordHashes(), {}
+        for owner, text in sorted(passages):
             words = ascii_words(text)
             for w in words:
                 if w not in self.code:
                     k = len(self.code) + 2
                     self.code[w] = chr(k if k < 0xD800 else k + 0x800)  # no surrogates
             chars = "".join(map(self.code.__getitem__, words))
-            for p in seed_places(known.of(words), width, seed)[0].tolist():
-                phrase = chars[p : p + seed]
-                if phrase not in automaton:
-                    automaton.add_word(phrase, True)
-            w = window_hashes(known.of(words), width)
-            windows.append((w, np.full(len(w), len(self.owner)), np.arange(len(w))))
+            places = seed_places(known.of(words), width, seed)[0]
+            for p in np.union1d(places, places - side).tolist():
+                if 0 <= p <= len(chars) - self.length:
+                    phrases.setdefault(chars[p : p + self.length], []).append((len(self.owner), p))
             self.owner.append(owner)
             self.chars.append(chars)
-        automaton.make_automaton()
-        self.automaton, self.known = automaton, known
-        # the passage and place of each confirmed window: the one of a seed's passages to extend in
-        self.windows, passage, place = (np.concatenate(x) for x in zip(*windows))
-        order = np.argsort(self.windows, kind="stable")
-        self.windows, self.passage, self.place = self.windows[order], passage[order], place[order]
-        self.owners = np.array(self.owner, np.int64)[self.passage]
+        self.automaton = ahocorasick.Automaton()
+        for phrase, places in phrases.items():
+            self.automaton.add_word(phrase, places)
+        self.automaton.make_automaton()
 
     def find(self, doc: int, text: str) -> list[tuple[int, int]]:
         """Word intervals of a text that passages of smaller documents cover."""
-        words = ascii_words(text)
-        w = window_hashes(self.known.of(words), self.width)
-        at = np.minimum(np.searchsorted(self.windows, w), len(self.windows) - 1)
-        likely = (self.windows[at] == w) & (self.owners[at] < doc)
-        if not likely.any():
-            return []
         get = self.code.get
-        chars = "".join([get(x, "\x01") for x in words])
-        starts = np.flatnonzero(likely)
+        chars = "".join([get(x, "\x01") for x in ascii_words(text)])
+        n, width, owner = len(chars), self.width, self.owner
         out: list[tuple[int, int]] = []
-        done = 0  # windows that start before are settled
-        for end, _ in self.automaton.iter(chars):
-            i = end - self.seed + 1
-            k = int(np.searchsorted(starts, max(done, i - (self.width - self.seed))))
-            while k < len(starts) and starts[k] <= i:
-                s = int(starts[k])
-                other, o = self.chars[self.passage[at[s]]], int(self.place[at[s]])
-                after = common_length(chars, s, other, o, 1)
-                if after >= self.width:
-                    out.append((s - common_length(chars, s, other, o, -1), s + after))
-                    done = s + after - self.width + 1
-                else:
-                    done = s + 1
-                k = int(np.searchsorted(starts, done))
+        reached: dict[tuple[int, int], int] = {}  # (passage, diagonal) -> where the last agreement on it ends
+        low = high = 0  # the marked interval that ends last
+        for end, places in self.automaton.iter(chars):
+            end += 1
+            i = end - self.length
+            if owner[places[0][0]] >= doc or low <= max(0, end - width) and high >= min(n, i + width):
+                continue  # of no smaller document, or all windows that hold the phrase are marked
+            for passage, p in places:
+                if owner[passage] >= doc:
+                    break
+                line = passage, i - p
+                if reached.get(line, 0) >= end:
+                    continue
+                other = self.chars[passage]
+                after = common_length(chars, i, other, p, 1)
+                reached[line] = i + after
+                before = common_length(chars, i, other, p, -1)
+                if before + after >= width:
+                    out.append((i - before, i + after))
+                    if i + after > high:
+                        low, high = out[-1]
         return out
 
 
@@ -291,14 +327,15 @@ def repeats(docs: DataFrame, width: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
     tasks = tasks_for(spark)
     whole = docs.select("doc_id", "fp", F.lit(0).cast("long").alias("start"), "text")
-    seeds = materialize(recurring(packed_hashes(whole, tasks, width, seed), False), "seeds")
+    buckets = max(tasks, math.ceil(text_bytes(docs) / SEED_BYTES))
+    seeds = materialize(recurring(packed_hashes(whole, buckets, width, seed), False), "seeds")
     marked = materialize(seeds.groupBy("doc_id", "fp").agg(F.collect_list("pos").alias("places")), "marked")
-    if marked.count() <= BROADCAST_IDS:
-        whole = whole.join(F.broadcast(marked.select("doc_id", "fp")), ["doc_id", "fp"], "left_semi")
+    whole = whole.join(near(marked.select("doc_id", "fp")), ["doc_id", "fp"], "left_semi")
     regions = whole.join(marked, ["doc_id", "fp"]).select("doc_id", "fp", "start", "text", "places")
     regions = materialize(cut_out(regions, width, seed), "regions")
 
-    owned = recurring(packed_hashes(regions.select("doc_id", "fp", "start", "text"), max(1, tasks // 2), width, None), True)
+    buckets = max(1, tasks // 2, math.ceil(text_bytes(regions) / WINDOW_BYTES))
+    owned = recurring(packed_hashes(regions.select("doc_id", "fp", "start", "text"), buckets, width, None), True)
     owned = materialize(owned.groupBy("doc_id", "fp").agg(F.collect_list("places").alias("places")), "owned")
     passages = regions.join(owned, ["doc_id", "fp"]).select("doc_id", "fp", "start", "text", "places")
     passages = materialize(cut_out(passages, width, None), "passages")
@@ -333,7 +370,8 @@ def repeats(docs: DataFrame, width: int, seed: int) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "fp", "spans"])
 
     found = dealt.groupBy("shard", "part").cogroup(routed.groupBy("shard", "part")).applyInPandas(stream, "doc_id bigint, fp bigint, spans binary")
-    return materialize(found.groupBy("doc_id", "fp").agg(F.collect_list("spans").alias("spans")), "spans")
+    joined = F.aggregate(F.collect_list("spans"), F.lit(b""), lambda a, b: F.concat(a, b))
+    return materialize(found.groupBy("doc_id", "fp").agg(joined.alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, seed: int = 26, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -346,9 +384,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, seed: int = 26, id_col: str
     docs = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in other.items())
     )
-    spans = repeats(docs.select("doc_id", "fp", "text"), width, seed)
-    if spans.count() <= BROADCAST_IDS:
-        spans = F.broadcast(spans)
+    spans = near(repeats(docs.select("doc_id", "fp", "text"), width, seed), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,7 +395,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, seed: int = 26, id_col: str
                     n, gone = len(words), 0
                     if packed:
                         drop = np.zeros(n + 1, np.int64)
-                        for a, b in np.concatenate([np.frombuffer(x, np.uint32) for x in packed]).reshape(-1, 2).tolist():
+                        for a, b in np.frombuffer(packed, np.uint32).reshape(-1, 2).tolist():
                             drop[a] += 1
                             drop[b] -= 1
                         keep = np.cumsum(drop)[:-1] == 0
