@@ -28,8 +28,37 @@ from meridian.llm.common import materialize
 RANGE_ROWS = 20_000
 
 
+def stirling_rest(n: int) -> float:
+    """log n! less Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def deviance(x: int, mean: float) -> float:
+    """x log(x / mean) + mean - x without loss of digits where x is close to the mean."""
+    d = (x - mean) / (x + mean)
+    if abs(d) > 0.1:
+        return x * math.log(x / mean) + mean - x
+    total, power, k = (x - mean) * d, 2 * x * d, 1
+    while True:
+        power *= d * d
+        k += 2
+        if total + power / k == total:
+            return total
+        total += power / k
+
+
+def binomial(x: int, n: int, p: float) -> float:
+    """Probability of x of n at p, in saddle-point form: logarithms of huge factorials never cancel."""
+    if x in (0, n):
+        return math.exp(n * (math.log1p(-p) if x == 0 else math.log(p)))
+    exponent = stirling_rest(n) - stirling_rest(x) - stirling_rest(n - x) - deviance(x, n * p) - deviance(n - x, n * (1 - p))
+    return math.exp(exponent) * math.sqrt(n / (2 * math.pi * x * (n - x)))
+
+
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
-    """How many of n draws without replacement from good + bad are good; exact, any size.
+    """How many of n draws without replacement from good + bad are good, to the precision of a double, any size.
 
     Inversion outwards from the mode: the expected number of steps is the standard deviation.
     """
@@ -37,9 +66,9 @@ def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
-    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
     mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
-    peak = math.exp(choose(good, mode) + choose(bad, n - mode) - choose(total, n))
+    p = n / total
+    peak = binomial(mode, good, p) * binomial(n - mode, bad, p) / binomial(n, total, p)
     u = rng.random() - peak
     if u < 0:
         return mode
