@@ -9,7 +9,9 @@ fits if the url has all its tokens. A url with a fitting rule is blocked, any ot
 unless a fixed rule decides: the longest one that fits host (or a parent domain) and path.
 
 Null urls and urls without `://` have empty host and path and are allowed. Repeated rows are judged
-each on its own. Without labels there are no mined rules. Columns not named are ignored.
+each on its own; of fitting rules of equal confidence the greatest token list is named. Urls of any
+length are read whole. An empty table gives no rows; without labels there are no mined rules. Columns
+not named are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +20,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import materialize
+from meridian.llm.common import materialize, near, tasks_for
 
 BAD = "=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: More rules than this are joined by a shuffle instead of a broadcast.
-BROADCAST_RULES = 20_000
 
 
 def url_host(url: Column) -> Column:
@@ -49,8 +49,9 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 def mine_rules(transactions: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Rules (antecedent, confidence, support) for BAD from rows with an array `items`."""
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(transactions)
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=tasks_for(transactions.sparkSession)).fit(transactions)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    rules = materialize(rules, "candidates")
     # a shorter rule that is as sure makes a longer one needless: compare rules that share a token
     short = rules.select(F.explode("antecedent").alias("token"), F.col("antecedent").alias("a"), F.col("confidence").alias("c"))
     long = rules.select(F.explode("antecedent").alias("token"), "antecedent", "confidence")
@@ -89,9 +90,7 @@ def judge_urls(
         rules = materialize(mine_rules(transactions, min(1.0, max(min_support, min_count / n)), min_confidence), "rules")
         frequency = transactions.select(F.explode("items").alias("token")).groupBy("token").count()
         filed = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(frequency, "token")
-        index = filed.groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
-        if rules.count() <= BROADCAST_RULES:
-            index = F.broadcast(index)
+        index = near(materialize(filed.groupBy("antecedent", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token")), "index"))
         hits = facts.select("row", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
         mined = hits.groupBy("row").agg(F.max_by("antecedent", F.struct("confidence", "antecedent")).alias("mined"), F.max("confidence").alias("confidence"))
 
