@@ -8,7 +8,8 @@ the score is at least `threshold`. Byte n-grams see spelling, symbols and case a
 they behave alike in every language. Documents that break a base rule are not kept either.
 
 Null and empty texts have no words, counts of 0, score 0 and fail the base rules. Repeated rows and
-ids give repeated results; trusted ids count once. Without trusted documents all scores are 0.
+ids give repeated results; trusted ids count once. A score equal to the threshold keeps. Without trusted
+documents all scores are 0; an empty table gives no rows. Texts of any length are read whole.
 Columns besides the two named are ignored.
 """
 
@@ -21,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import WordHashes, ascii_words, window_hashes
+from meridian.llm.common import WordHashes, ascii_words, materialize, near, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\v\f\r"
-#: More trusted ids than this are joined by a shuffle instead of a broadcast (16 bytes each).
-BROADCAST_IDS = 1_000_000
 
 
 def gram_buckets(text: str | None, n: int, buckets: int) -> np.ndarray:
@@ -59,9 +58,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n: int, buckets: int, id_col
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    ids = trusted.select(F.col(id_col).alias("_trusted_id")).dropna().distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = near(materialize(trusted.select(F.col(id_col).alias("_trusted_id")).dropna().distinct(), "trusted"))
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, F.col("_id") == F.col("_trusted_id"), "left")
     counts = source.select("_text", F.col("_trusted_id").isNotNull().alias("_good")).mapInArrow(count, "bucket bigint, raw bigint, target bigint")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # at most `buckets` rows
