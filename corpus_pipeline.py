@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
 return the columns of `documents`. The result is a row per piece of the packed sequences.
+
+Any column may be null. Null and empty texts fail the quality rules and so leave in the first stage;
+handed to a later stage they stay, as empty texts. Texts are read whole at any length. Columns other
+than those of `documents` are dropped, an empty table stays empty. What each stage does with ties,
+repeated rows and null ids is stated there.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm.common import materialize, table
+from meridian.llm.common import materialize, near, table
 from meridian.llm.decontamination import contaminated
 from meridian.llm.jaccard_join import near_duplicates
 from meridian.llm.packing import pack
@@ -18,16 +23,12 @@ from meridian.llm.queries import trusted_ids
 from meridian.llm.substring_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: More ids than this are anti-joined by a shuffle instead of a broadcast.
-BROADCAST_IDS = 1_000_000
 
 
 def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of `docs` whose key is not in `gone`; rows without a key stay."""
     gone = materialize(gone.select(key).dropna().distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, key, "left_anti")
+    return docs.join(near(gone), key, "left_anti")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -53,13 +54,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     several = groups.groupBy("component_id").count().where("count > 1").select("component_id")
     if several.isEmpty():
         return docs.select(*COLUMNS)
-    several = materialize(several, "components")
-    few = several.count() <= BROADCAST_IDS
-    near = F.broadcast if few else (lambda df: df)
-    members = groups.join(near(several), "component_id").select("_row", "component_id").distinct()
+    several = near(materialize(several, "components"))
+    members = groups.join(several, "component_id").select("_row", "component_id").distinct()
     members = materialize(members.join(docs.select("_row", "doc_id").distinct(), "_row"), "members")
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("best"))
-    gone = members.join(near(best), "component_id").where("_row <> best._row")
+    best = near(materialize(best, "best"))
+    gone = members.join(best, "component_id").where("_row <> best._row")
     kept = without(docs, gone, "_row")
     again = groups.groupBy("_row").count().where("count > 1")
     if again.isEmpty():
@@ -68,20 +68,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that documents of smaller ids have."""
+    """Documents without the passages that documents of smaller ids have.
+
+    Rows of one id are one document to others; a null id counts as smaller than all. Every row stays,
+    with an empty text where all of it repeats.
+    """
     cut = remove_repeats(docs, carry=("lang", "source"))
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows are told apart by id and text, equal rows leave or stay together."""
     docs = keyed(docs)
     found = contaminated(docs, table(spark, sf_dir, "benchmark"), id_col="_row")
     return without(docs, found, "_row").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences; repeated rows are packed as often as they come, a null or empty text as its end id."""
     import public_tokenizers as tok
 
     return pack(docs, tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
