@@ -45,7 +45,7 @@ FLUSH = 400_000
 #: Bytes of text whose seeds, and whose windows, a task compares, about.
 SEED_BYTES, WINDOW_BYTES = 100_000_000, 12_000_000
 #: Passage words in a shard, and bytes of regions that one task streams through it, about.
-SHARD_WORDS, STREAM_BYTES = 120_000, 8_000_000
+SHARD_WORDS, STREAM_BYTES = 80_000, 8_000_000
 #: Marks a place whose document's occurrences were sent apart.
 SENT = np.uint32(1 << 31)
 
