@@ -25,16 +25,30 @@ def plain_words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
-def matched_terms(text: Column, topic: str) -> Column:
-    """Terms of a topic that a text has, in the taxonomy's order."""
-    words = plain_words(text)
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is computed once a row, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def terms_in(words: Column, topic: str) -> Column:
+    """Terms of a topic among plain words, in the taxonomy's order."""
     terms = F.array(*(F.lit(x) for x in TOPICS[topic].split("|")))
     return F.filter(terms, lambda x: words.contains(F.concat(F.lit(" "), x, F.lit(" "))))
 
 
+def matched_terms(text: Column, topic: str) -> Column:
+    """Terms of a topic that a text has, in the taxonomy's order."""
+    return bound(plain_words(text), lambda w: terms_in(w, topic))
+
+
+def topic_flags(text: Column) -> Column:
+    """Struct with a boolean for each topic: whether the text has a term of it."""
+    return bound(plain_words(text), lambda w: F.struct(*((F.size(terms_in(w, k)) > 0).alias(k) for k in TOPICS)))
+
+
 def topic_matches(text: Column) -> Column:
     """Array of (topic, terms) of the topics with a matched term."""
-    every = F.array(*(F.struct(F.lit(k).alias("topic"), matched_terms(text, k).alias("terms")) for k in TOPICS))
+    every = bound(plain_words(text), lambda w: F.array(*(F.struct(F.lit(k).alias("topic"), terms_in(w, k).alias("terms")) for k in TOPICS)))
     return F.filter(every, lambda x: F.size(x["terms"]) > 0)
 
 
@@ -45,12 +59,14 @@ def words(text: Column) -> Column:
 
 def chunks(text: Column, size: int = 700, step: int = 600) -> Column:
     """Array of (index, text, tokens): overlapping word chunks; a short text is one chunk as it is."""
-    w = words(text)
-    n = F.size(w)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("index"), F.array_join(F.slice(w, k * step + 1, size), " ").alias("text"), F.size(F.slice(w, k * step + 1, size)).alias("tokens")))
-    one = F.array(F.struct(F.lit(0).alias("index"), text.alias("text"), n.alias("tokens")))
-    return F.when(n <= size, one).otherwise(cut)
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int")
+        piece = lambda k: F.when(n <= size, text).otherwise(F.array_join(F.slice(w, k * step + 1, size), " "))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("index"), piece(k).alias("text"), F.least(F.lit(size), n - k * step).alias("tokens")))
+
+    return bound(words(text), cut)
 
 
 def speaker_group(role: Column) -> Column:

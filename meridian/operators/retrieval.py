@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Vector elements of the queries that are broadcast at once (8 bytes each).
+BLOCK_NUMBERS = 2_000_000
+
+
 def unit(v: str | Column) -> Column:
     """A vector as doubles of length 1; the zero vector stays."""
     x = F.transform(v, lambda e: e.cast("double"))
@@ -20,9 +27,17 @@ def dot(a: str | Column, b: str | Column) -> Column:
 def top_k(index: DataFrame, queries: DataFrame, k: int, within: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest rows of `index` (chunk_id, unit, ...) for each query (query_id, q), per `within` if given.
 
-    A stated set of queries is broadcast against all rows; each task keeps only its best k of a group
-    before the shuffle (WindowGroupLimit), so the exchange carries k rows per task and group.
+    The stated set of queries goes against all rows in blocks of at most BLOCK_NUMBERS vector elements,
+    so what is broadcast at once is bounded however many queries there are. Each task keeps only its best
+    k of a group before the shuffle (WindowGroupLimit), so the exchange carries k rows per task and group.
     """
-    scored = index.join(F.broadcast(queries), F.lit(True)).withColumn("score", F.floor(dot("unit", "q") * 1e6 + 0.5) / 1e6)
+    numbers = queries.agg(F.coalesce(F.sum(F.size("q").cast("long")), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(numbers / BLOCK_NUMBERS))
     order = Window.partitionBy("query_id", *within).orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("unit", "q", "embedding")
+
+    def best(block: int) -> DataFrame:
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        scored = index.join(F.broadcast(some), F.lit(True)).withColumn("score", F.floor(dot("unit", "q") * 1e6 + 0.5) / 1e6)
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("unit", "q", "embedding")
+
+    return reduce(DataFrame.unionByName, map(best, range(blocks)))

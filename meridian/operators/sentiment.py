@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.functions.text import TOPICS, matched_terms, speaker_group, topic_matches
+from meridian.functions.text import TOPICS, speaker_group, topic_flags, topic_matches
 
 SECTIONS = ("item_7_mda", "item_1a_risk_factors")
 
@@ -68,11 +68,10 @@ def topic_features(items: DataFrame) -> DataFrame:
     """Per event and topic the weighted score and the share of the scored population (null score and share 0 if absent)."""
     pop = items.where("status = 'SCORED' AND (event_source = 'sec_filing' OR speaker_group = 'management')")
     w = F.greatest(F.coalesce("token_count", F.lit(1)), F.lit(1)).cast("double")
-    has = {k: F.size(matched_terms(F.col("content"), k)) > 0 for k in TOPICS}
-    flags = pop.select("event_key", w.alias("w"), (w * F.col("sentiment_score")).alias("ws"), *(h.alias(f"_{k}") for k, h in has.items()))
-    pick = lambda k, c: F.sum(F.when(F.col(f"_{k}"), F.col(c)))
+    flags = pop.select("event_key", w.alias("w"), (w * F.col("sentiment_score")).alias("ws"), topic_flags(F.col("content")).alias("has"))
+    pick = lambda k, c: F.sum(F.when(F.col(f"has.{k}"), F.col(c)))
     scores = [F.try_divide(pick(k, "ws"), pick(k, "w")).alias(f"topic_{k}_sentiment") for k in TOPICS]
-    shares = [(F.count_if(F.col(f"_{k}")) / F.count(F.lit(1))).alias(f"topic_{k}_share") for k in TOPICS]
+    shares = [(F.count_if(F.col(f"has.{k}")) / F.count(F.lit(1))).alias(f"topic_{k}_share") for k in TOPICS]
     found = flags.groupBy("event_key").agg(*scores, *shares)
     out = items.select("event_key").distinct().join(found, "event_key", "left")
     return out.na.fill(0.0, [f"topic_{k}_share" for k in TOPICS])

@@ -406,12 +406,14 @@ def evenly_spaced(rows: DataFrame, keys: list[str], order: list[str], points: in
     return short.unionByName(x.where(F.col("_n") > points).join(wanted, [*keys, "_i"], "left_semi").select(*short.columns)).drop("_i", "_n")
 
 
+#: Greatest number of points of a chart.
+POINTS = 420
 SPACED = "SELECT ticker, trading_date, value FROM indexed WHERE n <= {m} OR i IN (SELECT CAST(round_even(p * (n - 1) / CAST({m1} AS DOUBLE), 0) AS INT) FROM range({m}) x(p))"
 
 
-@query("K5", f"SELECT ticker, trading_date, {r('value')} AS value FROM ({SPACED.format(m=90, m1=89)})")
+@query("K5", f"SELECT ticker, trading_date, {r('value')} AS value FROM ({SPACED.format(m=POINTS, m1=POINTS - 1)})")
 def k5(t):
-    return evenly_spaced(indexed_series(t.bars_daily), ["ticker"], ["trading_date"], 90).select("ticker", "trading_date", rounded("value").alias("value"))
+    return evenly_spaced(indexed_series(t.bars_daily), ["ticker"], ["trading_date"], POINTS).select("ticker", "trading_date", rounded("value").alias("value"))
 
 
 @query(
@@ -420,7 +422,7 @@ def k5(t):
   primary_ AS (SELECT max(trading_date) AS d FROM bars_daily WHERE ticker = (SELECT min(ticker) FROM top)),
   w AS (SELECT ticker, trading_date, adjusted_close FROM bars_daily, primary_ WHERE (ticker = 'SPY' OR ticker IN (SELECT ticker FROM top)) AND trading_date BETWEEN d - 365 AND d),
   x AS (SELECT ticker, trading_date, adjusted_close / first_value(adjusted_close) OVER (PARTITION BY ticker ORDER BY trading_date) * 100 AS value, row_number() OVER (PARTITION BY ticker ORDER BY trading_date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM w),
-  k AS (SELECT ticker, trading_date, value FROM x WHERE n <= 60 OR i IN (SELECT CAST(round_even(p * (n - 1) / CAST(59 AS DOUBLE), 0) AS INT) FROM range(60) y(p)))
+  k AS (SELECT ticker, trading_date, value FROM x WHERE n <= {POINTS} OR i IN (SELECT CAST(round_even(p * (n - 1) / CAST({POINTS - 1} AS DOUBLE), 0) AS INT) FROM range({POINTS}) y(p)))
   SELECT k.ticker, k.trading_date, {r('k.value')} AS value, coalesce(e.events, 0) AS events FROM k LEFT JOIN (SELECT ticker, event_date, count(*) AS events FROM corp_events GROUP BY ticker, event_date) e ON e.ticker = k.ticker AND e.event_date = k.trading_date""",
 )
 def c12(t):
@@ -429,7 +431,7 @@ def c12(t):
     scope = top.union(t.spark.createDataFrame([("SPY",)], "ticker string"))
     last = bars.join(F.broadcast(top.agg(F.min("ticker").alias("ticker"))), "ticker").agg(F.max("trading_date").alias("d"))
     window = bars.join(F.broadcast(scope), "ticker").join(F.broadcast(last), F.col("trading_date").between(F.date_sub("d", 365), F.col("d")))
-    series = evenly_spaced(indexed_series(window), ["ticker"], ["trading_date"], 60)
+    series = evenly_spaced(indexed_series(window), ["ticker"], ["trading_date"], POINTS)
     dated = t.corp_events.groupBy("ticker", F.col("event_date").alias("trading_date")).agg(F.count(F.lit(1)).alias("events"))
     out = series.join(dated, ["ticker", "trading_date"], "left")
     return out.select("ticker", "trading_date", rounded("value").alias("value"), F.coalesce("events", F.lit(0)).alias("events"))

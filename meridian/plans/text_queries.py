@@ -173,13 +173,13 @@ def index_of(t) -> DataFrame:
     return t.chunk_vectors.withColumn("unit", unit("embedding"))
 
 
-def queries_of(t, every: int = 100) -> DataFrame:
-    """A stated query set: the vectors whose id is divisible by `every` (and below 10 of those)."""
-    return index_of(t).where((F.col("chunk_id") % every == 0) & (F.col("chunk_id") < 10 * every)).select(F.col("chunk_id").alias("query_id"), F.col("unit").alias("q"))
+def queries_of(t, every: int = 50) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by `every`."""
+    return index_of(t).where(F.col("chunk_id") % every == 0).select(F.col("chunk_id").alias("query_id"), F.col("unit").alias("q"))
 
 
 def ranked_sql(where: str, within: str, k: int, more: str = "") -> str:
-    return f"SELECT * FROM (SELECT q.chunk_id AS query_id, i.chunk_id, i.ticker, i.corpus, {SCORE} AS score, CAST(row_number() OVER (PARTITION BY q.chunk_id{within} ORDER BY {SCORE} DESC, i.chunk_id) AS INT) AS rank FROM vectors q JOIN vectors i ON q.chunk_id % 100 = 0 AND q.chunk_id < 1000 AND {where} {more}) WHERE rank <= {k}"
+    return f"SELECT * FROM (SELECT q.chunk_id AS query_id, i.chunk_id, i.ticker, i.corpus, {SCORE} AS score, CAST(row_number() OVER (PARTITION BY q.chunk_id{within} ORDER BY {SCORE} DESC, i.chunk_id) AS INT) AS rank FROM vectors q JOIN vectors i ON q.chunk_id % 50 = 0 AND {where} {more}) WHERE rank <= {k}"
 
 
 oracle_view("top10", ranked_sql("TRUE", "", 10))
@@ -312,7 +312,7 @@ def c15(t):
 
 @query(
     "C16",
-    """WITH m AS (SELECT turn_id, string_agg(ticker, ',' ORDER BY pos, ticker) AS tickers FROM mentions GROUP BY turn_id), q AS (SELECT r.turn_id, r.corpora, m.tickers, (r.turn_id % 10) * 100 AS query_id FROM routed r LEFT JOIN m ON m.turn_id = r.turn_id WHERE r.wants_text),
+    """WITH m AS (SELECT turn_id, string_agg(ticker, ',' ORDER BY pos, ticker) AS tickers FROM mentions GROUP BY turn_id), q AS (SELECT r.turn_id, r.corpora, m.tickers, r.turn_id % s.n * 50 AS query_id FROM routed r CROSS JOIN (SELECT max(chunk_id) // 50 + 1 AS n FROM vectors) s LEFT JOIN m ON m.turn_id = r.turn_id WHERE r.wants_text),
   x AS (SELECT q.turn_id, q.tickers, p.corpus, p.chunk_id, row_number() OVER (PARTITION BY q.turn_id ORDER BY p.corpus, p.rank) AS n FROM q JOIN top10 p ON p.query_id = q.query_id AND contains(q.corpora, p.corpus))
   SELECT turn_id, coalesce(tickers, '') AS tickers, 'S' || n::VARCHAR AS label, corpus, chunk_id FROM x""",
 )
@@ -322,7 +322,9 @@ def c16(t):
     routed = asked.select("turn_id", *(c.alias(k) for k, c in text.route(F.col("content")).items())).where("wants_text")
     named = mentions(asked).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ticker"))).alias("m")).select("turn_id", F.array_join(F.col("m.ticker"), ",").alias("tickers"))
     near = top_k(index_of(t), queries_of(t), 10).select("query_id", "chunk_id", "corpus", "rank")
-    x = routed.withColumn("query_id", (F.col("turn_id") % 10) * 100).join(near, "query_id").where(F.expr("contains(corpora, corpus)")).join(named, "turn_id", "left")
+    asked_for = t.chunk_vectors.agg((F.floor(F.max("chunk_id") / 50) + 1).alias("n"))  # questions go round all query vectors
+    routed = routed.join(F.broadcast(asked_for), F.lit(True)).withColumn("query_id", F.col("turn_id") % F.col("n") * 50)
+    x = routed.join(near, "query_id").where(F.expr("contains(corpora, corpus)")).join(named, "turn_id", "left")
     n = F.row_number().over(Window.partitionBy("turn_id").orderBy("corpus", "rank"))
     return x.select("turn_id", F.coalesce("tickers", F.lit("")).alias("tickers"), F.concat(F.lit("S"), n.cast("string")).alias("label"), "corpus", "chunk_id")
 
@@ -449,7 +451,7 @@ def x1(t):
     first = bars.where(F.col("trading_date") < cut).withColumn("volume", F.when(F.col("trading_date") >= F.date_sub(cut, 14), 0).otherwise(F.col("volume")))
     second = bars.where(F.col("trading_date") >= F.date_sub(cut, 14))
     for k, part in enumerate((first, second)):
-        part.withColumn("loaded", F.lit(k)).coalesce(1).write.mode("append").parquet(landed)
+        part.withColumn("loaded", F.lit(k)).write.mode("append").parquet(landed)
     schema = t.spark.read.parquet(landed).schema
     return jobs.refresh_bars(t.spark, landed, schema).select("ticker", "trading_date", rounded("adjusted_close").alias("adjusted_close"), "volume")
 
@@ -481,7 +483,7 @@ def x4(t):
     done = t.predictions.where("actual IS NOT NULL").select("event_key", F.lit("outcome").alias("kind"), day("target_trading_date").alias("at"), F.lit(None).cast("long").alias("deadline"), F.col("actual").alias("value"))
     landed = scratch(t.spark, "ledger-events")
     for part in (made.unionByName(late), done):
-        part.coalesce(1).write.mode("append").parquet(landed)
+        part.write.mode("append").parquet(landed)
     stream = t.spark.readStream.schema("event_key string, kind string, at bigint, deadline bigint, value double").parquet(landed)
     out = jobs.ledger_stream(t.spark, stream)
     return out.select("event_key", "status", rounded("forecast").alias("forecast"), rounded("realized").alias("realized"))

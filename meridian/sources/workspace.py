@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names, or in /tmp/checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new path in the shared folder that the cluster names; without one only a local session has a folder, of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
+def read_if_there(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The Parquet table at a path, or None where nothing has been written yet."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def latest_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Of the rows of a key the one with the greatest `seq`."""
     order = Window.partitionBy(*keys).orderBy(F.desc(seq))
@@ -29,12 +45,7 @@ def upsert(path: str, incoming: DataFrame, keys: list[str], part: str) -> DataFr
     """
     spark = incoming.sparkSession
     seq = incoming.withColumn("_seq", F.lit(1))
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # the first load
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
+    old = read_if_there(spark, path)
     if old is not None:
         touched = F.broadcast(incoming.select(part).distinct())  # partition names: few by design
         seq = old.join(touched, part, "left_semi").withColumn("_seq", F.lit(0)).unionByName(seq)

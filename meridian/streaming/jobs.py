@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.functions.udfs import score_texts
-from meridian.sources.workspace import latest_wins, scratch, upsert
+from meridian.sources.workspace import latest_wins, read_if_there, scratch, upsert
 
 
 def read_files(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
@@ -19,8 +19,13 @@ def run_available(stream: DataFrame, each_batch) -> None:
     stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
 
 
+def write_batch(rows: DataFrame, table: str, n: int) -> None:
+    """The rows of one micro-batch; a batch that is run again after a failure writes over its first try."""
+    rows.write.mode("overwrite").parquet(f"{table}/batch={n}")
+
+
 def refresh_bars(spark: SparkSession, landed: str, schema, lookback_days: int = 14) -> DataFrame:
-    """Landed price files upserted into a table; a file re-reads `lookback_days`, so late corrections win."""
+    """Landed price files upserted into a table, oldest first; a load re-reads `lookback_days`, so late corrections win."""
     table = scratch(spark, "refreshed")
 
     def merge(batch: DataFrame, _: int) -> None:
@@ -28,39 +33,36 @@ def refresh_bars(spark: SparkSession, landed: str, schema, lookback_days: int =
             newest = latest_wins(batch, ["ticker", "trading_date"], "loaded")
             upsert(table, newest.withColumn("year", F.year("trading_date")), ["ticker", "trading_date"], "year")
 
-    run_available(read_files(spark, landed, schema), merge)
+    run_available(read_files(spark, landed, schema, 8), merge)
     return spark.read.parquet(table)
 
 
 def new_alerts(spark: SparkSession, records: DataFrame, watched: DataFrame) -> DataFrame:
     """One alert per (type, source record) of watched tickers from a stream of records; known ones are left out."""
-    table = scratch(spark, "alerts")
+    table, kind = scratch(spark, "alerts"), "event_type string, source_record_id string, created_at timestamp, event_id bigint, ticker string"
     kept = records.join(F.broadcast(watched.distinct()), "ticker", "left_semi")
 
-    def insert(batch: DataFrame, _: int) -> None:
+    def insert(batch: DataFrame, n: int) -> None:
         fresh = batch.groupBy("event_type", "source_record_id").agg(F.min(F.struct("created_at", "event_id", "ticker")).alias("x")).select("event_type", "source_record_id", "x.*")
-        try:
-            known = spark.read.parquet(table).select("event_type", "source_record_id")
-            fresh = fresh.join(known, ["event_type", "source_record_id"], "left_anti")
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(table)
+        known = read_if_there(spark, table, f"{kind}, batch bigint")
+        if known is not None:
+            fresh = fresh.join(known.where(F.col("batch") < n), ["event_type", "source_record_id"], "left_anti")
+        write_batch(fresh, table, n)
 
     run_available(kept, insert)
-    return spark.read.schema("event_type string, source_record_id string, created_at timestamp, event_id bigint, ticker string").parquet(table)
+    return spark.read.schema(f"{kind}, batch bigint").parquet(table).drop("batch")
 
 
 def score_backlog(spark: SparkSession, items: DataFrame, done: DataFrame, key: str, text: str) -> DataFrame:
     """Scores a stream of items that have no result yet, batch by batch, into a result table."""
     table = scratch(spark, "scores")
 
-    def score(batch: DataFrame, _: int) -> None:
+    def score(batch: DataFrame, n: int) -> None:
         waiting = batch.join(done.select(key), key, "left_anti")
-        score_texts(waiting, key, text).write.mode("append").parquet(table)
+        write_batch(score_texts(waiting, key, text), table, n)
 
     run_available(items, score)
-    return spark.read.schema(f"{key} bigint, label string, score double, confidence double, tokens int, segments int, status string").parquet(table)
+    return spark.read.schema(f"{key} bigint, label string, score double, confidence double, tokens int, segments int, status string, batch bigint").parquet(table).drop("batch")
 
 
 def ledger_stream(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -91,8 +93,8 @@ def ledger_stream(spark: SparkSession, events: DataFrame) -> DataFrame:
     states = events.groupBy("event_key").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.withColumn("version", F.lit(n)).write.mode("append").parquet(table)
+        write_batch(batch, table, n)
 
     place = scratch(spark, "stream-progress")
     states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
-    return latest_wins(spark.read.parquet(table), ["event_key"], "version")
+    return latest_wins(spark.read.parquet(table), ["event_key"], "batch")
