@@ -2,58 +2,106 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Named character references that are replaced (the ampersand last).
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
+class VisibleText(HTMLParser):
+    """Text pieces of a page: one between tags, broken at <br>; scripts, styles and noscript are left out."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.pieces: list[str] = []
+        self.hidden: list[str] = []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("script", "style", "noscript"):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.hidden:
+            del self.hidden[self.hidden.index(tag) :]
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.pieces.append(data)
+
+
+def visible_text(html: str | None) -> str:
+    """Visible text, a line for each piece; blanks collapsed, empty lines removed, character references decoded."""
+    try:
+        pieces = VisibleText(html or "").pieces
+    except AssertionError:  # the parser gives up on some broken declarations
+        pieces = VisibleText(re.sub(r"(?is)<!(?!--|doctype)[^>]*(>|$)", " ", html or "")).pieces
+    lines = (" ".join(line.split()) for piece in pieces for line in piece.split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def html_to_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """Rows (id, text) of pages, parsed batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([visible_text(h.as_py()) for h in batch.column(1)], pa.string())], names=[id_col, "text"])
 
-def html_to_text(html: Column) -> Column:
-    """Visible text, one piece a line: scripts and styles dropped, blanks collapsed, empty lines removed."""
-    x = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "\n")
-    for name, sign in ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(sign))
-    lines = F.transform(F.split(x, "\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
-    return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
+    source = pages.select(id_col, html_col)
+    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, text string")
 
 
-#: Headings that start and end a section, by form.
+#: By form and section the pattern of the heading that starts it and those of headings that end it.
 SECTIONS = {
     "10-K": {
-        "item_1a_risk_factors": (r"^\s*ITEM\s+1A[\.\s:\-]+RISK\s+FACTORS\b.*$", r"^\s*ITEM\s+(1B|1C|2)\b.*$"),
-        "item_7_mda": (r"^\s*ITEM\s+7[\.\s:\-]+MANAGEMENT['’]?S\s+DISCUSSION.*$", r"^\s*ITEM\s+(7A|8)\b.*$"),
-    }
+        "item_1_business": (r"^\s*ITEM\s+1[\.\s:\-]+BUSINESS\b.*$", (r"^\s*ITEM\s+1A\b.*$",)),
+        "item_1a_risk_factors": (r"^\s*ITEM\s+1A[\.\s:\-]+RISK\s+FACTORS\b.*$", (r"^\s*ITEM\s+1B\b.*$", r"^\s*ITEM\s+1C\b.*$", r"^\s*ITEM\s+2\b.*$")),
+        "item_7_mda": (r"^\s*ITEM\s+7[\.\s:\-]+MANAGEMENT['’]?S\s+DISCUSSION.*$", (r"^\s*ITEM\s+7A\b.*$", r"^\s*ITEM\s+8\b.*$")),
+        "item_7a_market_risk": (r"^\s*ITEM\s+7A[\.\s:\-]+QUANTITATIVE\s+AND\s+QUALITATIVE.*$", (r"^\s*ITEM\s+8\b.*$",)),
+        "item_8_financial_statements": (r"^\s*ITEM\s+8[\.\s:\-]+FINANCIAL\s+STATEMENTS.*$", (r"^\s*ITEM\s+9\b.*$", r"^\s*PART\s+III\b.*$")),
+    },
+    "10-Q": {
+        "part1_item1_financial_statements": (r"^\s*ITEM\s+1[\.\s:\-]+FINANCIAL\s+STATEMENTS\b.*$", (r"^\s*ITEM\s+2[\.\s:\-]+MANAGEMENT.*$",)),
+        "part1_item2_mda": (r"^\s*ITEM\s+2[\.\s:\-]+MANAGEMENT['’]?S\s+DISCUSSION.*$", (r"^\s*ITEM\s+3\b.*$",)),
+        "part1_item3_market_risk": (r"^\s*ITEM\s+3[\.\s:\-]+QUANTITATIVE\s+AND\s+QUALITATIVE.*$", (r"^\s*ITEM\s+4\b.*$",)),
+        "part1_item4_controls": (r"^\s*ITEM\s+4[\.\s:\-]+CONTROLS\s+AND\s+PROCEDURES\b.*$", (r"^\s*PART\s+II\b.*$",)),
+        "part2_item1a_risk_factors": (r"^\s*ITEM\s+1A[\.\s:\-]+RISK\s+FACTORS\b.*$", (r"^\s*ITEM\s+2\b.*$", r"^\s*ITEM\s+3\b.*$", r"^\s*ITEM\s+4\b.*$", r"^\s*ITEM\s+5\b.*$", r"^\s*ITEM\s+6\b.*$")),
+    },
 }
 MARK = "\u0001"
 
 
-def section_candidates(docs: DataFrame, text: str, section: str, form: str = "10-K", least: int = 50) -> DataFrame:
-    """Every occurrence of a section's start heading with its body up to the first end heading; short ones go.
+def section_candidates(docs: DataFrame, text: str, section: str, form: str, least: int = 50) -> DataFrame:
+    """Every occurrence of a section's start heading, with the text up to the first end heading behind it.
 
     A mark is put before each heading and the text is split at the marks, so headings that span lines
-    are found; lengths of the parts before give the place.
+    are found; lengths of the parts before give the place. Adds section_key, position, heading, content,
+    length; candidates shorter than `least` go.
     """
-    start, end = SECTIONS[form][section]
-    marked = F.regexp_replace(text, f"(?imU)({start})", f"{MARK}$1")
-    x = docs.withColumn("_parts", F.split(marked, MARK)).select("*", F.posexplode("_parts").alias("_k", "_part"))
-    order = Window.partitionBy("doc_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("position", F.coalesce(F.sum(F.length("_part")).over(order), F.lit(0)).cast("int")).where("_k > 0")
-    cut = F.regexp_instr("_part", F.lit(f"(?imU){end}"))
-    x = x.withColumn("_cut", cut).withColumn("content", F.when(F.col("_cut") > 1, F.substring("_part", F.lit(1), F.col("_cut") - 1)).otherwise(F.col("_part")))
-    return x.withColumns({"section_key": F.lit(section), "length": F.length("content")}).where(F.col("length") >= least).drop("_parts", "_part", "_k", "_cut")
+    start, ends = SECTIONS[form][section]
+    parts = F.split(F.regexp_replace(text, f"(?imU)({start})", f"{MARK}$1"), MARK)
+    x = docs.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("_k", "_part")).where("_k > 0")
+    before = F.aggregate(F.slice("_parts", 1, F.col("_k")), F.lit(0), lambda n, p: n + F.length(p))
+    heading = F.regexp_extract("_part", f"(?imU)({start})", 1)
+    x = x.withColumns({"position": before, "heading": heading})
+    tail = F.substring(text, F.col("position") + F.length("heading") + 1, F.length(text))
+    body = F.concat("heading", F.split(tail, "(?imU)" + "|".join(ends), 2)[0])
+    x = x.withColumn("content", F.regexp_replace(body, r"(?U)^\s+|\s+\z", ""))
+    return x.withColumns({"section_key": F.lit(section), "length": F.length("content")}).where(F.col("length") >= least).drop("_parts", "_part", "_k")
 
 
-def toc_score(text: Column, position: Column) -> Column:
+def toc_score(text: Column, position: Column, heading: Column) -> Column:
     """Evidence that a heading belongs to a table of contents; 3 or more means it does."""
     before = F.substring(text, F.greatest(F.lit(1), position - 1499), F.least(position, F.lit(1500)))
     after = F.substring(text, position + 1, F.lit(3000))
-    line = F.substring(text, position + 1, F.lit(200))
     flag = lambda c, n: F.when(c, n).otherwise(0)
     return (
-        flag(F.upper(before).contains("TABLE OF CONTENTS"), 3) + flag(line.rlike(r"(?m)\.{3,}\s*\d+\s*$"), 2)
-        + flag(F.regexp_count(after, F.lit(r"(?im)^\s*ITEM\s+\d")) >= 3, 1) + flag(position < F.length(text) * 0.15, 1)
+        flag(F.upper(before).contains("TABLE OF CONTENTS"), 3) + flag(heading.rlike(r"(?U)\.{3,}\s*\d+\s*$"), 2)
+        + flag(F.regexp_count(after, F.lit(r"(?imU)^\s*ITEM\s+\d+[A-Z]?\b.*$")) >= 3, 1) + flag(position < F.length(text) * 0.15, 1)
     )
 
 

@@ -25,36 +25,73 @@ WORDS = "[w FOR w IN string_split_regex({}, '[ \\t\\n\\r\\f\\x0B]+') IF w <> '']
 
 @query("F1")
 def f1(t):
-    x = t.pages.select("page_id", html.html_to_text(F.col("html")).alias("text"))
+    x = html.html_to_text(t.pages, "page_id", "html")
     return x.where(F.length("text") >= 1000).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-HEADED = "TABLE OF CONTENTS\nItem 1A. Risk Factors ..... 5\nItem 7. Management's Discussion ..... 9\nItem 8. Financial Statements ..... 12\n"
+#: Filings are made of documents: a table of contents, then each section twice, the second time over two lines.
+HEADINGS = {
+    "10-K": [("Item 1. Business", "Item 1.\nBusiness"), ("Item 1A. Risk Factors", "Item 1A.\nRisk Factors"), ("Item 1B. Unresolved", "Item 2. Properties"), ("Item 7. Management's Discussion", "Item 7:\nManagement’s Discussion and Analysis"), ("Item 7A. Quantitative and Qualitative Disclosures", "Item 7A -\nQuantitative and Qualitative"), ("Item 8. Financial Statements", "Item 8.\nFinancial Statements"), ("Item 9. Changes", "Part III")],
+    "10-Q": [("Item 1. Financial Statements", "Item 1.\nFinancial Statements"), ("Item 2. Management's Discussion", "Item 2:\nManagement’s Discussion"), ("Item 3. Quantitative and Qualitative Disclosures", "Item 3 -\nQuantitative and Qualitative"), ("Item 4. Controls and Procedures", "Item 4.\nControls and Procedures"), ("Part II", "Part II"), ("Item 1A. Risk Factors", "Item 1A.\nRisk Factors"), ("Item 6. Exhibits", "Item 5. Other")],
+}
 
 
-def filings_with_headings(t) -> DataFrame:
-    """Documents with a contents block, two headings (one over two lines) and end headings."""
-    body = F.concat(F.lit(HEADED), F.repeat(F.lit("intro "), 50), F.lit("\nItem 1A.\nRisk Factors\n"), "text", F.lit("\nItem 1B. Unresolved\nItem 7. Management's Discussion and Analysis\n"), F.reverse("text"), F.lit("\nItem 8. Financial Statements\n"))
-    return t.documents.select("doc_id", body.alias("body"))
+def filing_pieces(form: str) -> list[str]:
+    """Literal pieces of a filing of a form; a document's text, in turn as it is and reversed, goes between them."""
+    contents = "TABLE OF CONTENTS\n" + "".join(f"{a} ..... {5 * k + 5}\n" for k, (a, _) in enumerate(HEADINGS[form]))
+    return [contents + "intro " * 400 + "\n"] + [f"\n{x}\n" for pair in zip(*HEADINGS[form]) for x in pair]
+
+
+def filings_with_headings(t, form: str) -> DataFrame:
+    docs = t.filing_chunks.where(F.col("form_type") == form)
+    parts = [F.lit(p) if n == 0 else F.concat("content", F.lit(p)) if n % 2 else F.concat(F.reverse("content"), F.lit(p)) for n, p in enumerate(filing_pieces(form))]
+    return docs.select(F.col("chunk_id").alias("doc_id"), F.concat(*parts).alias("body"))
+
+
+def headed_sql(form: str) -> str:
+    quoted = [p.replace("'", "''") for p in filing_pieces(form)]
+    body = " || ".join(f"'{p}'" if n == 0 else f"content || '{p}'" if n % 2 else f"reverse(content) || '{p}'" for n, p in enumerate(quoted))
+    return f"SELECT chunk_id AS doc_id, {body} AS body FROM filing_chunks WHERE form_type = '{form}'"
+
+
+def candidates_sql(form: str, section: str) -> str:
+    """Candidates cut by DuckDB's own regular expressions."""
+    start, ends = (x if isinstance(x, str) else "|".join(x) for x in html.SECTIONS[form][section])
+    start, ends = start.replace("'", "''"), ends.replace("'", "''")
+    return f"""SELECT doc_id, body, '{section}' AS section_key, position, heading, trim(heading || string_split_regex(substr(body, CAST(position + length(heading) + 1 AS BIGINT)), '(?im){ends}')[1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM (
+      SELECT doc_id, body, list_sum([length(p) FOR p IN parts[1:k]]) AS position, regexp_extract(parts[k + 1], '(?im)({start})', 1) AS heading FROM (
+        SELECT doc_id, body, parts, unnest(range(1, len(parts))) AS k FROM (SELECT doc_id, body, string_split(regexp_replace(body, '(?im)({start})', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM ({headed_sql(form)}))))"""
+
+
+CANDIDATES = " UNION ALL ".join(candidates_sql(form, k) for form in html.SECTIONS for k in html.SECTIONS[form])
+oracle_view("candidates", f"SELECT *, length(content) AS n FROM ({CANDIDATES}) WHERE length(content) >= 50")
+oracle_view(
+    "scored_candidates",
+    r"""SELECT *, CASE WHEN contains(upper(substr(body, greatest(1, CAST(position AS BIGINT) - 1499), least(CAST(position AS BIGINT), 1500))), 'TABLE OF CONTENTS') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(trim(heading, chr(10) || chr(13) || ' '), '\.{3,}\s*\d+\s*$') THEN 2 ELSE 0 END
+  + CASE WHEN len(regexp_extract_all(substr(body, CAST(position AS BIGINT) + 1, 3000), '(?im)^\s*ITEM\s+\d+[A-Z]?\b.*$')) >= 3 THEN 1 ELSE 0 END + CASE WHEN position < length(body) * 0.15 THEN 1 ELSE 0 END AS toc FROM candidates""",
+)
 
 
 def candidates(t) -> DataFrame:
-    docs = filings_with_headings(t)
-    found = reduce(DataFrame.unionByName, [html.section_candidates(docs, "body", k) for k in html.SECTIONS["10-K"]])
-    return found.withColumn("toc", html.toc_score(F.col("body"), F.col("position")))
+    found = reduce(DataFrame.unionByName, [html.section_candidates(filings_with_headings(t, form), "body", k, form) for form in html.SECTIONS for k in html.SECTIONS[form]])
+    return found.withColumn("toc", html.toc_score(F.col("body"), F.col("position"), F.col("heading")))
 
 
-@query("F2")
+@query("F2", "SELECT doc_id, section_key, CAST(position AS INT) AS position, CAST(n AS INT) AS length FROM candidates")
 def f2(t):
     return candidates(t).select("doc_id", "section_key", "position", "length")
 
 
-@query("F3")
+@query("F3", "SELECT doc_id, section_key, CAST(position AS INT) AS position, CAST(toc AS INT) AS toc, toc >= 3 AS is_toc FROM scored_candidates")
 def f3(t):
     return candidates(t).select("doc_id", "section_key", "position", "toc", (F.col("toc") >= 3).alias("is_toc"))
 
 
-@query("F4")
+@query(
+    "F4",
+    """WITH a AS (SELECT *, min(CAST(toc >= 3 AS INT)) OVER (PARTITION BY doc_id, section_key) AS least FROM scored_candidates), b AS (SELECT *, max(n) OVER (PARTITION BY doc_id, section_key) AS longest FROM a WHERE CAST(toc >= 3 AS INT) = least),
+  c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_key ORDER BY position DESC) AS k FROM b WHERE n >= 0.4 * longest) SELECT doc_id, section_key, CAST(position AS INT) AS position, CAST(n AS INT) AS length, md5(content) AS digest FROM c WHERE k = 1""",
+)
 def f4(t):
     return html.best_candidate(candidates(t)).select("doc_id", "section_key", "position", "length", F.md5("content").alias("digest"))
 
@@ -227,23 +264,58 @@ def j15(t):
     return index.join(rows, "chunk_id", "full_outer").select("chunk_id", state.alias("state"))
 
 
-#: A hand-made alias dictionary over words that the questions have.
-ALIASES = [("AAA", "the"), ("AAA", "der"), ("BBB", "with"), ("BBB", "que"), ("CCC", "was"), ("CCC", "is"), ("DDD", "to be"), ("DDD", "la")]
-MENTIONS = " UNION ALL ".join(f"SELECT turn_id, '{k}' AS ticker, length(regexp_extract(' ' || lower(content), '(?s)^(.*?)[^a-z0-9_]{a}(?:[^a-z0-9_]|$)', 1)) AS pos FROM turns WHERE speaker_role = 'analyst' AND regexp_matches(' ' || lower(content), '[^a-z0-9_]{a}([^a-z0-9_]|$)')" for k, a in ALIASES)
-oracle_view("mentions", f"SELECT turn_id, ticker, min(pos) AS pos FROM ({MENTIONS}) GROUP BY turn_id, ticker")
+#: Aliases made by hand, beside ticker and name of every company.
+HAND_ALIASES = [("Brand#1", "the"), ("Brand#2", "der"), ("Brand#3", "with"), ("Brand#4", "que"), ("Brand#5", "to be")]
+#: Questions name a company by its ticker, or by its name, or not at all.
+oracle_view("named_companies", "SELECT ticker, lower(ticker) || ' ' || lower(sector) AS name, row_number() OVER (ORDER BY ticker) - 1 AS i, count(*) OVER () AS n FROM companies")
+oracle_view("questions", "SELECT t.turn_id, CASE turn_id % 3 WHEN 0 THEN content || ' And ' || upper(c.name) || '?' WHEN 1 THEN content || ' And ' || c.ticker || '?' ELSE content END AS content FROM turns t JOIN named_companies c ON c.i = t.turn_id % c.n WHERE t.speaker_role = 'analyst'")
+oracle_view("aliases", f"SELECT alias, max(ticker) AS ticker FROM (SELECT ticker, lower(ticker) AS alias FROM companies UNION ALL SELECT ticker, name FROM named_companies UNION ALL SELECT c.ticker, h.alias FROM companies c JOIN (VALUES {', '.join(map(str, HAND_ALIASES))}) h(ticker, alias) ON h.ticker = c.ticker) GROUP BY alias")
+oracle_view(
+    "mentions",
+    r"""SELECT turn_id, ticker, min(pos) AS pos FROM (SELECT turn_id, ticker, length(regexp_extract(' ' || lower(content), '(?s)^(.*?)[^\p{L}\p{N}_]' || regexp_escape(alias) || '(?:[^\p{L}\p{N}_]|$)', 1)) AS pos
+  FROM questions JOIN aliases ON regexp_matches(' ' || lower(content), '[^\p{L}\p{N}_]' || regexp_escape(alias) || '([^\p{L}\p{N}_]|$)')) GROUP BY turn_id, ticker""",
+)
+
+
+def questions(t) -> DataFrame:
+    names = named_companies(t).withColumns({"i": F.row_number().over(Window.orderBy("ticker")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})  # a row per company
+    name, one = F.upper("name"), F.col("turn_id") % 3
+    asked = t.turns.where("speaker_role = 'analyst'").join(F.broadcast(names.drop("alias")), F.expr("turn_id % n = i"))
+    return asked.select("turn_id", F.when(one == 0, F.concat("content", F.lit(" And "), name, F.lit("?"))).when(one == 1, F.concat("content", F.lit(" And "), names["ticker"], F.lit("?"))).otherwise(F.col("content")).alias("content"))
 
 
-def mentions(questions: DataFrame, aliases=ALIASES) -> DataFrame:
-    """Tickers that a question names by an alias at word borders, with the first position (from 0)."""
-    every = F.array(*(F.struct(F.lit(k).alias("ticker"), F.lit(a).alias("alias")) for k, a in aliases))
-    x = questions.withColumn("a", F.explode(every)).withColumn("low", F.concat(F.lit(" "), F.lower("content")))
-    pos = F.regexp_instr("low", F.concat(F.lit("[^a-z0-9_]"), F.col("a.alias"), F.lit("(?![a-z0-9_])")))
-    return x.withColumn("pos", pos - 1).where("pos >= 0").groupBy("turn_id", F.col("a.ticker").alias("ticker")).agg(F.min("pos").alias("pos"))
+def named_companies(t) -> DataFrame:
+    return t.companies.select("ticker", F.concat(F.lower("ticker"), F.lit(" "), F.lower("sector")).alias("name"))
+
+
+def alias_map(t) -> DataFrame:
+    """Aliases (alias, ticker): ticker, name and hand-made ones; the greatest ticker keeps an alias of several."""
+    hand = t.spark.createDataFrame(HAND_ALIASES, "ticker string, alias string").join(t.companies.select("ticker"), "ticker", "left_semi")
+    named = named_companies(t)
+    every = named.select("ticker", F.lower("ticker").alias("alias")).unionByName(named.select("ticker", F.col("name").alias("alias"))).unionByName(hand)
+    return every.groupBy("alias").agg(F.max("ticker").alias("ticker"))
+
+
+def mentions(asked: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Tickers that a question names by an alias at word borders, with the first position (from 0).
+
+    A text is split at word borders; every phrase of as many pieces as the longest alias has meets the
+    dictionary on equality, so the cost does not grow with the dictionary.
+    """
+    word, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    pieces = lambda c: F.filter(F.split(c, f"(?<={word})(?={other})|(?<={other})(?={word})"), lambda p: p != "")
+    longest = F.broadcast(aliases.agg(F.coalesce(F.max(F.size(pieces("alias"))), F.lit(1)).alias("most")))
+    x = asked.join(longest, F.lit(True)).select("turn_id", "most", pieces(F.lower("content")).alias("p"))
+    x = x.select("turn_id", "most", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1)))).alias("k")).where("k <= size(p) AND p[k - 1] RLIKE '^[a-z0-9_]'")
+    x = x.select("turn_id", "p", "k", F.explode(F.expr("sequence(1, most, 2)")).alias("m")).where("k + m - 1 <= size(p)")
+    x = x.withColumn("alias", F.array_join(F.slice("p", F.col("k"), F.col("m")), "")).join(F.broadcast(aliases), "alias")
+    pos = F.length(F.array_join(F.slice("p", F.lit(1), F.col("k") - 1), ""))
+    return x.groupBy("turn_id", "ticker").agg(F.min(pos).alias("pos"))
 
 
 @query("J16", "SELECT turn_id, ticker, CAST(row_number() OVER (PARTITION BY turn_id ORDER BY pos, ticker) AS INT) AS n FROM mentions")
 def j16(t):
-    x = mentions(t.turns.where("speaker_role = 'analyst'"))
+    x = mentions(questions(t), alias_map(t))
     return x.select("turn_id", "ticker", F.row_number().over(Window.partitionBy("turn_id").orderBy("pos", "ticker")).alias("n"))
 
 
@@ -254,13 +326,17 @@ def j16(t):
     "C13",
     f"""WITH lp AS (SELECT ticker, max(trading_date) FILTER (n = 1) AS latest_date, max(adjusted_close) FILTER (n = 1) AS latest, max(adjusted_close) FILTER (n = 2) AS previous FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY trading_date DESC) AS n FROM bars_daily) WHERE n <= 2 GROUP BY ticker),
   le AS (SELECT ticker, event_key, event_date FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_date DESC, event_source, event_key DESC) AS n FROM corp_events) WHERE n = 1)
-  SELECT w.watchlist_id, w.ticker, lp.latest_date, {r('lp.latest')} AS latest, {r('lp.latest / lp.previous - 1')} AS return_1d, le.event_key AS latest_event, le.event_date AS latest_event_date FROM watchlist_items w LEFT JOIN lp ON lp.ticker = w.ticker LEFT JOIN le ON le.ticker = w.ticker""",
+  SELECT w.watchlist_id, w.ticker, m.score AS management_score, m.label AS management_label, lp.latest_date, {r('lp.latest')} AS latest, {r('lp.latest / lp.previous - 1')} AS return_1d, le.event_key AS latest_event, le.event_date AS latest_event_date FROM watchlist_items w LEFT JOIN lp ON lp.ticker = w.ticker LEFT JOIN le ON le.ticker = w.ticker
+  LEFT JOIN (SELECT ticker, score, label FROM ({summary_sql("(SELECT s.* FROM service_rows s JOIN (SELECT ticker, max(transcript_id) AS last FROM turns GROUP BY ticker) l ON l.ticker = s.ticker AND l.last = s.transcript_id WHERE s.speaker_group = 'management' AND s.status IS NOT NULL)", 'ticker')})) m ON m.ticker = 'T' || right(w.ticker, 1)""",
 )
 def c13(t):
     order = Window.partitionBy("ticker").orderBy(F.desc("event_date"), "event_source", F.desc("event_key"))
     newest = t.corp_events.withColumn("n", F.row_number().over(order)).where("n = 1").select("ticker", F.col("event_key").alias("latest_event"), F.col("event_date").alias("latest_event_date"))
-    x = t.watchlist_items.join(latest_two(t.bars_daily), "ticker", "left").join(newest, "ticker", "left")
-    return x.select("watchlist_id", "ticker", "latest_date", rounded("latest").alias("latest"), rounded("return_1d").alias("return_1d"), "latest_event", "latest_event_date")
+    last = t.turns.groupBy("ticker").agg(F.max("transcript_id").alias("transcript_id"))  # calls of a company go by its last digit
+    said = service(t).where("speaker_group = 'management' AND status IS NOT NULL").join(last, ["ticker", "transcript_id"], "left_semi")
+    mood = sent.labelled(said.groupBy("ticker").agg(*sent.summary())).select(F.col("ticker").alias("calls"), F.col("score").alias("management_score"), F.col("label").alias("management_label"))
+    x = t.watchlist_items.join(latest_two(t.bars_daily), "ticker", "left").join(newest, "ticker", "left").join(mood, F.concat(F.lit("T"), F.right("ticker", F.lit(1))) == F.col("calls"), "left")
+    return x.select("watchlist_id", "ticker", "management_score", "management_label", "latest_date", rounded("latest").alias("latest"), rounded("return_1d").alias("return_1d"), "latest_event", "latest_event_date")
 
 
 RUNS = "SELECT run_id, max(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS failed, max(completed_at) AS done_at FROM stage_runs GROUP BY run_id"
@@ -272,14 +348,17 @@ oracle_view("runs", RUNS)
     """WITH now AS (SELECT max(completed_at) AS n FROM stage_runs), tracked AS (SELECT ticker FROM watchlist_items UNION SELECT 'SPY'), day AS (SELECT max(trading_date) AS d FROM bars_daily),
   m AS (SELECT t.ticker, max(b.trading_date) AS latest FROM tracked t LEFT JOIN bars_daily b ON b.ticker = t.ticker GROUP BY t.ticker),
   a AS (SELECT count(*) AS tracked, count(*) FILTER (d - latest <= 5) AS fresh FROM m, day), s AS (SELECT max(done_at) FILTER (failed = 0) AS ok, arg_max(failed, struct_pack(a := done_at, b := run_id)) AS last_failed FROM runs)
-  SELECT tracked, fresh, array_to_string([x FOR x IN [CASE WHEN fresh < tracked THEN 'market_data_stale' END, CASE WHEN ok IS NULL THEN 'scheduler_never_succeeded' WHEN epoch(n) - epoch(ok) > 72 * 3600 THEN 'scheduler_stale' END, CASE WHEN last_failed = 1 THEN 'latest_scheduler_failed' END] IF x IS NOT NULL], ',') AS issues FROM a, s, now""",
+  SELECT tracked, fresh, array_to_string([x FOR x IN [CASE WHEN fresh < tracked THEN 'market_data_stale' END, CASE WHEN ok IS NULL THEN 'scheduler_never_succeeded' WHEN epoch(n) - epoch(ok) > 72 * 3600 THEN 'scheduler_stale' END, CASE WHEN last_failed = 1 THEN 'latest_scheduler_failed' END] IF x IS NOT NULL], ',') AS issues, fresh = tracked AND ok IS NOT NULL AND epoch(n) - epoch(ok) <= 72 * 3600 AND last_failed = 0 AS ready, activity FROM a, s, now,
+  (SELECT string_agg(source || ':' || n::VARCHAR || ':' || coalesce(seen::VARCHAR, '-'), ',' ORDER BY source) AS activity FROM (SELECT CASE event_source WHEN 'sec_filing' THEN 'sec_filings' ELSE 'earnings_transcripts' END AS source, count(*) AS n, max(event_date) AS seen FROM corp_events GROUP BY 1
+    UNION ALL SELECT 'prospective_predictions', count(*), max(feature_as_of_date) FROM ledger
+    UNION ALL SELECT 'sentiment', sum(n)::BIGINT, max(seen) FROM (SELECT count(*) AS n, max(DATE '2024-01-01' + CAST(turn_id % 365 AS INT)) AS seen FROM turn_scores UNION ALL SELECT count(*), max(DATE '2023-01-01' + CAST(chunk_id % 365 AS INT)) FROM chunk_scores)))""",
 )
 def c14(t):
     return freshness(t)
 
 
 def freshness(t, price_days: int = 5, run_hours: int = 72) -> DataFrame:
-    """Age of prices and of the last good run against their limits, as issue codes."""
+    """Age of prices and of the last good run against their limits, as issue codes, and what each source has and since when."""
     tracked = t.watchlist_items.select("ticker").union(t.bars_daily.where("ticker = 'SPY'").select("ticker")).distinct()
     latest = t.bars_daily.groupBy("ticker").agg(F.max("trading_date").alias("latest"))
     day = t.bars_daily.agg(F.max("trading_date").alias("d"))
@@ -292,7 +371,16 @@ def freshness(t, price_days: int = 5, run_hours: int = 72) -> DataFrame:
         F.when(F.col("ok").isNull(), "scheduler_never_succeeded").when(age > run_hours * 3_600_000_000, "scheduler_stale"),
         F.when(F.col("last_failed") == 1, "latest_scheduler_failed"),
     )
-    return market.join(F.broadcast(state)).select("tracked", "fresh", F.array_join(F.array_compact(codes), ",").alias("issues"))
+    scored = t.turn_scores.agg(ONE().alias("n"), F.max(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("turn_id") % 365).cast("int"))).alias("at"))
+    scored = scored.union(t.chunk_scores.agg(ONE(), F.max(F.date_add(F.lit("2023-01-01").cast("date"), (F.col("chunk_id") % 365).cast("int")))))
+    source = F.when(F.col("event_source") == "sec_filing", "sec_filings").otherwise("earnings_transcripts").alias("source")
+    activity = t.corp_events.groupBy(source).agg(ONE().alias("n"), F.max("event_date").alias("at"))
+    activity = activity.unionByName(t.ledger.agg(F.lit("prospective_predictions").alias("source"), ONE().alias("n"), F.max("feature_as_of_date").alias("at")))
+    activity = activity.unionByName(scored.agg(F.lit("sentiment").alias("source"), F.sum("n").alias("n"), F.max("at").alias("at")))  # the later of the two
+    line = F.concat_ws(":", "source", F.col("n").cast("string"), F.coalesce(F.col("at").cast("string"), F.lit("-")))
+    activity = activity.agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("activity"))  # four rows
+    issues = F.array_join(F.array_compact(codes), ",")
+    return market.join(F.broadcast(state)).join(F.broadcast(activity)).select("tracked", "fresh", issues.alias("issues"), (issues == "").alias("ready"), "activity")
 
 
 @query(
@@ -320,7 +408,7 @@ def c16(t):
     """Numbered sources of each question: mentioned tickers, routed corpora, nearest chunks."""
     asked = t.turns.where("speaker_role = 'analyst'")
     routed = asked.select("turn_id", *(c.alias(k) for k, c in text.route(F.col("content")).items())).where("wants_text")
-    named = mentions(asked).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ticker"))).alias("m")).select("turn_id", F.array_join(F.col("m.ticker"), ",").alias("tickers"))
+    named = mentions(questions(t), alias_map(t)).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ticker"))).alias("m")).select("turn_id", F.array_join(F.col("m.ticker"), ",").alias("tickers"))
     near = top_k(index_of(t), queries_of(t), 10).select("query_id", "chunk_id", "corpus", "rank")
     asked_for = t.chunk_vectors.agg((F.floor(F.max("chunk_id") / 50) + 1).alias("n"))  # questions go round all query vectors
     routed = routed.join(F.broadcast(asked_for), F.lit(True)).withColumn("query_id", F.col("turn_id") % F.col("n") * 50)
@@ -489,19 +577,53 @@ def x4(t):
     return out.select("event_key", "status", rounded("forecast").alias("forecast"), rounded("realized").alias("realized"))
 
 
-@query("X5", "SELECT event_id, created_at FROM alerts_in WHERE event_id % 5 IN (0, 1, 2) AND event_id % 4 < 3 ORDER BY created_at, event_id LIMIT 100")
+@query(
+    "X5",
+    """SELECT event_id, created_at, state FROM (SELECT *, ['PENDING', 'FAILED', 'REJECTED', 'READY', 'SKIPPED', 'GENERATING'][event_id % 6 + 1] AS state, CASE WHEN event_id % 7 > 0 THEN created_at + INTERVAL 1 MINUTE * (event_id % 3 * 30) END AS last_attempt, max(created_at) OVER () AS now FROM alerts_in)
+  WHERE ticker IN ('T1', 'T2', 'T3', 'T4') AND event_id % 4 < 3 AND (state IN ('PENDING', 'FAILED', 'REJECTED') OR state = 'GENERATING' AND (last_attempt IS NULL OR last_attempt < now - INTERVAL 1 HOUR)) ORDER BY created_at, event_id LIMIT 100""",
+)
 def x5(t):
-    """Retryable alerts, oldest first: pending, failed or rejected, with fewer than three attempts."""
-    state = F.element_at(F.array(*(F.lit(s) for s in ("PENDING", "FAILED", "REJECTED", "READY", "SKIPPED"))), (F.col("event_id") % 5 + 1).cast("int"))
-    x = t.alerts_in.withColumns({"state": state, "attempts": F.col("event_id") % 4})
-    return x.where("state IN ('PENDING', 'FAILED', 'REJECTED') AND attempts < 3").orderBy("created_at", "event_id").limit(100).select("event_id", "created_at")
+    """Retryable alerts of the scope, oldest first: see `work_queue`; state and attempts follow from the id."""
+    state = F.element_at(F.array(*(F.lit(s) for s in ("PENDING", "FAILED", "REJECTED", "READY", "SKIPPED", "GENERATING"))), (F.col("event_id") % 6 + 1).cast("int"))
+    tried = F.when(F.col("event_id") % 7 > 0, F.col("created_at") + F.make_interval(mins=F.col("event_id") % 3 * 30))
+    x = t.alerts_in.withColumns({"state": state, "attempts": F.col("event_id") % 4, "last_attempt": tried})
+    return work_queue(x, ["T1", "T2", "T3", "T4"], t.alerts_in.agg(F.max("created_at").alias("now"))).select("event_id", "created_at", "state")
+
 
+def work_queue(alerts: DataFrame, tickers: list[str], now: DataFrame, most_attempts: int = 3, limit: int = 100) -> DataFrame:
+    """Pending, failed or rejected alerts, and those generating for over an hour, with attempts left; oldest first."""
+    stale = (F.col("state") == "GENERATING") & (F.col("last_attempt").isNull() | (F.col("last_attempt") < F.col("now") - F.expr("INTERVAL 1 HOUR")))
+    x = alerts.where(F.col("ticker").isin(*tickers) & (F.col("attempts") < most_attempts)).join(F.broadcast(now), F.lit(True))
+    return x.where(F.col("state").isin("PENDING", "FAILED", "REJECTED") | stale).orderBy("created_at", "event_id").limit(limit)
 
-@query("X6", "SELECT run_id, CASE WHEN count(*) FILTER (status = 'FAILED') > 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, count(*) AS stages, coalesce(string_agg(stage, ',' ORDER BY stage) FILTER (status = 'FAILED'), '') AS failed_stages, count(*) FILTER (status = 'FAILED') > 0 AS dependants_blocked FROM stage_runs GROUP BY run_id")
+
+@query(
+    "X6",
+    """SELECT run_id, CASE WHEN count(*) FILTER (state = 'FAILED') > 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, count(*) AS stages, coalesce(string_agg(stage, ',' ORDER BY stage) FILTER (state = 'FAILED'), '') AS failed_stages, count(*) FILTER (state = 'FAILED') > 0 AS dependants_blocked, count(*) FILTER (orphaned) AS orphaned, max(closed_at) AS completed_at
+  FROM (SELECT run_id, stage, run_id % 9 = 4 AND stage = 'click' AS orphaned, CASE WHEN run_id % 9 = 4 AND stage = 'click' THEN 'FAILED' ELSE status END AS state, CASE WHEN run_id % 9 = 4 AND stage = 'click' THEN max(completed_at) OVER () ELSE completed_at END AS closed_at FROM stage_runs) GROUP BY run_id""",
+)
 def x6(t):
+    """Rollup of runs, some of which were left in a running stage."""
+    left = F.expr("run_id % 9 = 4 AND stage = 'click'")
+    runs = t.stage_runs.withColumns({"completed_at": F.when(~left, F.col("completed_at")), "status": F.when(left, "RUNNING").otherwise(F.col("status"))})
+    return run_history(close_orphans(runs, t.stage_runs.agg(F.max("completed_at").alias("now"))))
+
+
+def close_orphans(stages: DataFrame, now: DataFrame) -> DataFrame:
+    """Stages still RUNNING when the next run starts have failed, and end then."""
+    lost = F.col("status") == "RUNNING"
+    x = stages.join(F.broadcast(now), F.lit(True)).withColumn("orphaned", lost)
+    return x.withColumns({"status": F.when(lost, "FAILED").otherwise(F.col("status")), "completed_at": F.when(lost, F.col("now")).otherwise(F.col("completed_at"))}).drop("now")
+
+
+def run_history(stages: DataFrame) -> DataFrame:
+    """Final status, failed stages, blocked dependants and orphans of each run."""
     failed = F.col("status") == "FAILED"
     names = F.array_join(F.array_sort(F.collect_list(F.when(failed, F.col("stage")))), ",")
-    return t.stage_runs.groupBy("run_id").agg(F.when(F.bool_or(failed), "FAILED").otherwise("SUCCEEDED").alias("status"), ONE().alias("stages"), names.alias("failed_stages"), F.bool_or(failed).alias("dependants_blocked"))
+    return stages.groupBy("run_id").agg(
+        F.when(F.bool_or(failed), "FAILED").otherwise("SUCCEEDED").alias("status"), ONE().alias("stages"), names.alias("failed_stages"), F.bool_or(failed).alias("dependants_blocked"),
+        F.count_if("orphaned").alias("orphaned"), F.max("completed_at").alias("completed_at"),
+    )
 
 
 @query("X7")
