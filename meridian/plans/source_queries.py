@@ -307,13 +307,15 @@ def any_of(terms: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower(content), '{x}')" for x in terms) + ")"
 
 
-oracle_view(
-    "routed",
-    f"""SELECT turn_id, content, CASE WHEN {any_of(CALL_TERMS)} AND NOT {any_of(FILING_TERMS)} THEN 'transcripts' WHEN {any_of(FILING_TERMS)} AND NOT {any_of(CALL_TERMS)} THEN 'filings' ELSE 'filings,transcripts' END AS corpora,
+def routed_sql(key: str, source: str) -> str:
+    """Routing of the questions of a source."""
+    return f"""SELECT {key}, content, CASE WHEN {any_of(CALL_TERMS)} AND NOT {any_of(FILING_TERMS)} THEN 'transcripts' WHEN {any_of(FILING_TERMS)} AND NOT {any_of(CALL_TERMS)} THEN 'filings' ELSE 'filings,transcripts' END AS corpora,
   NOT {any_of([*HISTORY_TERMS, 'all calls', 'previous calls', 'past calls'])} AND ({any_of(LATEST_TERMS)} OR (NOT contains(lower(content), 'calls') AND {any_of(SINGLE_CALL_TERMS)})) AS latest_call,
   NOT {any_of([*HISTORY_TERMS, 'all filings', 'previous filings', 'past filings'])} AND {any_of(['latest', 'most recent', 'newest'])} AS latest_filing,
-  {any_of(MARKET_TERMS)} AS wants_market, NOT {any_of(MARKET_TERMS)} OR {any_of(DOCUMENT_TERMS)} AS wants_text FROM turns WHERE speaker_role = 'analyst'""",
-)
+  {any_of(MARKET_TERMS)} AS wants_market, NOT {any_of(MARKET_TERMS)} OR {any_of(DOCUMENT_TERMS)} AS wants_text FROM {source}"""
+
+
+oracle_view("routed", routed_sql("turn_id", "turns WHERE speaker_role = 'analyst'"))
 
 
 @query("P7", "SELECT turn_id, corpora, latest_call, latest_filing, wants_market, wants_text FROM routed")

@@ -14,6 +14,7 @@ from meridian.operators.retrieval import top_k, unit
 from meridian.plans.aggregate_queries import WT, filing_rows, service, summary_sql, topic_rows_sql
 from meridian.plans.market_queries import latest_two
 from meridian.plans.registry import oracle_view, query
+from meridian.plans.source_queries import routed_sql
 from meridian.sources.workspace import scratch
 from meridian.streaming import jobs
 
@@ -270,11 +271,13 @@ HAND_ALIASES = [("Brand#1", "the"), ("Brand#2", "der"), ("Brand#3", "with"), ("B
 oracle_view("named_companies", "SELECT ticker, lower(ticker) || ' ' || lower(sector) AS name, row_number() OVER (ORDER BY ticker) - 1 AS i, count(*) OVER () AS n FROM companies")
 oracle_view("questions", "SELECT t.turn_id, CASE turn_id % 3 WHEN 0 THEN content || ' And ' || upper(c.name) || '?' WHEN 1 THEN content || ' And ' || c.ticker || '?' ELSE content END AS content FROM turns t JOIN named_companies c ON c.i = t.turn_id % c.n WHERE t.speaker_role = 'analyst'")
 oracle_view("aliases", f"SELECT alias, max(ticker) AS ticker FROM (SELECT ticker, lower(ticker) AS alias FROM companies UNION ALL SELECT ticker, name FROM named_companies UNION ALL SELECT c.ticker, h.alias FROM companies c JOIN (VALUES {', '.join(map(str, HAND_ALIASES))}) h(ticker, alias) ON h.ticker = c.ticker) GROUP BY alias")
-oracle_view(
-    "mentions",
-    r"""SELECT turn_id, ticker, min(pos) AS pos FROM (SELECT turn_id, ticker, length(regexp_extract(' ' || lower(content), '(?s)^(.*?)[^\p{L}\p{N}_]' || regexp_escape(alias) || '(?:[^\p{L}\p{N}_]|$)', 1)) AS pos
-  FROM questions JOIN aliases ON regexp_matches(' ' || lower(content), '[^\p{L}\p{N}_]' || regexp_escape(alias) || '([^\p{L}\p{N}_]|$)')) GROUP BY turn_id, ticker""",
-)
+def mentions_sql(key: str, source: str) -> str:
+    """Mentions in the questions of a source."""
+    return rf"""SELECT {key}, ticker, min(pos) AS pos FROM (SELECT {key}, ticker, length(regexp_extract(' ' || lower(content), '(?s)^(.*?)[^\p{{L}}\p{{N}}_]' || regexp_escape(alias) || '(?:[^\p{{L}}\p{{N}}_]|$)', 1)) AS pos
+  FROM {source} JOIN aliases ON regexp_matches(' ' || lower(content), '[^\p{{L}}\p{{N}}_]' || regexp_escape(alias) || '([^\p{{L}}\p{{N}}_]|$)')) GROUP BY {key}, ticker"""
+
+
+oracle_view("mentions", mentions_sql("turn_id", "questions"))
 
 
 def questions(t) -> DataFrame:
@@ -419,45 +422,82 @@ def c16(t):
 
 # evaluation suites
 
+oracle_view("case_questions", "SELECT b.item_id AS case_id, c.ticker, b.text || ' And the stock of ' || c.ticker || '?' AS content FROM benchmark b JOIN named_companies c ON c.i = b.item_id % c.n")
+oracle_view("case_mentions", mentions_sql("case_id", "(SELECT case_id, content FROM case_questions)"))
+oracle_view("case_routes", routed_sql("case_id", "case_questions"))
+PERIOD = "CAST(year(filing_date) AS VARCHAR) || 'Q' || CAST(quarter(filing_date) AS VARCHAR)"
+ALLOWED_PERIODS = ("2020Q1", "2020Q2", "2020Q3", "2021Q1", "2021Q4")
 oracle_view(
     "graded",
-    """WITH e AS (SELECT case_id, list_sort(list(DISTINCT ticker)) AS tickers, list_sort(list(DISTINCT lang)) AS langs, count(*) AS n FROM eval_cases GROUP BY case_id)
-  SELECT case_id, 'min_sources' AS name, n >= 1 AS passed FROM e UNION ALL SELECT case_id, 'max_sources', n <= 2 FROM e UNION ALL SELECT case_id, 'required_source_types', list_contains(langs, 'en') FROM e
-  UNION ALL SELECT case_id, 'required_source_tickers', list_contains(tickers, 'src' || (case_id % 20)::VARCHAR) FROM e UNION ALL SELECT case_id, 'allowed_types', len([x FOR x IN langs IF x NOT IN ('en', 'fr')]) = 0 FROM e""",
+    f"""WITH e AS (SELECT case_id, list(DISTINCT e.ticker) AS tickers, list(DISTINCT lang) AS langs, list(DISTINCT form_type) AS forms, list(DISTINCT {PERIOD}) AS periods, list(DISTINCT section_key) AS sections, count(*) AS n,
+    bool_or(contains(lower(content), 'the') OR contains(lower(content), 'der')) AS terms FROM eval_cases e JOIN filing_chunks f ON f.chunk_id = e.doc_id GROUP BY case_id),
+  m AS (SELECT case_id, string_agg(ticker, ',' ORDER BY pos, ticker) AS found FROM case_mentions GROUP BY case_id),
+  x AS (SELECT e.*, q.ticker AS asked, coalesce(found, '') AS found, corpora, wants_text, CASE WHEN wants_market THEN coalesce(found, '') ELSE '' END AS market FROM e JOIN case_questions q ON q.case_id = e.case_id JOIN case_routes r ON r.case_id = e.case_id LEFT JOIN m ON m.case_id = e.case_id)
+  SELECT case_id, unnest(['detected_tickers', 'routed_source_types', 'text_search_enabled', 'min_sources', 'max_sources', 'required_source_types', 'required_source_tickers', 'allowed_types', 'fiscal_periods', 'form_types', 'section_keys', 'content_terms_any', 'min_market_snapshots', 'market_tickers']) AS name,
+    unnest([found = asked, corpora = 'filings,transcripts', wants_text, n >= 1, n <= 2, list_contains(langs, 'en'), list_contains(tickers, 'src' || (case_id % 20)::VARCHAR), len([y FOR y IN langs IF y NOT IN ('en', 'fr')]) = 0, len([y FOR y IN periods IF y NOT IN {ALLOWED_PERIODS}]) = 0,
+      len([y FOR y IN forms IF y <> '10-K']) = 0, list_contains(sections, 'item_7_mda'), terms, market <> '', market = asked]) AS passed FROM x""",
 )
 
 
-def graded(cases: DataFrame) -> DataFrame:
-    """Check rows (case_id, name, passed) of retrieval cases against what was found for them."""
-    e = cases.groupBy("case_id").agg(F.collect_set("ticker").alias("tickers"), F.collect_set("lang").alias("langs"), ONE().alias("n"))
+def graded(t) -> DataFrame:
+    """Check rows (case_id, name, passed) of retrieval cases: what was detected, routed, found and priced for each."""
+    company = named_companies(t).withColumns({"i": F.row_number().over(Window.orderBy("ticker")) - 1, "count": F.count(F.lit(1)).over(Window.partitionBy())})  # a row per company
+    asked = t.benchmark.join(F.broadcast(company), F.expr("item_id % count = i")).select(F.col("item_id").alias("case_id"), F.col("ticker").alias("asked"), F.concat("text", F.lit(" And the stock of "), "ticker", F.lit("?")).alias("content"))
+    found = mentions(asked.withColumnRenamed("case_id", "turn_id"), alias_map(t)).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ticker"))).alias("m"))
+    routed = asked.select("case_id", "asked", *(c.alias(k) for k, c in text.route(F.col("content")).items()))
+    routed = routed.join(found.select(F.col("turn_id").alias("case_id"), F.col("m.ticker").alias("found")), "case_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    sources = t.eval_cases.join(t.filing_chunks.withColumnRenamed("ticker", "_ticker"), F.col("chunk_id") == F.col("doc_id"))
+    period = F.concat(F.year("filing_date").cast("string"), F.lit("Q"), F.quarter("filing_date").cast("string"))
+    e = sources.groupBy("case_id").agg(
+        *(F.collect_set(c).alias(n) for c, n in (("ticker", "tickers"), ("lang", "langs"), ("form_type", "forms"), (period, "periods"), ("section_key", "sections"))),
+        ONE().alias("n"), F.bool_or(F.lower("content").contains("the") | F.lower("content").contains("der")).alias("terms"),
+    )
+    within = lambda c, allowed: (F.size(c) > 0) & (F.size(F.array_except(c, F.array(*(F.lit(a) for a in allowed)))) == 0)
+    market = F.when(F.col("wants_market"), F.col("found")).otherwise(F.array().cast("array<string>"))
     checks = {
+        "detected_tickers": F.col("found") == F.array("asked"), "routed_source_types": F.col("corpora") == "filings,transcripts", "text_search_enabled": F.col("wants_text"),
         "min_sources": F.col("n") >= 1, "max_sources": F.col("n") <= 2, "required_source_types": F.array_contains("langs", "en"),
         "required_source_tickers": F.array_contains("tickers", F.concat(F.lit("src"), (F.col("case_id") % 20).cast("string"))),
-        "allowed_types": F.size(F.array_except("langs", F.array(F.lit("en"), F.lit("fr")))) == 0,
+        "allowed_types": within("langs", ("en", "fr")), "fiscal_periods": within("periods", ALLOWED_PERIODS), "form_types": within("forms", ("10-K",)), "section_keys": F.array_contains("sections", "item_7_mda"),
+        "content_terms_any": F.col("terms"), "min_market_snapshots": F.size(market) >= 1, "market_tickers": market == F.array("asked"),
     }
-    return e.select("case_id", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), c.alias("passed")) for k, c in checks.items()))).alias("x")).select("case_id", "x.name", "x.passed")
+    return e.join(routed, "case_id").select("case_id", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), c.alias("passed")) for k, c in checks.items()))).alias("x")).select("case_id", "x.name", "x.passed")
 
 
 @query("Q1", "SELECT case_id, name, passed FROM graded")
 def q1(t):
-    return graded(t.eval_cases)
+    return graded(t)
 
 
+#: Phrases by which an answer abstains.
+ABSTENTIONS = ("did not find", "does not provide enough", "do not provide enough", "insufficient evidence", "not enough evidence")
 oracle_view(
     "answers",
-    """WITH a AS (SELECT turn_id, content, CASE WHEN turn_id % 4 = 1 THEN ['S1'] ELSE ['S' || (turn_id % 4)::VARCHAR, 'S1'] END AS labels, ['S1', 'S2'] AS available FROM turns WHERE speaker_role = 'executive')
-  SELECT turn_id, 'non_empty_answer' AS name, trim(content) <> '' AS passed FROM a UNION ALL SELECT turn_id, 'valid_citation_labels', len([x FOR x IN labels IF x NOT IN ('S1', 'S2')]) = 0 FROM a UNION ALL SELECT turn_id, 'citations_present', len(labels) > 0 FROM a
-  UNION ALL SELECT turn_id, 'answer_terms_any', contains(lower(content), 'the') OR contains(lower(content), 'der') FROM a UNION ALL SELECT turn_id, 'answer_terms_all', contains(lower(content), 'the') AND contains(lower(content), 'of') FROM a
-  UNION ALL SELECT turn_id, 'abstains', contains(lower(content), 'did not find') FROM a""",
+    f"""WITH a AS (SELECT turn_id, ticker, lower(content) AS low, trim(content) <> '' AS said, CASE WHEN turn_id % 4 = 1 THEN ['S1'] ELSE ['S' || (turn_id % 4)::VARCHAR, 'S1'] END AS labels FROM turns WHERE speaker_role = 'executive')
+  SELECT turn_id, unnest(['non_empty_answer', 'valid_citation_labels', 'citations_present', 'max_sources', 'required_source_types', 'required_source_tickers', 'required_cited_source_tickers', 'required_market_tickers', 'answer_terms_any', 'answer_terms_all', 'abstention_behavior']) AS name,
+    unnest([said, len([x FOR x IN labels IF x NOT IN ('S1', 'S2')]) = 0, TRUE, TRUE, TRUE, ticker IN ('T1', 'T2'), ticker = 'T1' OR list_contains(labels, 'S2'), turn_id % 2 = 0, contains(low, 'the') OR contains(low, 'der'), contains(low, 'the') AND contains(low, 'of'),
+      ({' OR '.join(f"contains(low, '{x}')" for x in ABSTENTIONS)}) = (turn_id % 5 = 0)]) AS passed FROM a""",
 )
 
 
 def graded_answers(turns: DataFrame) -> DataFrame:
-    a = turns.where("speaker_role = 'executive'").withColumn("labels", citations(F.concat("content", F.lit(" [S"), (F.col("turn_id") % 4).cast("string"), F.lit("] and [S1] [S1]"))))
-    low, known = F.lower("content"), F.array(F.lit("S1"), F.lit("S2"))
+    """Check rows (turn_id, name, passed) of answers: labels, sources, cited sources, prices, terms, abstention.
+
+    An answer has two sources: its own call and a filing of T1; every second one has a price snapshot.
+    """
+    said = F.concat("content", F.lit(" [S"), (F.col("turn_id") % 4).cast("string"), F.lit("] and [S1] [S1]"))
+    source = lambda label, ticker, kind: F.struct(F.lit(label).alias("source"), ticker.alias("ticker"), F.lit(kind).alias("type"))
+    a = turns.where("speaker_role = 'executive'").withColumn("labels", citations(said)).withColumn("sources", F.array(source("S1", F.col("ticker"), "transcripts"), source("S2", F.lit("T1"), "filings")))
+    a = a.withColumn("market", F.when(F.col("turn_id") % 2 == 0, F.array("ticker")).otherwise(F.array().cast("array<string>")))
+    a = a.withColumn("cited", F.filter("sources", lambda s: F.array_contains(F.col("labels"), s["source"])))
+    low = F.lower("content")
+    has = lambda c, *values: F.size(F.array_except(F.array(*values), F.col(c))) == 0
     checks = {
-        "non_empty_answer": F.trim("content") != "", "valid_citation_labels": F.size(F.array_except("labels", known)) == 0, "citations_present": F.size("labels") > 0,
-        "answer_terms_any": low.contains("the") | low.contains("der"), "answer_terms_all": low.contains("the") & low.contains("of"), "abstains": low.contains("did not find"),
+        "non_empty_answer": F.trim("content") != "", "valid_citation_labels": F.size(F.array_except("labels", F.col("sources.source"))) == 0, "citations_present": F.size("labels") > 0,
+        "max_sources": F.size("sources") <= 2, "required_source_types": has("sources.type", F.lit("transcripts"), F.lit("filings")), "required_source_tickers": F.size(F.array_except("sources.ticker", F.array(F.lit("T1"), F.lit("T2")))) == 0,
+        "required_cited_source_tickers": has("cited.ticker", F.lit("T1")), "required_market_tickers": F.col("market") == F.array("ticker"),
+        "answer_terms_any": low.contains("the") | low.contains("der"), "answer_terms_all": low.contains("the") & low.contains("of"),
+        "abstention_behavior": text.has_any(F.col("content"), list(ABSTENTIONS)) == (F.col("turn_id") % 5 == 0),
     }
     return a.select("turn_id", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), c.alias("passed")) for k, c in checks.items()))).alias("x")).select("turn_id", "x.name", "x.passed")
 
@@ -472,14 +512,22 @@ oracle_view("suite_report", REPORT)
 
 
 def suite_report(t) -> DataFrame:
-    rows = graded(t.eval_cases).select(F.lit("retrieval").alias("suite"), F.col("case_id").alias("id"), "passed").unionByName(graded_answers(t.turns).select(F.lit("responses").alias("suite"), F.col("turn_id").alias("id"), "passed"))
+    rows = graded(t).select(F.lit("retrieval").alias("suite"), F.col("case_id").alias("id"), "passed").unionByName(graded_answers(t.turns).select(F.lit("responses").alias("suite"), F.col("turn_id").alias("id"), "passed"))
     by_case = rows.groupBy("suite", "id").agg(F.bool_and("passed").alias("ok"), ONE().alias("n"), F.count_if("passed").alias("p"))
     return by_case.groupBy("suite").agg(ONE().alias("cases"), F.count_if("ok").alias("cases_passed"), F.sum("n").alias("checks"), F.sum("p").alias("checks_passed"))
 
 
-@query("Q3", f"SELECT *, {r('checks_passed / checks', 4)} AS rate FROM suite_report")
+#: Dimensions that a judge scores, each from 1 to 5.
+DIMENSIONS = ("groundedness", "relevance", "completeness", "citation_quality")
+JUDGED = ", ".join(r(f"avg(CAST(turn_id % {5 - k} + {k + 1} AS DOUBLE))", 2) + f" AS {d}" for k, d in enumerate(DIMENSIONS))
+
+
+@query("Q3", f"SELECT s.*, {r('checks_passed / checks', 4)} AS rate, {', '.join(DIMENSIONS)} FROM suite_report s LEFT JOIN (SELECT 'responses' AS suite, {JUDGED} FROM turns WHERE speaker_role = 'executive' AND turn_id % 3 = 0) j ON j.suite = s.suite")
 def q3(t):
-    return suite_report(t).withColumn("rate", rounded(ratio("checks_passed", "checks"), 4))
+    """Report with the judge's average score per dimension; every third answer has been judged."""
+    judged = t.turns.where("speaker_role = 'executive' AND turn_id % 3 = 0").select(*((F.col("turn_id") % (5 - k) + k + 1).cast("double").alias(d) for k, d in enumerate(DIMENSIONS)))
+    means = judged.agg(*(rounded(F.avg(d), 2).alias(d) for d in DIMENSIONS)).withColumn("suite", F.lit("responses"))
+    return suite_report(t).withColumn("rate", rounded(ratio("checks_passed", "checks"), 4)).join(F.broadcast(means), "suite", "left")
 
 
 @query("Q4", "SELECT count(*) AS cases, count(*) - count(DISTINCT item_id) AS duplicate_ids, count(*) FILTER (item_id IS NULL) AS missing_ids, count(*) FILTER (trim(coalesce(text, '')) = '') AS blank_questions, CAST(0 AS BIGINT) AS unsupported FROM benchmark")
@@ -491,23 +539,43 @@ def q4(t):
 
 @query(
     "Q5",
-    f"""SELECT turn_id, CAST(a::INT + b::INT + c::INT + d::INT AS INT) AS passed, {r('(a::INT + b::INT + c::INT + d::INT) / 4', 3)} AS score, a AND b AND c AND d AS accepted FROM (SELECT turn_id, TRUE AS a, length(trim(content)) >= 80 AS b, turn_id % 4 IN (1, 2) AS c, ticker IN ('T1', 'T2', 'T3', 'T4') AS d FROM turns WHERE speaker_role = 'executive')""",
+    f"""SELECT turn_id, CAST(len([x FOR x IN c IF x]) AS INT) AS passed, {r('len([x FOR x IN c IF x]) / 7', 3)} AS score, len([x FOR x IN c IF x]) = 7 AS accepted FROM (
+  SELECT turn_id, [turn_id % 7 <> 0, length(trim(content)) >= 80, turn_id % 6 <> 5, turn_id % 6 <> 5 AND turn_id % 4 IN (1, 2), turn_id % 6 <> 5 AND ticker IN ('T' || (turn_id % 3)::VARCHAR, 'T3'), turn_id % 6 <> 5 AND turn_id % 5 <> 0, turn_id % 2 <> 0 OR turn_id % 3 <> 0] AS c FROM turns WHERE speaker_role = 'executive')""",
 )
 def q5(t):
-    brief = F.to_json(F.struct(F.col("content").alias("executive_summary"), F.array(F.lit("x")).alias("key_developments"), F.concat(F.lit("see [S"), (F.col("turn_id") % 4).cast("string"), F.lit("]")).alias("risks")))
-    return brief_gate(t.turns.where("speaker_role = 'executive'").select("turn_id", "ticker", brief.alias("brief")), ["S1", "S2"], ["T1", "T2", "T3", "T4"])
+    """Briefs over calls: some lack a section, sources, a price reaction, or have a source of another call."""
+    n, none = F.col("turn_id"), F.lit(None).cast("string")
+    brief = F.struct(
+        F.lit("h").alias("headline"), F.col("content").alias("executive_summary"), F.array(F.lit("x")).alias("key_developments"), F.array().cast("array<string>").alias("topic_signals"), F.when(n % 3 == 0, "").otherwise("up").alias("market_reaction"),
+        F.concat(F.lit("see [S"), (n % 4).cast("string"), F.lit("]")).alias("risks"), F.array().cast("array<string>").alias("watch_items"), F.when(n % 7 == 0, none).otherwise("none").alias("limitations"),
+    )
+    call = F.col("transcript_id")
+    source = lambda label, ticker, of: F.struct(F.lit(label).alias("source"), ticker.alias("ticker"), of.alias("transcript_id"))
+    two = F.array(source("S1", F.concat(F.lit("T"), (n % 3).cast("string")), call), source("S2", F.lit("T3"), F.when(n % 5 == 0, call + 1).otherwise(call)))
+    x = t.turns.where("speaker_role = 'executive'").select("turn_id", "ticker", "transcript_id", F.to_json(brief).alias("brief"), F.when(n % 6 == 5, F.slice(two, 1, 0)).otherwise(two).alias("sources"), (n % 2 == 0).alias("has_market"))
+    return brief_gate(x)
+
 
+SECTIONS = ("headline", "executive_summary", "key_developments", "topic_signals", "market_reaction", "risks", "watch_items", "limitations")
+LISTS = ("key_developments", "topic_signals", "watch_items")
 
-def brief_gate(briefs: DataFrame, labels: list[str], tickers: list[str]) -> DataFrame:
-    """Checks of a JSON brief: sections, a summary of substance, valid citations, ticker coverage; all must pass."""
-    b = F.from_json("brief", "executive_summary string, key_developments array<string>, risks string")
-    x = briefs.withColumn("b", b)
-    cited = citations(F.concat_ws(" ", "b.executive_summary", "b.risks"))
+
+def brief_gate(briefs: DataFrame) -> DataFrame:
+    """Seven checks of a JSON brief (turn_id, ticker, transcript_id, brief, sources, has_market), which must all pass.
+
+    All sections, a summary of substance, sources, citations of these alone, the ticker among them, no
+    source of another call, prices told where there are any.
+    """
+    schema = ", ".join(f"{s} {'array<string>' if s in LISTS else 'string'}" for s in SECTIONS)
+    x = briefs.withColumn("b", F.from_json("brief", schema))
+    cited = citations(F.concat_ws("\n", *(F.col(f"b.{s}") for s in SECTIONS)))
+    some = F.size("sources") > 0
     checks = [
-        F.col("b.executive_summary").isNotNull() & F.col("b.risks").isNotNull(), (F.length(F.trim("b.executive_summary")) >= 80) & (F.size("b.key_developments") > 0),
-        (F.size(cited) > 0) & (F.size(F.array_except(cited, F.array(*(F.lit(k) for k in labels)))) == 0), F.col("ticker").isin(*tickers),
+        F.expr(" AND ".join(f"b.{s} IS NOT NULL" for s in SECTIONS)), (F.length(F.trim("b.executive_summary")) >= 80) & (F.size("b.key_developments") > 0), some,
+        (F.size(cited) > 0) & (F.size(F.array_except(cited, F.col("sources.source"))) == 0), F.array_contains(F.transform("sources.ticker", F.upper), F.upper("ticker")),
+        some & F.forall("sources", lambda s: s["transcript_id"] == F.col("transcript_id")), ~F.col("has_market") | (F.coalesce("b.market_reaction", F.lit("")) != ""),
     ]
-    n = sum((c.cast("int") for c in checks), F.lit(0))
+    n = sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks), F.lit(0))
     return x.select("turn_id", n.alias("passed"), rounded(n / len(checks), 3).alias("score"), (n == len(checks)).alias("accepted"))
 
 
