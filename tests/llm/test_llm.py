@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 tok = pytest.importorskip("public_tokenizers")
 
+from meridian.llm import common  # noqa: E402
 from meridian.llm import jaccard_join as jj  # noqa: E402
+from meridian.llm import substring_dedup as sd  # noqa: E402
 from meridian.llm.components import components  # noqa: E402
 from meridian.llm.decontamination import contaminated  # noqa: E402
 from meridian.llm.html_text import main_text, read_page, train  # noqa: E402
@@ -80,6 +82,24 @@ def test_token_counts_equal_the_library(spark, docs, none):
     assert token_counts(none, path).count() == 0
 
 
+def test_long_sequences_take_few_rounds():
+    import sentencepiece
+
+    path = tok.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 900))) for letters in ("aentrsil", "ab", "theandi ng", "a.-") for _ in range(60)]
+    odd += [c * n for c in " a.-\n" for n in (*range(20), 33, 401)] + [c * 10**6 for c in (" ", "a", "字")] + ["".join(rng.choice("aentrsil") for _ in range(50_000))]
+    assert PieceCounter(path).count(odd) == [len(model.encode(x)) for x in odd]
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", "a", "\t"])
+def test_ids_of_a_million_equal_characters(sign):
+    ids = TokenIds(tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
+    text = f"x{sign * 10**6}y"
+    assert ids.encode(text).tolist() == ids.exact.encode(text, add_special_tokens=False).ids
+
+
 def test_fast_ids_equal_the_library():
     ids = TokenIds(tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
     rng = random.Random(2)
@@ -143,6 +163,8 @@ def test_the_matrix_has_exact_margins_and_the_right_mean():
     assert [sum(r) for r in m.values()] == [17, 0, 1_000_003]
     assert sorted(map(sum, zip(*m.values()))) == sorted(1_000_020 // 8 + (s < 1_000_020 % 8) for s in range(8))
     rng = random.Random(0)
+    huge = [hypergeometric(rng, 10**11, 7 * 10**11, 10**8) for _ in range(50)]
+    assert abs(np.mean(huge) - 12_500_000) < 4 * 3300 / 50**0.5
     draws = [hypergeometric(rng, 30, 70, 20) for _ in range(4000)]
     assert abs(np.mean(draws) - 6) < 0.1 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.3
 
@@ -205,6 +227,21 @@ def test_url_rules_and_mined_rules(spark):
     assert judge_urls(pages.limit(0), labelled.limit(0), rules).count() == 0
 
 
+def test_hosts_paths_and_fixed_rules_by_brute_force(spark):
+    rng = random.Random(8)
+    urls = ["".join(rng.choice(["http", "://", "a.", "Example.org", "example.com", "/", "/es/", "/en/1", "?q", "#f", "x", "org", "."]) for _ in range(rng.randint(0, 7))) for _ in range(300)]
+    urls += ["https://e.org/" + "y" * 100_000]
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(pages, pages.limit(0).withColumn("bad", F.lit(True)), rules).collect()}
+    for k, url in enumerate(urls):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+        host, path = (m.group(1).lower(), m.group(2)) if m else ("", "")
+        fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+        assert got[k] == (host, path, best and best[1] + best[2], best[0] if best else "allow"), url
+
+
 PAGE = """<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><div class="cookie-notice"><p>We use cookies here.</p></div>
 <nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>A  headline</h1><p>First &amp; long paragraph of the story, {0}.<p>Second<b>bold</b>
 line&nbsp;here, {0}.</p><div class="ad">Buy now</div><p>Last words {0}.</p></article><aside class="sidebar"><h3>Related</h3><ul><li><a href=/c>Other</a></li></ul></aside>
@@ -219,6 +256,13 @@ def test_main_text_of_a_page(spark):
     assert [r[2] for r in got if r[0] == 1] == [want, want] and all(r[3] == len(r[2]) for r in got) and [r[2] for r in got if r[0] in (2, 3)] == ["", ""]
 
 
+def test_main_text_of_long_pages_and_empty_tables(spark):
+    kinds = "page_id bigint, url string, html string, text string, n_chars int"
+    fill = " ".join(["tale"] * 200_000)
+    got = main_text(spark.createDataFrame([(1, "u", PAGE.format(fill), "x", 1)], kinds), layouts=300)
+    assert got.first().text.count("tale") == 600_000 and main_text(spark.createDataFrame([], kinds), layouts=20).count() == 0
+
+
 @pytest.mark.parametrize(
     "before",
     [
@@ -246,7 +290,17 @@ def test_decoding_never_keeps_a_child_of_a_dropped_node():
 # 5, 6, 7
 
 
-def test_repeats_by_brute_force(docs, none):
+def small_limits(monkeypatch):
+    """Limits at which work is split and tables are joined by shuffles at the size of a test."""
+    for module, values in ((common, {"BROADCAST_ROWS": 0}), (sd, {"FLUSH": 1, "SEED_BYTES": 9000, "WINDOW_BYTES": 9000, "SHARD_WORDS": 60, "STREAM_BYTES": 600}), (jj, {"FLUSH": 1, "BUCKET_BYTES": 9000, "BLOCK_ROWS": 7})):
+        for name, value in values.items():
+            monkeypatch.setattr(module, name, value)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeats_by_brute_force(docs, none, monkeypatch, small):
+    if small:
+        small_limits(monkeypatch)
     rows, first = corpus(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         w = WORD.findall(t or "")
@@ -266,6 +320,20 @@ def test_repeats_by_brute_force(docs, none):
     assert remove_repeats(none).count() == 0
 
 
+def test_the_automaton_finds_all_that_repeats():
+    rng = random.Random(12)
+    for _ in range(40):
+        words = [str(k) for k in range(rng.choice([3, 60]))]
+        passages = [(k, " ".join(rng.choices(words, k=rng.randint(10, 60)))) for k in range(6)]
+        text = " ".join(" ".join(p.split()[rng.randint(0, 9) :]) if rng.random() < 0.7 else rng.choice(words) for _, p in rng.choices(passages, k=5))
+        automaton, w = sd.PassageAutomaton(passages, 10, 5), text.split()
+        known = {tuple(p.split()[j : j + 10]) for owner, p in passages if owner < 4 for j in range(len(p.split()) - 9)}
+        want = {x for j in range(len(w) - 9) if tuple(w[j : j + 10]) in known for x in range(j, j + 10)}
+        assert {x for a, b in automaton.find(4, text) for x in range(a, b)} == want
+        automaton.automaton = type("Silent", (), {"iter": lambda self, chars: iter(())})()
+        assert automaton.find(4, text) == []
+
+
 def brute_components(rows):
     sets = {}
     for k, (i, t) in enumerate(rows):
@@ -288,6 +356,24 @@ def brute_components(rows):
     return sorted(((rows[k][0], len(sets[k]), least[find(k)] if sets[k] else rows[k][0]) for k in sets), key=str)
 
 
+def chain():
+    """Texts that share most words, of which only neighbours are linked, and texts of one long template that are not."""
+    rng = random.Random(21)
+    words = prose(rng, 260).split()
+    rows = [(1000 + k, " ".join(words[9 * k : 9 * k + 120])) for k in range(14)]
+    template = prose(rng, 100)
+    return rows + [(2000 + k, f"{template} {prose(rng, 45)}") for k in range(30)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates_in_chains_and_templates(spark, monkeypatch, small):
+    if small:
+        small_limits(monkeypatch)
+    rows = chain() + corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert rows_of(jj.near_duplicates(docs)) == brute_components(rows)
+
+
 def test_near_duplicates_by_brute_force(docs, none):
     assert rows_of(jj.near_duplicates(docs)) == brute_components(corpus())
     assert jj.near_duplicates(none).count() == 0
