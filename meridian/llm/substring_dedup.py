@@ -8,13 +8,13 @@ document with a smaller id is removed; windows are judged on the input.
 2. Confirmed passages. The windows of the regions are grouped by hash; the smallest document with a
    window that recurs owns it. Runs of windows that a document owns are its passages: together they
    hold every recurring window.
-3. Automata. Passages are dealt to shards of bounded size by origin. A shard's phrases - each seed
-   with half of a window's other words before it, and with as many behind it - are written with one
-   character per distinct word and become an Aho-Corasick automaton (pyahocorasick), with the
-   passages and places of each phrase. Every window of a passage holds one of its phrases.
+3. Automata. Passages are dealt to shards of bounded size by origin. A shard's phrases, the seeds of
+   its passages' windows written with one character per distinct word, become an Aho-Corasick automaton
+   (pyahocorasick); a phrase holds the windows that it is the seed of, with their passages and places.
 4. Stream. A document's regions go to the shards that hold one of its seeds, shards with much to
-   read are split. Where the automaton finds a phrase, it is extended word by word in both directions
-   in each of its passages; `width` words or more of a smaller document are marked.
+   read are split. Where the automaton finds a phrase, the words around it are looked up among the
+   phrase's windows and the match is extended word by word in both directions; `width` words or more
+   of a smaller document are marked. A phrase of very many passages costs no more than another.
 5. All documents are read once more and the marked words left out.
 
 A seed or window that a scan meets in several documents is settled there: only its least and greatest
@@ -270,8 +270,7 @@ class PassageAutomaton:
     def __init__(self, passages: list[tuple[int, str]], width: int, seed: int):
         import ahocorasick
 
-        side = -(-(width - seed) // 2)  # a window has as many words before or behind its seed
-        self.width, self.length, self.code = width, seed + side, {}
+        self.width, self.seed, self.code = width, seed, {}
         self.owner, self.chars = [], []
         known, phrases = WordHashes(), {}
         for owner, text in sorted(passages):
@@ -281,44 +280,40 @@ class PassageAutomaton:
                     k = len(self.code) + 2
                     self.code[w] = chr(k if k < 0xD800 else k + 0x800)  # no surrogates
             chars = "".join(map(self.code.__getitem__, words))
-            places = seed_places(known.of(words), width, seed)[0]
-            for p in np.union1d(places, places - side).tolist():
-                if 0 <= p <= len(chars) - self.length:
-                    phrases.setdefault(chars[p : p + self.length], []).append((len(self.owner), p))
+            if len(words) >= width:
+                g = window_hashes(known.of(words), seed)
+                place = np.lib.stride_tricks.sliding_window_view(g, width - seed + 1).argmin(1)
+                for k, p in enumerate(place.tolist()):  # a window of several passages: the one of the least document
+                    phrases.setdefault(chars[k + p : k + p + seed], {}).setdefault(chars[k : k + width], (len(self.owner), k))
             self.owner.append(owner)
             self.chars.append(chars)
         self.automaton = ahocorasick.Automaton()
-        for phrase, places in phrases.items():
-            self.automaton.add_word(phrase, places)
+        for phrase, windows in phrases.items():
+            self.automaton.add_word(phrase, windows)
         self.automaton.make_automaton()
 
     def find(self, doc: int, text: str) -> list[tuple[int, int]]:
         """Word intervals of a text that passages of smaller documents cover."""
         get = self.code.get
         chars = "".join([get(x, "\x01") for x in ascii_words(text)])
-        n, width, owner = len(chars), self.width, self.owner
+        width, seed, owner, last = self.width, self.seed, self.owner, len(chars) - self.width
         out: list[tuple[int, int]] = []
-        reached: dict[tuple[int, int], int] = {}  # (passage, diagonal) -> where the last agreement on it ends
-        low = high = 0  # the marked interval that ends last
-        for end, places in self.automaton.iter(chars):
-            end += 1
-            i = end - self.length
-            if owner[places[0][0]] >= doc or low <= max(0, end - width) and high >= min(n, i + width):
-                continue  # of no smaller document, or all windows that hold the phrase are marked
-            for passage, p in places:
-                if owner[passage] >= doc:
-                    break
-                line = passage, i - p
-                if reached.get(line, 0) >= end:
+        low = high = -1  # windows that start from low to high are marked
+        for end, windows in self.automaton.iter(chars):
+            i = end - seed + 1
+            s, to = max(0, end + 1 - width), min(i, last)
+            while s <= to:
+                if low <= s <= high:
+                    s = high + 1
                     continue
-                other = self.chars[passage]
-                after = common_length(chars, i, other, p, 1)
-                reached[line] = i + after
-                before = common_length(chars, i, other, p, -1)
-                if before + after >= width:
-                    out.append((i - before, i + after))
-                    if i + after > high:
-                        low, high = out[-1]
+                found = windows.get(chars[s : s + width])
+                if found is None or owner[found[0]] >= doc:
+                    s += 1
+                    continue
+                other, o = self.chars[found[0]], found[1]
+                low = s - common_length(chars, s, other, o, -1)
+                high = s + common_length(chars, s, other, o, 1) - width
+                out.append((low, high + width))
         return out
 
 
