@@ -264,6 +264,17 @@ def common_length(a: str, i: int, b: str, j: int, step: int) -> int:
     return done
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places with spans that meet made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 class PassageAutomaton:
     """Aho-Corasick automaton over the phrases of passages (doc_id, text)."""
 
@@ -314,7 +325,7 @@ class PassageAutomaton:
                 low = s - common_length(chars, s, other, o, -1)
                 high = s + common_length(chars, s, other, o, 1) - width
                 out.append((low, high + width))
-        return out
+        return joined(out)
 
 
 def repeats(docs: DataFrame, width: int, seed: int) -> DataFrame:
