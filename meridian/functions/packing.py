@@ -35,9 +35,13 @@ def bounded_batches(rows: DataFrame, group: str, most_items: int, most_tokens: i
     Rows (group, chunk_id, tokens, batch). Groups are key ranges of bounded size, so no task holds all rows.
     """
     grouped = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "tokens"))).alias("items"))
-    grouped.createOrReplaceTempView("_items_to_batch")
-    fold = f"""aggregate(items, named_struct('out', CAST(array() AS array<struct<chunk_id:bigint,tokens:int,batch:int>>), 'b', 0, 'n', 0, 't', 0),
-      (a, x) -> IF(a.n > 0 AND (a.n >= {most_items} OR a.t + x.tokens > {most_tokens}),
-        named_struct('out', concat(a.out, array(named_struct('chunk_id', x.chunk_id, 'tokens', x.tokens, 'batch', a.b + 1))), 'b', a.b + 1, 'n', 1, 't', x.tokens),
-        named_struct('out', concat(a.out, array(named_struct('chunk_id', x.chunk_id, 'tokens', x.tokens, 'batch', a.b))), 'b', a.b, 'n', a.n + 1, 't', a.t + x.tokens)), a -> a.out)"""
-    return rows.sparkSession.sql(f"SELECT {group}, inline({fold}) FROM _items_to_batch")
+
+    def add(a, x):
+        full = (a["n"] > 0) & ((a["n"] >= most_items) | (a["t"] + x["tokens"] > most_tokens))
+        starts = F.when(full, F.concat(a["starts"], F.array(a["k"]))).otherwise(a["starts"])
+        return F.struct(starts.alias("starts"), (a["k"] + 1).alias("k"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["tokens"].cast("long")).otherwise(a["t"] + x["tokens"]).alias("t"))
+
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"))
+    folded = grouped.select(group, "items", F.aggregate("items", none, add, lambda a: a["starts"]).alias("starts"))  # only the batches' first places are kept
+    placed = folded.select(group, "starts", F.posexplode("items").alias("k", "x"))
+    return placed.select(group, "x.chunk_id", "x.tokens", F.size(F.filter("starts", lambda s: s <= F.col("k"))).alias("batch"))

@@ -2,20 +2,58 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions.numeric import rounded
+from meridian.sources.workspace import written
 
 METRICS = ("rows", "mae", "rmse", "r2", "directional_accuracy", "pearson_ic", "spearman_ic", "prediction_mean", "prediction_std", "actual_mean")
 
 
-def average_ranks(df: DataFrame, keys: list[str], *names: str) -> DataFrame:
-    """Adds `name_rank`: ranks in which ties share their mean rank."""
+#: Ranges of values that are ranked apart, so that one key's rows spread over tasks.
+RANGES = 1000
+
+
+def counted_values(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Distinct values of `name` by keys: rows (keys, name, n, before), `before` the number of smaller ones.
+
+    `rows` is a written table without nulls in `name`. The driver gets at most RANGES edges; these only
+    share out the work, so their being approximate does not matter. Keys are not null.
+    """
+    edges = rows.agg(F.percentile_approx(name, [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).first()[0] or []
+    splits = [-math.inf, *sorted({e for e in edges if math.isfinite(e)} or {0.0}), math.inf]
+    values = rows.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("n"))
+    ranged = Bucketizer(splits=splits, inputCol=name, outputCol="_range", handleInvalid="keep").transform(values)
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most RANGES rows
+    sizes = sizes.select(*keys, "_range", earlier.alias("_before"))
+    within = F.sum("n").over(Window.partitionBy(*keys, "_range").orderBy(name).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return ranged.withColumn("_within", within).join(sizes, [*keys, "_range"]).select(*keys, name, "n", (F.col("_before") + F.col("_within")).alias("before"))
+
+
+def average_ranks(rows: DataFrame, keys: list[str], *names: str) -> DataFrame:
+    """Adds `name_rank` to a written table without nulls in `names`: ranks in which ties share their mean rank."""
     for c in names:
-        w = Window.partitionBy(*keys)
-        df = df.withColumn(f"{c}_rank", F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2)
-    return df
+        ranks = counted_values(rows, keys, c).select(*keys, c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"{c}_rank"))
+        rows = rows.join(ranks, [*keys, c])
+    return rows
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], name: str, shares: tuple[float, ...]) -> DataFrame:
+    """Rows (keys, q), q the exact quantiles by linear interpolation; nulls do not count. `rows` is a written table."""
+    values = counted_values(rows.where(F.col(name).isNotNull()), keys, name)
+    total = values.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(name)))
+    q = []
+    for p in shares:
+        place = (F.col("_total") - 1) * F.lit(p)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        q.append(low + (high - low) * F.max(place - F.floor(place)))
+    return values.join(total, keys).groupBy(*keys).agg(F.array(*q).alias("q"))
 
 
 def correlation(a: str, b: str) -> Column:
@@ -25,7 +63,8 @@ def correlation(a: str, b: str) -> Column:
 
 def forecast_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """A17 by keys over rows (actual, prediction); correlations are null for a constant prediction."""
-    x = average_ranks(rows.where("actual IS NOT NULL AND prediction IS NOT NULL"), keys, "actual", "prediction")
+    known = rows.where("actual IS NOT NULL AND prediction IS NOT NULL").select(*keys, "actual", "prediction")
+    x = average_ranks(written(known, "forecasts"), keys, "actual", "prediction")
     err, a, p = F.col("actual") - F.col("prediction"), F.col("actual"), F.col("prediction")
     varies = F.stddev_pop("prediction") > 1e-12
     sse, sst = F.sum(err * err), F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(a)

@@ -11,10 +11,12 @@ from meridian.functions.numeric import r, ratio, rounded
 from meridian.functions.text import TOPICS, speaker_group
 from meridian.operators import sentiment as sent
 from meridian.operators.labels import forward_labels
+from meridian.operators.metrics import exact_quantiles
 from meridian.plans.market_queries import horizon_audit, label_invariants
 from meridian.plans.registry import oracle_view, query
 from meridian.plans.source_queries import items_of
 from meridian.sources.bindings import TABLES
+from meridian.sources.workspace import written
 
 
 def n_rows():
@@ -145,10 +147,13 @@ def a6(t):
 def label_summary(labels: DataFrame) -> DataFrame:
     ok = F.count_if("target_available")
     mean = lambda c, name: rounded(F.avg(c)).alias(name)
-    return labels.groupBy("event_source").agg(
+    labels = written(labels.select("event_source", "target_available", "stock_return", "benchmark_return", "excess_return"), "labels")
+    middle = exact_quantiles(labels, ["event_source"], "excess_return", (0.5,)).select("event_source", rounded(F.col("q")[0]).alias("median_excess"))  # a row per source
+    found = labels.groupBy("event_source").agg(
         n_rows().alias("events"), ok.alias("available"), rounded(ok / n_rows(), 4).alias("coverage"), mean("stock_return", "mean_stock"), mean("benchmark_return", "mean_benchmark"), mean("excess_return", "mean_excess"),
-        rounded(F.median("excess_return")).alias("median_excess"), rounded(F.avg((F.col("excess_return") > 0).cast("double"))).alias("share_positive"),
+        rounded(F.avg((F.col("excess_return") > 0).cast("double"))).alias("share_positive"),
     )
+    return found.join(middle, "event_source", "left")
 
 
 @query("A7", "SELECT target_error, count(*) AS n FROM labels30 WHERE target_error IS NOT NULL GROUP BY target_error")
@@ -379,7 +384,8 @@ def a22(t):
     outcome = F.when(F.col("eps_surprise") > 0, "Beat").when(F.col("eps_surprise") < 0, "Miss").otherwise("Met")
     first = t.eps_results.groupBy(outcome.alias("bucket")).agg(n_rows().alias("n")).select(F.lit("outcome").alias("kind"), "bucket", "n", F.lit(None).cast("double").alias("mean_excess"))
     x = labels_of(t).where("target_available").select("excess_return")
-    edges = x.agg(F.percentile("excess_return", F.array(*(F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)))).alias("e"))
+    x = written(x.withColumn("part", F.lit("all")), "excess")
+    edges = exact_quantiles(x, ["part"], "excess_return", (0.2, 0.4, 0.6, 0.8)).select(F.col("q").alias("e"))  # one row
     rank = F.lit(1) + sum(((F.col("excess_return") > F.col("e")[k]).cast("int") for k in range(4)), F.lit(0))
     second = x.join(F.broadcast(edges)).groupBy(F.concat(F.lit("q"), rank.cast("string")).alias("bucket")).agg(n_rows().alias("n"), rounded(F.avg("excess_return")).alias("mean_excess"))
     return first.unionByName(second.select(F.lit("quintile").alias("kind"), "bucket", "n", "mean_excess"))
@@ -399,7 +405,14 @@ def u2(t):
     return t.watchlist_items.select("ticker").union(t.bars_daily.where("ticker = 'SPY'").select("ticker")).distinct()
 
 
-@query("C17")
+@query(
+    "C17",
+    """SELECT 'The earnings results hold ' || count(*)::VARCHAR || ' announced values.' AS finding FROM eps_results
+  UNION ALL SELECT 'Prices cover ' || count(DISTINCT ticker)::VARCHAR || ' tickers from ' || min(trading_date)::VARCHAR || ' to ' || max(trading_date)::VARCHAR || '.' FROM bars_daily
+  UNION ALL SELECT 'Price checks flagged ' || sum(value)::BIGINT::VARCHAR || ' rows.' FROM quality
+  UNION ALL SELECT event_source || ': ' || complete::VARCHAR || ' of ' || events::VARCHAR || ' events have a complete forward window.' FROM horizon_summary
+  UNION ALL SELECT corpus || ': ' || scored::VARCHAR || ' of ' || eligible::VARCHAR || ' eligible items are scored.' FROM score_coverage""",
+)
 def c17(t):
     """Findings in words from the audit tables."""
     say = lambda df, *parts: df.select(F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts)).alias("finding"))

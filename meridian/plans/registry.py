@@ -28,6 +28,8 @@ def query(key: str, sql: str | None = None):
 
 
 def oracle_view(name: str, sql: str) -> None:
+    if name in ORACLE_VIEWS:
+        raise ValueError(f"there is a view {name} already")
     ORACLE_VIEWS[name] = sql
 
 

@@ -214,7 +214,7 @@ def prune_scope(filings: DataFrame, scope: DataFrame, since: DataFrame) -> DataF
     return filings.join(scope.distinct(), "ticker", "left_semi").join(F.broadcast(since), F.col("event_date") >= F.col("since")).drop("since")
 
 
-@query("S12")
+@query("S12", "SELECT ticker, count(*) AS sessions, min(trading_date) AS first_date, max(trading_date) AS last_date, TRUE AS same FROM bars_daily GROUP BY ticker")
 def s12(t):
     """The ticker coverage written as CSV and nested JSON and read back."""
     report = t.bars_daily.groupBy("ticker").agg(F.count(F.lit(1)).alias("sessions"), F.min("trading_date").alias("first_date"), F.max("trading_date").alias("last_date"))

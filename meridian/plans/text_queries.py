@@ -65,11 +65,11 @@ def candidates_sql(form: str, section: str) -> str:
 
 
 CANDIDATES = " UNION ALL ".join(candidates_sql(form, k) for form in html.SECTIONS for k in html.SECTIONS[form])
-oracle_view("candidates", f"SELECT *, length(content) AS n FROM ({CANDIDATES}) WHERE length(content) >= 50")
+oracle_view("section_candidates", f"SELECT *, length(content) AS n FROM ({CANDIDATES}) WHERE length(content) >= 50")
 oracle_view(
     "scored_candidates",
     r"""SELECT *, CASE WHEN contains(upper(substr(body, greatest(1, CAST(position AS BIGINT) - 1499), least(CAST(position AS BIGINT), 1500))), 'TABLE OF CONTENTS') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(trim(heading, chr(10) || chr(13) || ' '), '\.{3,}\s*\d+\s*$') THEN 2 ELSE 0 END
-  + CASE WHEN len(regexp_extract_all(substr(body, CAST(position AS BIGINT) + 1, 3000), '(?im)^\s*ITEM\s+\d+[A-Z]?\b.*$')) >= 3 THEN 1 ELSE 0 END + CASE WHEN position < length(body) * 0.15 THEN 1 ELSE 0 END AS toc FROM candidates""",
+  + CASE WHEN len(regexp_extract_all(substr(body, CAST(position AS BIGINT) + 1, 3000), '(?im)^\s*ITEM\s+\d+[A-Z]?\b.*$')) >= 3 THEN 1 ELSE 0 END + CASE WHEN position < length(body) * 0.15 THEN 1 ELSE 0 END AS toc FROM section_candidates""",
 )
 
 
@@ -78,7 +78,7 @@ def candidates(t) -> DataFrame:
     return found.withColumn("toc", html.toc_score(F.col("body"), F.col("position"), F.col("heading")))
 
 
-@query("F2", "SELECT doc_id, section_key, CAST(position AS INT) AS position, CAST(n AS INT) AS length FROM candidates")
+@query("F2", "SELECT doc_id, section_key, CAST(position AS INT) AS position, CAST(n AS INT) AS length FROM section_candidates")
 def f2(t):
     return candidates(t).select("doc_id", "section_key", "position", "length")
 
@@ -107,7 +107,25 @@ def f5(t):
     return t.documents.select("doc_id", F.explode(text.chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.index").alias("chunk_index"), "c.tokens", F.md5("c.text").alias("digest"))
 
 
-@query("F6")
+oracle_view("said", f"SELECT transcript_id, speaker_role, speaker_role || ': ' || content AS text, {WORDS.format("speaker_role || ': ' || content")} AS w, row_number() OVER (PARTITION BY transcript_id ORDER BY turn_index) AS k FROM turns")
+#: A turn after another: the number of its first chunk, that of the open chunk and its size after it (0: none is open).
+oracle_view(
+    "turn_chunks",
+    """WITH RECURSIVE step AS (SELECT DISTINCT transcript_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS open FROM said
+  UNION ALL SELECT s.transcript_id, s.k, CASE WHEN p.open > 0 AND p.open + len(w) > 700 THEN p.chunk + 1 ELSE p.chunk END,
+      CASE WHEN p.open > 0 AND p.open + len(w) > 700 THEN p.chunk + 1 ELSE p.chunk END + CASE WHEN len(w) > 700 THEN (len(w) + 699) // 700 ELSE 0 END,
+      CASE WHEN len(w) > 700 THEN 0 WHEN p.open > 0 AND p.open + len(w) <= 700 THEN p.open + len(w) ELSE len(w) END
+    FROM step p JOIN said s ON s.transcript_id = p.transcript_id AND s.k = p.k + 1) SELECT * FROM step""",
+)
+
+
+@query(
+    "F6",
+    """SELECT transcript_id, CAST(chunk AS INT) AS chunk_index, CAST(sum(n) AS INT) AS tokens, array_to_string(list_sort(list(DISTINCT speaker_role)), ',') AS speakers, md5(string_agg(part, chr(10) || chr(10) ORDER BY k)) AS digest FROM (
+    SELECT transcript_id, k, first AS chunk, speaker_role, text AS part, len(w) AS n FROM said JOIN turn_chunks USING (transcript_id, k) WHERE len(w) <= 700
+    UNION ALL SELECT transcript_id, k, first + i, speaker_role, array_to_string(w[i * 700 + 1 : i * 700 + 700], ' '), least(700, len(w) - i * 700) FROM (SELECT *, unnest(range((len(w) + 699) // 700)) AS i FROM said JOIN turn_chunks USING (transcript_id, k) WHERE len(w) > 700)
+  ) GROUP BY transcript_id, chunk""",
+)
 def f6(t):
     return packing.pack_turns(t.turns).select("transcript_id", "chunk_index", "tokens", "speakers", F.md5("content").alias("digest"))
 
@@ -169,17 +187,29 @@ def f13(t):
     return t.corp_events.select("event_key", F.sha2(F.to_json(scope), 256).alias("cache_key"))
 
 
-@query("F14", "SELECT sha256(string_agg(h, ',' ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS rows FROM (SELECT b, sha256(string_agg(h, ',' ORDER BY h)) AS h, count(*) AS n FROM (SELECT sha256(event_key || '|' || ticker || '|' || CAST(event_date AS VARCHAR)) AS h, substr(sha256(event_key || '|' || ticker || '|' || CAST(event_date AS VARCHAR)), 1, 2) AS b FROM corp_events) GROUP BY b)")
+#: Leading hex digits of a row's hash that name its node, from the leaves to the root.
+FINGERPRINT_LEVELS = (6, 4, 2, 0)
+
+
+def fingerprint_sql(row: str, source: str) -> str:
+    sql = f"SELECT sha256({row}) AS b, sha256({row}) AS h, 1 AS n FROM {source}"
+    for digits in FINGERPRINT_LEVELS:
+        sql = f"SELECT substr(b, 1, {digits}) AS b, sha256(string_agg(h, ',' ORDER BY b, h)) AS h, sum(n)::BIGINT AS n FROM ({sql}) GROUP BY 1"
+    return f"SELECT h AS fingerprint, n AS rows FROM ({sql})"
+
+
+@query("F14", fingerprint_sql("event_key || '|' || ticker || '|' || CAST(event_date AS VARCHAR)", "corp_events"))
 def f14(t):
     return fingerprint(t.corp_events, ["event_key", "ticker", "event_date"])
 
 
 def fingerprint(df: DataFrame, names: list[str]) -> DataFrame:
-    """Order-insensitive hash of a dataset in two levels: 256 buckets of row hashes, then the buckets."""
-    row = df.select(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in names)), 256).alias("h"))
-    bucket = row.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"), ONE().alias("n"))
-    whole = bucket.agg(F.array_sort(F.collect_list(F.struct("b", "h"))).alias("x"), F.sum("n").alias("rows"))
-    return whole.select(F.sha2(F.array_join(F.col("x.h"), ","), 256).alias("fingerprint"), "rows")
+    """Order-insensitive hash of a dataset: a tree of 16 M buckets of row hashes, then at most 256 nodes under each node."""
+    nodes = df.select(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in names)), 256).alias("b")).select("b", F.col("b").alias("h"), F.lit(1).cast("long").alias("n"))
+    for digits in FINGERPRINT_LEVELS:
+        joined = F.array_join(F.array_sort(F.collect_list(F.struct("b", "h")))["h"], ",")
+        nodes = nodes.groupBy(F.substring("b", 1, digits).alias("b")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+    return nodes.select(F.col("h").alias("fingerprint"), F.col("n").alias("rows"))
 
 
 @query(
@@ -621,7 +651,19 @@ def x2(t):
     return jobs.new_alerts(t.spark, stream, watched).groupBy("event_type", "source_record_id").agg(ONE().alias("n"))
 
 
-@query("X3")
+def lexicon_sql() -> str:
+    """The shipped scorer over turns: shares of words by segments of 256, weighted by their size."""
+    among = lambda words: "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
+    share = lambda words: f"sum(greatest(1, len(s)) * ((1 + len([x FOR x IN s IF x IN {among(words)}])) / (greatest(1, len(s)) + 3))) / sum(greatest(1, len(s)))"
+    return f"""SELECT turn_id, CASE WHEN p >= n AND p >= u THEN 'positive' WHEN n >= u THEN 'negative' ELSE 'neutral' END AS label, round(p - n, 8) AS score, round(greatest(p, n, u), 8) AS confidence, CAST(tokens AS INT) AS tokens, CAST(segments AS INT) AS segments, 'SCORED' AS status FROM (
+      SELECT *, greatest(0.0::DOUBLE, 1 - p - n) AS u FROM (SELECT turn_id, {share(udfs.POSITIVE)} AS p, {share(udfs.NEGATIVE)} AS n, sum(len(s)) AS tokens, count(*) AS segments FROM (
+        SELECT turn_id, unnest([w[i * 256 + 1 : i * 256 + 256] FOR i IN range(greatest(1, (len(w) + 255) // 256))]) AS s FROM (SELECT turn_id, {WORDS.format('lower(content)')} AS w FROM turns)) GROUP BY turn_id))"""
+
+
+oracle_view("lexicon", lexicon_sql())
+
+
+@query("X3", "SELECT * FROM lexicon WHERE turn_id NOT IN (SELECT turn_id FROM turn_scores)")
 def x3(t):
     landed = scratch(t.spark, "turns")
     t.turns.select("turn_id", "content").repartition(2, "turn_id").write.parquet(landed)
@@ -629,8 +671,6 @@ def x3(t):
     return jobs.score_backlog(t.spark, stream, t.turn_scores, "turn_id", "content")
 
 
-
-
 @query("X4", f"SELECT event_key, CASE WHEN actual IS NULL THEN 'PENDING' WHEN target_trading_date <= feature_as_of_date + 60 THEN 'MATURED' ELSE 'EXPIRED' END AS status, {r('prediction')} AS forecast, CASE WHEN target_trading_date <= feature_as_of_date + 60 THEN {r('actual')} END AS realized FROM predictions")
 def x4(t):
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
@@ -694,7 +734,16 @@ def run_history(stages: DataFrame) -> DataFrame:
     )
 
 
-@query("X7")
+oracle_view("to_batch", "SELECT chunk_id, CAST(greatest(1, length(content) // 4) AS INT) AS tokens, chunk_id // 20000 AS range, row_number() OVER (PARTITION BY chunk_id // 20000 ORDER BY chunk_id) AS k FROM filing_chunks")
+oracle_view(
+    "batched",
+    """WITH RECURSIVE b AS (SELECT range, k, 0 AS batch, 1 AS n, tokens AS total FROM to_batch WHERE k = 1
+  UNION ALL SELECT b.range, x.k, b.batch + CAST(b.n >= 256 OR b.total + x.tokens > 180000 AS INT), CASE WHEN b.n >= 256 OR b.total + x.tokens > 180000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 256 OR b.total + x.tokens > 180000 THEN x.tokens ELSE b.total + x.tokens END
+    FROM b JOIN to_batch x ON x.range = b.range AND x.k = b.k + 1) SELECT * FROM b""",
+)
+
+
+@query("X7", "SELECT CAST(x.range AS INT) AS range, chunk_id, tokens, batch FROM to_batch x JOIN batched b ON b.range = x.range AND b.k = x.k")
 def x7(t):
     rows = t.filing_chunks.select("chunk_id", F.greatest(F.lit(1), F.length("content") / 4).cast("int").alias("tokens"), F.floor(F.col("chunk_id") / 20_000).cast("int").alias("range"))
     return packing.bounded_batches(rows, "range", 256, 180_000)
@@ -703,7 +752,7 @@ def x7(t):
 # UDFs
 
 
-@query("D1")
+@query("D1", "SELECT * FROM lexicon")
 def d1(t):
     return udfs.score_texts(t.turns, "turn_id", "content")
 
@@ -713,7 +762,11 @@ def d2(t):
     return udfs.embed_texts(t.documents, "doc_id", "text")
 
 
-@query("D3")
+@query(
+    "D3",
+    f"""SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(least(700, len(w) - i * 600) AS INT) AS tokens, md5(CASE WHEN len(w) <= 700 THEN text ELSE array_to_string(w[i * 600 + 1 : i * 600 + 700], ' ') END) AS digest
+  FROM (SELECT doc_id, text, w, unnest(range(1 + CAST(greatest(0, ceil((len(w) - 700) / 600.0)) AS INT))) AS i FROM (SELECT doc_id, text, {WORDS.format('text')} AS w FROM documents))""",
+)
 def d3(t):
     t.spark.udtf.register("split_tokens", udfs.SplitTokens)
     t.documents.createOrReplaceTempView("documents")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
@@ -133,6 +134,29 @@ SELECT b.item_id AS case_id, d.doc_id, d.source AS ticker, d.lang
 }
 
 
+def eval_cases(t: Tables) -> DataFrame:
+    """The rows of the binding, found by an equi-join on windows of words instead of a nested loop."""
+    docs, items = t.documents.select("doc_id", "text", "source", "lang"), t.benchmark.select("item_id", F.col("text").alias("wanted"))
+    pairs = holding(docs.select("doc_id", "text"), items)
+    x = pairs.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", "wanted"))
+    return x.select(F.col("item_id").alias("case_id"), "doc_id", F.col("source").alias("ticker"), "lang")
+
+
+def holding(docs: DataFrame, items: DataFrame, size: int = 4) -> DataFrame:
+    """Distinct (item_id, doc_id) where a document may contain an item's `wanted` text.
+
+    The words between blanks of a contained text, but for its first and last, are words of the
+    document in the same order; of an item the first `size` of these are looked up. An item of
+    fewer than `size` + 2 words is compared with every document: such items are few and short.
+    """
+    cut = items.select("item_id", "wanted", F.split("wanted", " ").alias("w"))
+    long = cut.where(F.size("w") >= size + 2).select("item_id", F.array_join(F.slice("w", 2, size), " ").alias("window"))
+    w = F.transform(F.array(F.split("text", " ")), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - size)), lambda i: F.array_join(F.slice(w, i + 1, size), " ")))[0]
+    found = docs.select("doc_id", F.explode(F.array_distinct(w)).alias("window")).join(long, "window").select("item_id", "doc_id")
+    short = cut.where(F.size("w") < size + 2).select("item_id", "wanted")
+    return found.unionByName(docs.join(short, F.contains("text", "wanted")).select("item_id", "doc_id")).distinct()
+
+
 def names_in(sql: str, known) -> list[str]:
     return [n for n in known if re.search(rf"(?<![\w.'])\b{n}\b", sql)]
 
@@ -149,7 +173,7 @@ class Tables:
             if name in TABLES:
                 made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
             elif name in BINDINGS:
-                made[name] = self.sql(BINDINGS[name])
+                made[name] = eval_cases(self) if name == "eval_cases" else self.sql(BINDINGS[name])
             else:
                 raise AttributeError(name)
         return made[name]

@@ -10,7 +10,7 @@ import __spark_entry__ as entry_module
 from meridian.sources.bindings import TABLES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ("S1", "J1", "J4", "J11", "W8", "C1", "A6", "A11", "M14", "F5", "K1")
+SAMPLE = ("S1", "J1", "J4", "J11", "W8", "C1", "A6", "A11", "M14", "F5", "K1", "S12", "C17", "F6", "F14", "X7", "D3", "Q6", "A19", "A22")
 
 
 def test_entry_gives_rows(spark):

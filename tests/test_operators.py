@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from meridian.operators.indicators import MARKET, market_panel
 from meridian.operators.labels import forward_labels
 from meridian.operators.splits import check_windows, with_folds
 from meridian.plans.model_queries import add_weekdays
-from meridian.sources.workspace import latest_wins, replace_children, scratch, upsert
+from meridian.sources.bindings import holding
+from meridian.sources.workspace import latest_wins, replace_children, scratch, upsert, written
 
 D = dt.date
 DAY = dt.timedelta(days=1)
@@ -158,3 +161,35 @@ def test_a_failing_text_harms_no_other(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="b"):
         require_columns(spark.createDataFrame([(1,)], "a int"), "a", "b")
+
+
+def test_ranks_and_quantiles_with_ties(spark):
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame({"k": rng.choice(["a", "b"], 3000), "v": np.where(rng.random(3000) < 0.4, 0.0, rng.normal(size=3000).round(2))})
+    rows = written(spark.createDataFrame(x), "ranked")
+    got = metrics.average_ranks(rows, ["k"], "v").toPandas()
+    assert len(got) == 3000 and (got.v_rank == got.groupby("k").v.rank()).all()
+    q = {r.k: r.q for r in metrics.exact_quantiles(rows, ["k"], "v", (0.0, 0.3, 0.5, 1.0)).collect()}
+    for k, part in x.groupby("k"):
+        assert q[k] == pytest.approx(list(part.v.quantile([0.0, 0.3, 0.5, 1.0])))
+
+
+def test_quantiles_of_nothing_and_of_one_value(spark):
+    rows = written(spark.createDataFrame([("a", None), ("b", 2.0), ("b", None)], "k string, v double"), "few")
+    assert [tuple(r) for r in metrics.exact_quantiles(rows, ["k"], "v", (0.5,)).collect()] == [("b", [2.0])]
+
+
+def test_texts_held_by_documents(spark):
+    docs = [(1, "so one two three four five six seven end"), (2, "one two three four five six sevens"), (3, "xone two three four five six seveny"), (4, "one  two three four five six seven"), (5, None), (6, "a short"), (7, "")]
+    items = [(1, "one two three four five six seven"), (2, "short"), (3, "nowhere at all to be found in it"), (4, None)]
+    found = holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, wanted string")).collect()
+    want = {(i, d) for i, w in items for d, x in docs if w and x and w in x}
+    assert want <= {tuple(r) for r in found} and len(set(found)) == len(found)
+    assert want == {(1, 1), (1, 2), (1, 3), (2, 6)}
+
+
+def test_batches_are_bounded_and_in_order(spark):
+    sizes = [5, 5, 5, 20, 1, 1, 1, 1, 9]
+    rows = spark.createDataFrame([(0, k, n) for k, n in enumerate(sizes)], "part int, chunk_id long, tokens int")
+    got = sorted((r.chunk_id, r.batch) for r in packing.bounded_batches(rows, "part", 3, 12).collect())
+    assert [b for _, b in got] == [0, 0, 1, 2, 3, 3, 3, 4, 4]
