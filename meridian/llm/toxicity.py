@@ -5,8 +5,10 @@ text by the class-prior-corrected risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-
 byte n-grams of the lower-cased text (exact codes, no hashing) that confirmed examples have far more
 often than unlabelled text; a document's features are the ones present anywhere in the whole text.
 
-The fit uses a bounded sample: about `positives` confirmed and `unlabelled` rows, taken by a hash of
-the id at a rate computed from the counts, so it is the same at every run. Every document is scored.
+The fit uses a bounded sample: about `positives` confirmed and `unlabelled` rows, taken by a hash at
+a rate computed from the counts, so it is the same at every run; however often an id or a row is
+repeated, twice these numbers are never passed, and at most 3000 features are used. Every document
+is scored.
 Null and empty texts have no feature and get the score of the intercept. Without any confirmed
 example all scores are 0. Repeated rows get the same score. Columns not named are ignored.
 """
@@ -124,10 +126,11 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 40
     return w.astype(np.float64), float(b)
 
 
-def sample_texts(docs: DataFrame, rate: float, seed: int, id_col: str, text_col: str) -> list[str | None]:
-    """Texts of about that share of the rows, chosen by a hash of the id."""
-    slot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000))
-    return [r[0] for r in docs.where(slot < int(1_000_000 * min(1.0, rate))).select(text_col).collect()]
+def sample_texts(docs: DataFrame, about: int, share: float, seed: int, id_col: str, text_col: str) -> list[str | None]:
+    """Texts of that share of the rows, chosen by a hash of id and text, and never more than twice as many as `about`."""
+    code = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    chosen = docs.where(F.pmod(code, F.lit(1_000_000)) < int(1_000_000 * min(1.0, share)))
+    return [r[0] for r in chosen.select(text_col, code.alias("_code")).orderBy("_code").limit(2 * about).collect()]
 
 
 def score_toxicity(
@@ -149,9 +152,10 @@ def score_toxicity(
     if n_pos and n_docs:
         slot = F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1_000_000))
         chosen = labels.where((F.col("toxic") == 1) & (slot < int(1_000_000 * min(1.0, positives / n_pos)))).select("_id").distinct()
-        pairs = docs.select(F.col(id_col).alias("_doc"), text_col).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # about `positives` ids
-        pos = [distinct_grams(r[0]) for r in pairs.select(text_col).collect()]
-        unl = [distinct_grams(t) for t in sample_texts(docs, unlabelled / n_docs, seed + 1, id_col, text_col)]
+        chosen = chosen.limit(2 * positives)  # about `positives` ids
+        pairs = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+        pos = [distinct_grams(t) for t in sample_texts(pairs, positives, 1.0, seed, "_doc", "_text")]
+        unl = [distinct_grams(t) for t in sample_texts(docs, unlabelled, unlabelled / n_docs, seed + 1, id_col, text_col)]
         table = GramTable(choose_features(pos, unl, prior))
         if len(table.codes) and pos and unl:
 
