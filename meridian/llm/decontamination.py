@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ NAME_LIKE, ENDS, SLOT, WORD = 1, 2, 4, 8
 FLAGS = np.uint64(15)
 #: Bits of the table that the scan looks windows up in (8 MB).
 TABLE_BITS = 26
+#: Characters of texts whose windows are hashed at once, about; a longer text is taken alone.
+TOGETHER = 60_000
 
 
 def type_hash(name: str) -> int:
@@ -50,6 +53,11 @@ def type_hash(name: str) -> int:
 
 
 NAME_VALUE = np.uint64(type_hash("name"))
+TYPE_NUMBER, TYPE_QUANTITY, TYPE_UNIT = map(type_hash, ("number", "quantity", "unit"))
+ASCII_UNITS = frozenset(x.encode() for x in UNITS)
+ASCII_SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
+#: Signs that may stand before a name.
+OPENING = b"\"'([{*_"
 
 
 def folded(s: str) -> str:
@@ -74,17 +82,21 @@ class Canon(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 300_000:
             self.clear()
-        s = surface(word)
         value = ENDS if word == LINE or word[-1:] in b".!?:" else 0
-        if s:
-            raw = word.decode("utf-8", "replace").lstrip("\"'([{*_")
+        if word.isascii() and (plain := word.strip(ASCII_SIGNS)).isalpha():  # most words, without a detour by str
+            low, raw = plain.lower(), word.lstrip(OPENING)
+            value |= WORD | (TYPE_UNIT | SLOT if low in ASCII_UNITS else xxhash.xxh3_64_intdigest(low) & ~15)
+            if not value & SLOT and raw[:1].isupper() and not (len(low) > 1 and raw.isupper()):
+                value |= NAME_LIKE
+        elif s := surface(word):
+            raw = word.decode("utf-8", "replace").lstrip(OPENING.decode())
             value |= WORD
-            if NUMBER.match(s):
-                value |= type_hash("number") | SLOT
-            elif NUMBER_UNIT.match(s):
-                value |= type_hash("quantity") | SLOT
+            if not s[0].isalpha() and NUMBER.match(s):
+                value |= TYPE_NUMBER | SLOT
+            elif not s[0].isalpha() and NUMBER_UNIT.match(s):
+                value |= TYPE_QUANTITY | SLOT
             elif s in UNITS:
-                value |= type_hash("unit") | SLOT
+                value |= TYPE_UNIT | SLOT
             else:
                 value |= xxhash.xxh3_64_intdigest(folded(s).encode("utf-8", "surrogatepass")) & ~15
                 if raw[:1].isupper() and not (len(s) > 1 and raw.isupper()):
@@ -93,20 +105,33 @@ class Canon(dict):
         return value
 
 
-def canonical(text: str | None, canon: Canon) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a text that count, the hashes of their literal or typed forms, and which are names and other slots."""
-    if not text:
-        return [], np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
-    words = text.encode("utf-8", "surrogatepass").replace(b"\n", b" \x01 ").split()
+class Canonical(NamedTuple):
+    """Texts one behind the other: their words, and of those that count place, text, hash and kind."""
+
+    words: list[bytes]
+    place: np.ndarray
+    text: np.ndarray
+    literal: np.ndarray
+    name: np.ndarray
+    typed: np.ndarray
+
+
+def canonical(texts: list[str | None], canon: Canon) -> Canonical:
+    words: list[bytes] = []
+    starts = []
+    for text in texts:
+        starts.append(len(words))
+        if text:
+            words += text.encode("utf-8", "surrogatepass").replace(b"\n", b" \x01 ").split()
+    sizes = np.diff([*starts, len(words)])
     value = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
     flags = (value & FLAGS).astype(np.uint8)
     opens = np.ones(len(words), bool)
     opens[1:] = (flags[:-1] & ENDS) > 0
-    names = ((flags & NAME_LIKE) > 0) & ~opens
-    keep = np.flatnonzero(flags & WORD)
-    if len(keep) < len(words):
-        words, value, flags, names = [words[i] for i in keep], value[keep], flags[keep], names[keep]
-    return words, value & ~FLAGS, names, (flags & SLOT) > 0
+    opens[np.array(starts)[sizes > 0]] = True
+    name = ((flags & NAME_LIKE) > 0) & ~opens
+    place = np.flatnonzero(flags & WORD)
+    return Canonical(words, place, np.repeat(np.arange(len(texts)), sizes)[place], value[place] & ~FLAGS, name[place], (flags[place] & SLOT) > 0)
 
 
 #: Kinds of windows; one without names is of both.
@@ -122,25 +147,43 @@ def windows_of(source: DataFrame, widths: list[int], id_kind: str, table: np.nda
     """
     shift = np.uint64(64 - TABLE_BITS)
 
+    def windows(texts: list[str | None], first: int, canon: Canon, bits: np.ndarray | None) -> list[tuple]:
+        words, place, text, literal, name, typed = canonical(texts, canon)
+        sizes = np.bincount(text, minlength=len(texts))
+        ends = np.cumsum(sizes)
+        some = bool(name.any())
+        template, slotted = (np.where(name, NAME_VALUE, literal), name | typed) if some else (literal, typed)
+        before = np.concatenate(([0], np.cumsum(name)))
+        rows = []
+        for width in [min(widths[0], len(place))] if whole else widths:
+            m = len(place) - width + 1
+            if m <= 0 or width == 0:
+                continue
+            inside = np.arange(width, len(place) + 1) <= ends[text[:m]]  # within one text
+            named = before[width:] > before[:m]
+            for kind, hashes, is_slot in ((TEMPLATE, template, slotted), (LITERAL, literal, typed))[: 2 if some else 1]:
+                h = window_hashes(hashes, width) ^ np.uint64(width)
+                hit = inside if bits is None else inside & bits[(h >> shift).astype(np.int64)]
+                for p in np.flatnonzero(hit if kind == TEMPLATE else hit & named).tolist():
+                    k, n = int(text[p]), int(sizes[text[p]])
+                    slots = [surface(words[place[p + i]]) for i in np.flatnonzero(is_slot[p : p + width]).tolist()]
+                    rows.append((first + k, int(h[p].astype(np.int64)), p - int(ends[k]) + n, slots, kind if named[p] else TEMPLATE | LITERAL, n - width + 1, n))
+        return rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon, bits = Canon(), None if table is None else np.unpackbits(table).view(bool)
         for batch in batches:
             rows: list[tuple] = []
+            texts: list[str | None] = []
+            held = first = 0
             for k, item in enumerate(batch.column(1)):
-                words, literal, names, typed = canonical(item.as_py(), canon)
-                some = names.any()
-                template, slotted = (np.where(names, NAME_VALUE, literal), names | typed) if some else (literal, typed)
-                before = np.concatenate(([0], np.cumsum(names))) if some else None
-                fits = [min(widths[0], len(words))] if whole else [w for w in widths if w <= len(words)]
-                for width in fits if len(words) else []:
-                    m = len(words) - width + 1
-                    named = before[width:] > before[:m] if some else np.zeros(m, bool)
-                    for kind, hashes, is_slot in ((TEMPLATE, template, slotted), (LITERAL, literal, typed))[: 2 if some else 1]:
-                        h = window_hashes(hashes, width) ^ np.uint64(width)
-                        hit = np.ones(m, bool) if bits is None else bits[(h >> shift).astype(np.int64)]
-                        for p in np.flatnonzero(hit if kind == TEMPLATE else hit & named).tolist():
-                            slots = [surface(words[p + i]) for i in np.flatnonzero(is_slot[p : p + width]).tolist()]
-                            rows.append((k, int(h[p].astype(np.int64)), p, slots, kind if named[p] else TEMPLATE | LITERAL, m, len(words)))
+                texts.append(item.as_py())
+                held += len(texts[-1] or "")
+                if whole or held >= TOGETHER:
+                    rows += windows(texts, first, canon, bits)
+                    texts, held, first = [], 0, k + 1
+            if texts:
+                rows += windows(texts, first, canon, bits)
             cols = list(zip(*rows)) if rows else [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], names=["id", "hash", "pos", "slots", "kind", "n", "n_words"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 tok = pytest.importorskip("public_tokenizers")
 
-from meridian.llm import common  # noqa: E402
+from meridian.llm import common, decontamination  # noqa: E402
 from meridian.llm import jaccard_join as jj  # noqa: E402
 from meridian.llm import substring_dedup as sd  # noqa: E402
 from meridian.llm.components import components  # noqa: E402
@@ -24,7 +24,7 @@ from meridian.llm.common import WordHashes  # noqa: E402
 from meridian.llm.sharding import communication_matrix, hypergeometric, shard_uniform  # noqa: E402
 from meridian.llm.substring_dedup import remove_repeats  # noqa: E402
 from meridian.llm.token_counts import PieceCounter, token_counts  # noqa: E402
-from meridian.llm.toxicity import choose_features, score_toxicity  # noqa: E402
+from meridian.llm.toxicity import choose_features, sample_texts, score_toxicity  # noqa: E402
 from meridian.llm.url_filters import judge_urls  # noqa: E402
 
 #: Extra columns have names that the operators use inside.
@@ -204,6 +204,15 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert score_toxicity(none, labels).count() == 0 and {r.score for r in score_toxicity(docs, labels.where("toxic = 9")).collect()} == {score_toxicity(docs, labels.limit(0)).first().score}
 
 
+def test_samples_are_bounded_whatever_is_repeated(spark):
+    rows = [(7, f"text {k}") for k in range(3000)] + [(None, "null")] * 3000 + [(8, "same")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sample_texts(docs, 100, 100 / len(rows), 1, "doc_id", "text")
+    assert len(got) <= 200 and got == sample_texts(docs.repartition(5), 100, 100 / len(rows), 1, "doc_id", "text")
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id bigint, toxic int")
+    assert score_toxicity(docs, labels, positives=20, unlabelled=50).count() == 9000
+
+
 @pytest.mark.parametrize("prior", [0.1, 0.01, 0.001])
 def test_rare_toxicity_has_features(prior):
     toxic = [np.array([1 + k % 20, 100], np.uint64) for k in range(400)]  # codes 1 to 20 of toxic text only, 100 of all
@@ -424,6 +433,28 @@ def test_reparameterised_questions_are_found(spark, none):
     assert contaminated(none, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("together", [1, 50, 10**9])
+def test_windows_stay_within_their_text(spark, monkeypatch, together):
+    monkeypatch.setattr(decontamination, "TOGETHER", together)
+    rng = random.Random(12)
+    texts = [None, "", *(prose(rng, k) for k in (1, 3, 7, 8, 9, 30)), "--- ...", "He met Anna on 3 May, then Anna left. " * 4, "", prose(rng, 8)]
+    got = decontamination.windows_of(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").coalesce(1), [8, 5], "bigint", np.full(1 << 23, 255, np.uint8), False)
+    got = Counter((r.id, r.pos, r.kind, r.n_words, r.n, tuple(r.slots)) for r in got.collect())
+    want = Counter()
+    for k, text in enumerate(texts):
+        words = [w for w in (text or "").split() if decontamination.surface(w.encode())]
+        low = [decontamination.surface(w.encode()) for w in words]
+        name = [w[:1].isupper() and i > 0 and words[i - 1][-1] not in ".!?:" for i, w in enumerate(words)]
+        number = [w[:1].isdigit() for w in words]
+        for width in (8, 5):
+            for p in range(len(words) - width + 1):
+                at = range(p, p + width)
+                named = any(name[i] for i in at)
+                for kind, slot in ((1, [a or b for a, b in zip(name, number)]), (2, number))[: 1 + named]:
+                    want[k, p, kind if named else 3, len(words), len(words) - width + 1, tuple(low[i] for i in at if slot[i])] += 1
+    assert got == want
+
+
 def test_copies_in_other_case_are_found(spark):
     item = "Yesterday a man from Gro\u00dfenhain told Anna that I and he saw a bird near Lake Tana, \u00e1 mile off Bahir Dar. Which bird was it?"
     rows = [(1, item.upper()), (2, item.lower()), (3, item.title()), (4, item), (5, f"x y z. {item.upper()} X Y"), (6, " ".join(reversed(item.upper().split())))]
