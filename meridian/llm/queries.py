@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridian.llm import sql
+from meridian.llm.centroid_clusters import centroid_clusters
 from meridian.llm.common import table
 from meridian.llm.decontamination import contaminated
+from meridian.llm.filter_audit import filter_audit
 from meridian.llm.html_text import main_text
 from meridian.llm.jaccard_join import near_duplicates
 from meridian.llm.packing import pack
@@ -84,6 +87,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_uniform(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -96,8 +107,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
+        "op11_centroid_clusters": op11_centroid_clusters,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_centroid_clusters": sql.clustering(), "op13_filter_audit": sql.FILTER_AUDIT}
