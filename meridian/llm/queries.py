@@ -14,6 +14,7 @@ from meridian.llm.decontamination import contaminated
 from meridian.llm.filter_audit import filter_audit
 from meridian.llm.html_text import main_text
 from meridian.llm.jaccard_join import near_duplicates
+from meridian.llm.lm_scoring import lm_scores
 from meridian.llm.packing import pack
 from meridian.llm.quality_rules import quality_rules
 from meridian.llm.sharding import shard_uniform
@@ -91,6 +92,14 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    scores = lm_scores(table(spark, sf_dir, "documents"), ~held, tok.path("byte_bpe_multi_50k.tiktoken"), tok.PATTERN)
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -108,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
         "op11_centroid_clusters": op11_centroid_clusters,
+        "op12_lm_scoring": op12_lm_scoring,
         "op13_filter_audit": op13_filter_audit,
     }
 
