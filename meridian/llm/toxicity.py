@@ -2,8 +2,9 @@
 
 A linear classifier (numpy, logistic loss) is trained from confirmed toxic examples and unlabelled
 text by the class-prior-corrected risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)).  Features are
-byte n-grams of the lower-cased text (exact codes, no hashing) that confirmed examples have far more
-often than unlabelled text; a document's features are the ones present anywhere in the whole text.
+lower-cased words and their beginnings of 3 to 12 characters (as 64-bit codes) that confirmed examples
+have far more often than unlabelled text, in any language; a document's features are the ones
+present anywhere in the whole text.
 
 The fit uses a bounded sample: about `positives` confirmed and `unlabelled` rows, taken by a hash at
 a rate computed from the counts, so it is the same at every run; however often an id or a row is
@@ -19,56 +20,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII without letters becomes a space.
 PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-GRAM = 5
+#: Lengths in characters of the word beginnings that are features, besides whole words.
+SHORTEST, LONGEST = 3, 12
 
 
-def grams(text: str | None, limit: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Codes of the byte n-grams of a text, in blocks of bounded size."""
-    if not text:
-        return
-    raw = b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split())
-    raw = np.frombuffer(b" " + raw + b" ", np.uint8)
-    m = len(raw) - GRAM + 1
-    for start in range(0, m, limit):
-        part = raw[start : start + limit + GRAM - 1]
-        k = len(part) - GRAM + 1
-        code = part[:k].astype(np.uint64)
-        for j in range(1, GRAM):
-            code = code << np.uint64(8) | part[j : k + j]
-        yield code
+def words_of(text: str | None) -> set[bytes]:
+    """Distinct lower-cased words of a text, by ASCII characters that are no letters."""
+    return set((text or "").lower().encode("utf-8", "surrogatepass").translate(PLAIN).split())
 
 
-def distinct_grams(text: str | None) -> np.ndarray:
-    parts = [np.unique(g) for g in grams(text)]
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+class Beginnings(dict):
+    """Word -> codes of its beginnings and of the whole word, filled on demand, emptied at `limit` words."""
 
+    def __init__(self, limit: int = 200_000):
+        super().__init__()
+        self.limit = limit
 
-class GramTable:
-    """Finds which of a fixed sorted set of codes a text has; a bit table drops nearly all others."""
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) >= self.limit:
+            self.clear()
+        text = word.decode("utf-8", "surrogatepass")
+        starts = [text[:k].encode("utf-8", "surrogatepass") + b"*" for k in range(SHORTEST, min(LONGEST, len(text)) + 1)]
+        codes = self[word] = [xxhash.xxh3_64_intdigest(x) for x in (*starts, word)]
+        return codes
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self._slot(codes)] = True
+    def of(self, text: str | None) -> np.ndarray:
+        """Sorted distinct codes of a text."""
+        found = {c for w in words_of(text) for c in self[w]}
+        return np.unique(np.fromiter(found, np.uint64, len(found)))
 
-    @staticmethod
-    def _slot(codes: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+class FeatureTable(dict):
+    """Word -> which of a fixed set of codes it has (mostly none), filled on demand, emptied at `limit` words."""
+
+    def __init__(self, codes: np.ndarray, limit: int = 500_000):
+        super().__init__()
+        self.place = {c: k for k, c in enumerate(codes.tolist())}
+        self.begin, self.limit = Beginnings(1), limit
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[word] = tuple(self.place[c] for c in self.begin[word] if c in self.place)
+        return found
 
     def present(self, text: str | None) -> np.ndarray:
-        found = [np.empty(0, np.int64)]
-        if len(self.codes):
-            for code in grams(text):
-                some = code[self.maybe[self._slot(code)]]
-                at = np.minimum(np.searchsorted(self.codes, some), len(self.codes) - 1)
-                found.append(np.unique(at[self.codes[at] == some]))
-        return np.unique(np.concatenate(found))
+        """Sorted places of the codes that a text has."""
+        return np.array(sorted({k for w in words_of(text) for k in self[w]}), np.int64)
 
 
 def choose_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_share: float = 0.004, purity: float = 0.7, doubt: int = 3, most: int = 3000) -> np.ndarray:
@@ -148,27 +152,29 @@ def score_toxicity(
     known = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_docs = known.get(1, 0), docs.count()
     prior = min(0.9, max(0.001, n_pos / max(1, sum(known.values()))))
-    table, weights, intercept = GramTable(np.empty(0, np.uint64)), np.empty(0), -50.0
+    codes, weights, intercept = np.empty(0, np.uint64), np.empty(0), -50.0
     if n_pos and n_docs:
         slot = F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1_000_000))
         chosen = labels.where((F.col("toxic") == 1) & (slot < int(1_000_000 * min(1.0, positives / n_pos)))).select("_id").distinct()
         chosen = chosen.limit(2 * positives)  # about `positives` ids
         pairs = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-        pos = [distinct_grams(t) for t in sample_texts(pairs, positives, 1.0, seed, "_doc", "_text")]
-        unl = [distinct_grams(t) for t in sample_texts(docs, unlabelled, unlabelled / n_docs, seed + 1, id_col, text_col)]
-        table = GramTable(choose_features(pos, unl, prior))
-        if len(table.codes) and pos and unl:
+        begin = Beginnings()
+        pos = [begin.of(t) for t in sample_texts(pairs, positives, 1.0, seed, "_doc", "_text")]
+        unl = [begin.of(t) for t in sample_texts(docs, unlabelled, unlabelled / n_docs, seed + 1, id_col, text_col)]
+        codes = choose_features(pos, unl, prior)
+        if len(codes) and pos and unl:
 
             def matrix(rows: list[np.ndarray]) -> np.ndarray:
-                x = np.zeros((len(rows), len(table.codes)), np.float32)
+                x = np.zeros((len(rows), len(codes)), np.float32)
                 for k, g in enumerate(rows):
-                    at = np.minimum(np.searchsorted(table.codes, g), len(table.codes) - 1)
-                    x[k, at[table.codes[at] == g]] = 1
+                    at = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
+                    x[k, at[codes[at] == g]] = 1
                 return x
 
             weights, intercept = fit_nnpu(matrix(pos), matrix(unl), prior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = FeatureTable(codes)
         for batch in batches:
             z = np.array([weights[table.present(t.as_py())].sum() + intercept if len(weights) else intercept for t in batch.column(1)], float)
             score = 1 / (1 + np.exp(-np.clip(z, -50, 50))) if len(z) else z
