@@ -45,7 +45,7 @@ FLUSH = 400_000
 #: Bytes of text whose seeds, and whose windows, a task compares, about.
 SEED_BYTES, WINDOW_BYTES = 100_000_000, 12_000_000
 #: Passage words in a shard, and bytes of regions that one task streams through it, about.
-SHARD_WORDS, STREAM_BYTES = 80_000, 8_000_000
+SHARD_WORDS, STREAM_BYTES, LOAD_WORDS = 80_000, 8_000_000, 800_000
 #: Marks a place whose document's occurrences were sent apart.
 SENT = np.uint32(1 << 31)
 
@@ -224,8 +224,10 @@ def cut_out(source: DataFrame, width: int, seed: int | None) -> DataFrame:
                 else:
                     at = np.concatenate([np.frombuffer(x, np.uint32) for x in places]).astype(np.int64) - start
                     mark[at[(at >= 0) & (at <= last)]] = True
-                for a, b in runs_of(np.flatnonzero(mark)):
-                    rows.append((doc, fp, start + a, b" ".join(words[a : b + width]), b + width - a))
+                for first, final in runs_of(np.flatnonzero(mark)):
+                    for a in [first] if seed else range(first, final + 1, SHARD_WORDS):  # a passage of a shard: so many windows at most
+                        b = final if seed else min(final, a + SHARD_WORDS - 1)
+                        rows.append((doc, fp, start + a, b" ".join(words[a : b + width]), b + width - a))
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()).cast(pa.string()), pa.array(cols[4], pa.int64())],
@@ -275,6 +277,20 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def loads(passages: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Passages (doc_id, text) in lists of about LOAD_WORDS words, so that words fit into the character codes of an automaton."""
+    some, have = [], 0
+    for owner, text in passages:
+        n = text.count(" ") + 1
+        if some and have + n > LOAD_WORDS:
+            yield some
+            some, have = [], 0
+        some.append((owner, text))
+        have += n
+    if some:
+        yield some
+
+
 class PassageAutomaton:
     """Aho-Corasick automaton over the phrases of passages (doc_id, text)."""
 
@@ -353,7 +369,7 @@ def repeats(docs: DataFrame, width: int, seed: int) -> DataFrame:
     words = passages.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     shards = max(tasks, -(-words // SHARD_WORDS))
     large = passages.groupBy("origin").agg(F.ceil(F.sum("n_words") / SHARD_WORDS).cast("int").alias("split")).where("split > 1")
-    deal = F.pmod(F.xxhash64("origin", F.pmod(F.xxhash64("doc_id", "fp"), F.coalesce("split", F.lit(1)))), F.lit(shards)).cast("int")
+    deal = F.pmod(F.xxhash64("origin", F.pmod(F.xxhash64(*place), F.coalesce("split", F.lit(1)))), F.lit(shards)).cast("int")
     passages = materialize(passages.join(large, "origin", "left").select(*place, deal.alias("shard"), "text"), "sharded")
 
     known = their.join(passages.select(*place, "shard"), place).select("hash", "shard").distinct()
@@ -369,10 +385,11 @@ def repeats(docs: DataFrame, width: int, seed: int) -> DataFrame:
     def stream(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            automaton = PassageAutomaton(list(zip(left["doc_id"].tolist(), left["text"])), width, seed)
-            for doc, fp, start, text in zip(right["doc_id"].tolist(), right["fp"].tolist(), right["start"].tolist(), right["text"]):
-                if spans := automaton.find(doc, text):
-                    out.append((doc, fp, (np.array(spans, np.int64) + start).astype(np.uint32).tobytes()))
+            for passages in loads(sorted(zip(left["doc_id"].tolist(), left["text"]))):
+                automaton = PassageAutomaton(passages, width, seed)
+                for doc, fp, start, text in zip(right["doc_id"].tolist(), right["fp"].tolist(), right["start"].tolist(), right["text"]):
+                    if spans := automaton.find(doc, text):
+                        out.append((doc, fp, (np.array(spans, np.int64) + start).astype(np.uint32).tobytes()))
         return pd.DataFrame(out, columns=["doc_id", "fp", "spans"])
 
     found = dealt.groupBy("shard", "part").cogroup(routed.groupBy("shard", "part")).applyInPandas(stream, "doc_id bigint, fp bigint, spans binary")

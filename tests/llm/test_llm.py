@@ -478,3 +478,19 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
     assert len(of_b) == 1 and [r for r in got if r not in of_b] == sorted([(7, a), (3, c), (2, d + " ka"), (None, None), (9, "")], key=str)
     rows = [(None, item), (None, a), (3, b), (3, f"{c} {item}")]
     assert ids(cp.decontamination(spark, frame(rows), str(tmp_path))) == sorted([(None, a), (3, b)], key=str)
+
+
+def test_repeats_of_more_words_than_there_are_characters(spark):
+    """Two equal documents of 1.25 million distinct words: all of the second goes."""
+    text = " ".join(f"w{k}" for k in range(1_250_000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "a short one")], "doc_id bigint, text string")
+    got = {r[0]: r[1:] for r in remove_repeats(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert got == {1: (1_250_000, 0), 2: (1_250_000, 1_250_000), 3: (3, 0)}
+
+
+@pytest.mark.parametrize("size", [30, 3])
+def test_split_passages_and_loads_give_the_same(docs, monkeypatch, size):
+    whole = rows_of(remove_repeats(docs))
+    monkeypatch.setattr(sd, "SHARD_WORDS", size)
+    monkeypatch.setattr(sd, "LOAD_WORDS", 2 * size)
+    assert rows_of(remove_repeats(docs)) == whole
