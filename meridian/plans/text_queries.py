@@ -15,7 +15,7 @@ from meridian.plans.aggregate_queries import WT, filing_rows, service, summary_s
 from meridian.plans.market_queries import latest_two
 from meridian.plans.registry import oracle_view, query
 from meridian.plans.source_queries import routed_sql
-from meridian.sources.workspace import scratch
+from meridian.sources.workspace import scratch, written
 from meridian.streaming import jobs
 
 ONE = lambda: F.count(F.lit(1))
@@ -639,7 +639,7 @@ def x1(t):
     for k, part in enumerate((first, second)):
         part.withColumn("loaded", F.lit(k)).write.mode("append").parquet(landed)
     schema = t.spark.read.parquet(landed).schema
-    return jobs.refresh_bars(t.spark, landed, schema).select("ticker", "trading_date", rounded("adjusted_close").alias("adjusted_close"), "volume")
+    return jobs.refresh_bars(t.spark, landed, schema, jobs.Place.fresh(t.spark, "bars")).select("ticker", "trading_date", rounded("adjusted_close").alias("adjusted_close"), "volume")
 
 
 @query("X2", "SELECT event_type, source_record_id, count(DISTINCT 1) AS n FROM alerts_in WHERE ticker IN ('T1', 'T2', 'T3') GROUP BY event_type, source_record_id")
@@ -648,7 +648,7 @@ def x2(t):
     t.alerts_in.withColumn("created_at", F.col("created_at").cast("timestamp")).repartition(3, "event_id").write.parquet(landed)
     stream = jobs.read_files(t.spark, landed, t.spark.read.parquet(landed).schema)
     watched = t.alerts_in.select("ticker").where("ticker IN ('T1', 'T2', 'T3')")
-    return jobs.new_alerts(t.spark, stream, watched).groupBy("event_type", "source_record_id").agg(ONE().alias("n"))
+    return jobs.new_alerts(t.spark, stream, watched, jobs.Place.fresh(t.spark, "alerts")).groupBy("event_type", "source_record_id").agg(ONE().alias("n"))
 
 
 def lexicon_sql() -> str:
@@ -668,20 +668,29 @@ def x3(t):
     landed = scratch(t.spark, "turns")
     t.turns.select("turn_id", "content").repartition(2, "turn_id").write.parquet(landed)
     stream = jobs.read_files(t.spark, landed, "turn_id bigint, content string")
-    return jobs.score_backlog(t.spark, stream, t.turn_scores, "turn_id", "content")
+    return jobs.score_backlog(t.spark, stream, t.turn_scores, "turn_id", "content", jobs.Place.fresh(t.spark, "scores"))
 
 
-@query("X4", f"SELECT event_key, CASE WHEN actual IS NULL THEN 'PENDING' WHEN target_trading_date <= feature_as_of_date + 60 THEN 'MATURED' ELSE 'EXPIRED' END AS status, {r('prediction')} AS forecast, CASE WHEN target_trading_date <= feature_as_of_date + 60 THEN {r('actual')} END AS realized FROM predictions")
+@query(
+    "X4",
+    f"""WITH x AS (SELECT *, feature_as_of_date + 60 AS deadline, max(greatest(feature_as_of_date + 1, CASE WHEN actual IS NOT NULL THEN target_trading_date END)) OVER () - 366 AS clock FROM predictions)
+  SELECT event_key, CASE WHEN actual IS NOT NULL THEN CASE WHEN target_trading_date <= deadline THEN 'MATURED' ELSE 'EXPIRED' END WHEN deadline < clock THEN 'EXPIRED' ELSE 'PENDING' END AS status,
+    {r('prediction')} AS forecast, CASE WHEN target_trading_date <= deadline THEN {r('actual')} END AS realized FROM x""",
+)
 def x4(t):
+    """Forecasts and outcomes land year by year; a forecast without an outcome expires 60 days on, by a timer."""
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
     made = t.predictions.select("event_key", F.lit("forecast").alias("kind"), day("feature_as_of_date").alias("at"), (day("feature_as_of_date") + 60).alias("deadline"), F.col("prediction").alias("value"))
     late = made.withColumns({"at": F.col("at") + 1, "value": F.lit(9.0)})  # a second forecast changes nothing
     done = t.predictions.where("actual IS NOT NULL").select("event_key", F.lit("outcome").alias("kind"), day("target_trading_date").alias("at"), F.lit(None).cast("long").alias("deadline"), F.col("actual").alias("value"))
-    landed = scratch(t.spark, "ledger-events")
-    for part in (made.unionByName(late), done):
-        part.write.mode("append").parquet(landed)
-    stream = t.spark.readStream.schema("event_key string, kind string, at bigint, deadline bigint, value double").parquet(landed)
-    out = jobs.ledger_stream(t.spark, stream)
+    every, landed = written(made.unionByName(late).unionByName(done), "ledger-rows"), scratch(t.spark, "ledger-events")
+    first, last = every.agg(F.min(F.floor(F.col("at") / 366)), F.max(F.floor(F.col("at") / 366))).first()
+    for year in range(first, last + 1) if first is not None else []:
+        every.where(F.floor(F.col("at") / 366) == year).write.mode("append").parquet(landed)
+    if first is None:
+        every.write.parquet(landed)
+    stream = jobs.read_files(t.spark, landed, every.schema, 8)
+    out = jobs.ledger_stream(t.spark, stream, jobs.Place.fresh(t.spark, "ledger"))
     return out.select("event_key", "status", rounded("forecast").alias("forecast"), rounded("realized").alias("realized"))
 
 

@@ -28,6 +28,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table is broadcast.
+FEW_ROWS = 400_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows for a join: broadcast if its rows are few, else as it is."""
+    return F.broadcast(table) if table.count() <= FEW_ROWS else table
+
+
 def read_if_there(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The Parquet table at a path, or None where nothing has been written yet."""
     try:
@@ -44,18 +53,20 @@ def latest_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", seq)
 
 
-def upsert(path: str, incoming: DataFrame, keys: list[str], part: str) -> DataFrame:
+def upsert(path: str, incoming: DataFrame, keys: list[str], part: str, by: str | None = None) -> DataFrame:
     """Insert or overwrite rows of a Parquet table partitioned by `part`, a function of the keys.
 
-    Only partitions that the incoming rows touch are read and written again (dynamic partition
-    overwrite), so a run that is repeated leaves the table as it is.
+    Of rows of one key the one with the greatest `by` wins, without `by` the incoming one (of several incoming
+    rows any, then). Only partitions that the incoming rows touch are read and written again (dynamic
+    partition overwrite), so a run that is repeated leaves the table as it is.
     """
     spark = incoming.sparkSession
-    seq = incoming.withColumn("_seq", F.lit(1))
+    rank = (lambda k: F.struct(F.col(by), F.lit(k))) if by else F.lit
+    seq = incoming.withColumn("_seq", rank(1))
     old = read_if_there(spark, path)
     if old is not None:
         touched = F.broadcast(incoming.select(part).distinct())  # partition names: few by design
-        seq = old.join(touched, part, "left_semi").withColumn("_seq", F.lit(0)).unionByName(seq)
+        seq = old.join(touched, part, "left_semi").withColumn("_seq", rank(0)).unionByName(seq)
     merged = latest_wins(seq, keys, "_seq")
     staged = scratch(spark, "stage")  # a table cannot be overwritten while it is read
     merged.write.parquet(staged)

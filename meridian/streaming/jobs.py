@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.functions.udfs import score_texts
-from meridian.sources.workspace import latest_wins, read_if_there, scratch, upsert
+from meridian.sources.workspace import few, latest_wins, read_if_there, scratch, upsert, written
+
+
+@dataclass(frozen=True)
+class Place:
+    """Where a job keeps its table and its progress; whoever calls it again with the same place goes on from there."""
+
+    table: str
+    progress: str
+
+    @classmethod
+    def fresh(cls, spark: SparkSession, name: str) -> Place:
+        """A place for a job that starts from nothing."""
+        return cls(scratch(spark, name), scratch(spark, f"{name}-progress"))
 
 
 def read_files(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def run_available(stream: DataFrame, each_batch) -> None:
-    """Process all available input batch by batch; progress is checkpointed in the shared folder."""
-    place = scratch(stream.sparkSession, "stream-progress")
-    stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, each_batch, progress: str, mode: str = "append") -> None:
+    """Process all input that `progress` does not know yet, batch by batch.
+
+    A batch that was cut off is run again with the same rows and number before any new one.
+    """
+    out = stream.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", progress)
+    out.trigger(availableNow=True).start().awaitTermination()
 
 
 def write_batch(rows: DataFrame, table: str, n: int) -> None:
@@ -24,77 +42,97 @@ def write_batch(rows: DataFrame, table: str, n: int) -> None:
     rows.write.mode("overwrite").parquet(f"{table}/batch={n}")
 
 
-def refresh_bars(spark: SparkSession, landed: str, schema, lookback_days: int = 14) -> DataFrame:
-    """Landed price files upserted into a table, oldest first; a load re-reads `lookback_days`, so late corrections win."""
-    table = scratch(spark, "refreshed")
+def rows_of_table(spark: SparkSession, place: Place, kind: str) -> DataFrame:
+    """What the batches have written so far; no rows before the first."""
+    found = read_if_there(spark, place.table, f"{kind}, batch bigint")
+    return spark.createDataFrame([], f"{kind}, batch bigint") if found is None else found
+
+
+def refresh_bars(spark: SparkSession, landed: str, schema, place: Place, per_trigger: int = 8) -> DataFrame:
+    """Landed price files (with a column `loaded`) upserted into a table; of a bar the row loaded last wins.
+
+    A load may repeat days of earlier ones, so late corrections win. Files landed since the last call
+    are the only ones read; a repeated batch leaves the table as it is. `loaded` stays in the table,
+    so an old file that comes late does not undo a correction.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            newest = latest_wins(batch, ["ticker", "trading_date"], "loaded")
-            upsert(table, newest.withColumn("year", F.year("trading_date")), ["ticker", "trading_date"], "year")
+            upsert(place.table, batch.withColumn("year", F.year("trading_date")), ["ticker", "trading_date"], "year", by="loaded")
 
-    run_available(read_files(spark, landed, schema, 8), merge)
-    return spark.read.parquet(table)
+    run_available(read_files(spark, landed, schema, per_trigger), merge, place.progress)
+    found = read_if_there(spark, place.table)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
-def new_alerts(spark: SparkSession, records: DataFrame, watched: DataFrame) -> DataFrame:
-    """One alert per (type, source record) of watched tickers from a stream of records; known ones are left out."""
-    table, kind = scratch(spark, "alerts"), "event_type string, source_record_id string, created_at timestamp, event_id bigint, ticker string"
-    kept = records.join(F.broadcast(watched.distinct()), "ticker", "left_semi")
+def new_alerts(spark: SparkSession, records: DataFrame, watched: DataFrame, place: Place) -> DataFrame:
+    """One alert per (type, source record) of watched tickers from a stream of records; known ones are left out.
+
+    The table of alerts is what the job remembers: records are compared with it by a join on their
+    key, also after a restart.
+    """
+    kind = "event_type string, source_record_id string, created_at timestamp, event_id bigint, ticker string"
+    kept = records.join(few(written(watched.distinct(), "watched")), "ticker", "left_semi")
 
     def insert(batch: DataFrame, n: int) -> None:
         fresh = batch.groupBy("event_type", "source_record_id").agg(F.min(F.struct("created_at", "event_id", "ticker")).alias("x")).select("event_type", "source_record_id", "x.*")
-        known = read_if_there(spark, table, f"{kind}, batch bigint")
-        if known is not None:
-            fresh = fresh.join(known.where(F.col("batch") < n), ["event_type", "source_record_id"], "left_anti")
-        write_batch(fresh, table, n)
+        known = rows_of_table(spark, place, kind).where(F.col("batch") < n)
+        write_batch(fresh.join(known, ["event_type", "source_record_id"], "left_anti"), place.table, n)
 
-    run_available(kept, insert)
-    return spark.read.schema(f"{kind}, batch bigint").parquet(table).drop("batch")
+    run_available(kept, insert, place.progress)
+    return rows_of_table(spark, place, kind).drop("batch")
 
 
-def score_backlog(spark: SparkSession, items: DataFrame, done: DataFrame, key: str, text: str) -> DataFrame:
+def score_backlog(spark: SparkSession, items: DataFrame, done: DataFrame, key: str, text: str, place: Place) -> DataFrame:
     """Scores a stream of items that have no result yet, batch by batch, into a result table."""
-    table = scratch(spark, "scores")
 
     def score(batch: DataFrame, n: int) -> None:
         waiting = batch.join(done.select(key), key, "left_anti")
-        write_batch(score_texts(waiting, key, text), table, n)
+        write_batch(score_texts(waiting, key, text), place.table, n)
 
-    run_available(items, score)
-    return spark.read.schema(f"{key} bigint, label string, score double, confidence double, tokens int, segments int, status string, batch bigint").parquet(table).drop("batch")
+    run_available(items, score, place.progress)
+    return rows_of_table(spark, place, f"{key} bigint, label string, score double, confidence double, tokens int, segments int, status string").drop("batch")
 
 
-def ledger_stream(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Final state by event key of a stream (event_key, kind, at, deadline, value).
+def ledger_stream(spark: SparkSession, events: DataFrame, place: Place, lateness_days: int = 366) -> DataFrame:
+    """State by event key of a stream (event_key, kind, at, deadline, value); `at` and `deadline` are days since 1970.
 
-    A forecast is pending until an outcome comes (MATURED, or INVALID if it is not later than the
-    forecast) or a later event time passes the deadline (EXPIRED); then it does not change again.
+    A forecast is PENDING until an outcome comes: MATURED, INVALID where the outcome is not later than
+    the forecast, EXPIRED where it is later than the deadline. Without any outcome a timer makes
+    it EXPIRED when event time passes the deadline, that is, when an event of any key has come that is
+    more than `lateness_days` later. What is not PENDING does not change again. Events that
+    come later than that behind the newest are left out. Only the first forecast of a key counts, and no
+    outcome before it.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    table = scratch(spark, "ledger-stream")
+    day = 86_400_000
 
     def step(key, frames, state: GroupState):
         forecast, at, deadline, status, realized = state.get if state.exists else (None, None, None, "NEW", None)
-        rows = pd.concat(list(frames)) if not state.hasTimedOut else pd.DataFrame(columns=["kind", "at", "deadline", "value"])
-        for kind, when, limit, value in rows.sort_values(["at", "kind"])[["kind", "at", "deadline", "value"]].itertuples(index=False):
-            when = int(when)
-            if kind == "forecast" and status == "NEW":
-                forecast, at, deadline, status = float(value), when, int(limit), "PENDING"
-            elif kind == "outcome" and status == "PENDING":
-                status, realized = ("MATURED", float(value)) if when > at and when <= deadline else ("INVALID" if when <= at else "EXPIRED", None)
+        if state.hasTimedOut:
+            status = "EXPIRED"
+        else:
+            rows = pd.concat(list(frames)).sort_values(["at", "kind"])
+            for kind, when, limit, value in rows[["kind", "at", "deadline", "value"]].itertuples(index=False):
+                when = int(when)
+                if kind == "forecast" and status == "NEW":
+                    forecast, at, deadline, status = float(value), when, int(limit), "PENDING"
+                elif kind == "outcome" and status == "PENDING":
+                    status = "INVALID" if when <= at else "MATURED" if when <= deadline else "EXPIRED"
+                    realized = float(value) if status == "MATURED" else None
+            if status == "PENDING" and deadline * day < state.getCurrentWatermarkMs():
+                status = "EXPIRED"
         state.update((forecast, at, deadline, status, realized))
-        yield pd.DataFrame({"event_key": [key[0]], "status": [status], "forecast": [forecast], "realized": [realized]})
+        if status == "PENDING":
+            state.setTimeoutTimestamp(max(deadline * day, state.getCurrentWatermarkMs() + 1))
+        if status != "NEW":
+            yield pd.DataFrame({"event_key": [key[0]], "status": [status], "forecast": [forecast], "realized": [realized]})
 
     out = "event_key string, status string, forecast double, realized double"
     kept = "forecast double, at long, deadline long, status string, realized double"
-    states = events.groupBy("event_key").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
-
-    def write(batch: DataFrame, n: int) -> None:
-        write_batch(batch, table, n)
-
-    place = scratch(spark, "stream-progress")
-    states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
-    return latest_wins(spark.read.parquet(table), ["event_key"], "batch")
+    timed = events.withColumn("_time", F.timestamp_seconds(F.col("at") * 86_400)).withWatermark("_time", f"{lateness_days} days")
+    states = timed.groupBy("event_key").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.EventTimeTimeout)
+    run_available(states, lambda batch, n: write_batch(batch, place.table, n), place.progress, "update")
+    return latest_wins(rows_of_table(spark, place, out), ["event_key"], "batch")
