@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions.numeric import r, ratio, rounded
 from meridian.operators import features as feat
 from meridian.operators import metrics as met
+from meridian.operators import models as mod
 from meridian.operators import portfolio as port
 from meridian.operators.indicators import MARKET
 from meridian.operators.splits import FOLDS, fold_of, purged_split, with_folds
 from meridian.plans.aggregate_queries import labels_of
 from meridian.plans.registry import oracle_view, query
 from meridian.plans.source_queries import items_of
+from meridian.sources.workspace import written
 
 EVENT_SQL = """CAST(event_source = 'earnings_call' AS INT) AS is_earnings_call, CAST(event_source = 'sec_filing' AS INT) AS is_sec_filing, CAST(coalesce(upper(form_type) = '10-K', FALSE) AS INT) AS is_10k, CAST(coalesce(upper(form_type) = '10-Q', FALSE) AS INT) AS is_10q,
   TRY_CAST(nullif(regexp_extract(fiscal_period, 'Q([1-4])', 1), '') AS INT) AS fiscal_quarter, sin(month(event_date) * (2 * pi() / 12)) AS event_month_sin, cos(month(event_date) * (2 * pi() / 12)) AS event_month_cos,
@@ -178,15 +181,19 @@ def u3(t):
 MODEL = ("momentum_21d", "volatility_21d", "beta_63d", "volume_ratio_20d", "eps_surprise_pct", "days_since_prior_company_event")
 
 
-def long_folds(t, names=MODEL) -> DataFrame:
-    x = folded_of(t).withColumns({c: F.col(c).cast("double") for c in names})
-    return x.select("fold", "role", "event_key", "excess_return", *names)
+def model_rows(t, names=ALL) -> DataFrame:
+    """Labelled events for the models, written once: (event_key, y, x, roles, anchor and target dates), a role in each walk-forward fold."""
+    x = features_of(t).where("target_available")
+    f, u = F.col("anchor_trading_date"), F.col("target_trading_date")
+    day = lambda s: F.lit(s).cast("date")
+    roles = mod.roles_of(*(((f < day(a)) & (u < day(a)), (f >= day(a)) & (f < day(b)) & (u < day(b))) for _, a, b in FOLDS))
+    return written(x.select("event_key", F.col("excess_return").alias("y"), F.array(*(F.col(c).cast("double") for c in names)).alias("x"), roles.alias("roles"), "anchor_trading_date", "target_trading_date"), "model-rows")
 
 
-def medians(train: DataFrame, names=MODEL) -> DataFrame:
-    """Exact training medians and missing counts by fold and feature (0 where a feature is never there)."""
-    agg = train.groupBy("fold").agg(*(F.struct(F.coalesce(F.median(c), F.lit(0.0)).alias("median"), F.count_if(F.col(c).isNull()).alias("missing")).alias(c) for c in names))
-    return agg.select("fold", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"{c}.median").alias("median"), F.col(f"{c}.missing").alias("missing")) for c in names))).alias("x")).select("fold", "x.*")
+def by_fold_and_feature(t, columns: str, cells, names) -> DataFrame:
+    """A frame of one row a fold and feature from arrays of that shape."""
+    rows = [(k, c, *(a[i][j].item() for a in cells)) for i, (k, *_) in enumerate(FOLDS) for j, c in enumerate(names)]
+    return t.spark.createDataFrame(rows, f"fold int, feature string, {columns}")
 
 
 oracle_view("train_long", " UNION ALL ".join(f"SELECT fold, role, event_key, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM folded" for c in MODEL))
@@ -195,7 +202,8 @@ oracle_view("fold_medians", "SELECT fold, feature, coalesce(quantile_cont(x, 0.5
 
 @query("M3", f"SELECT fold, feature, {r('median')} AS median, missing, missing > 0 AS flagged FROM fold_medians")
 def m3(t):
-    x = medians(long_folds(t).where("role = 'train'"))
+    medians, missing = mod.exact_medians(model_rows(t, MODEL), len(FOLDS), len(MODEL))
+    x = by_fold_and_feature(t, "median double, missing bigint", (np.nan_to_num(medians), missing.astype(int)), MODEL)
     return x.select("fold", "feature", rounded("median").alias("median"), "missing", (F.col("missing") > 0).alias("flagged"))
 
 
@@ -205,19 +213,9 @@ oracle_view("scales", "SELECT fold, feature, avg(x) AS mean, CASE WHEN stddev_po
 
 @query("M4", f"SELECT fold, feature, {r('mean', 5)} AS mean, {r('std', 5)} AS std FROM scales")
 def m4(t):
-    return scales(long_folds(t)).select("fold", "feature", rounded("mean", 5).alias("mean"), rounded("std", 5).alias("std"))
-
-
-def imputed(x: DataFrame, names=MODEL) -> DataFrame:
-    """Long rows (fold, role, event_key, feature, x) with training medians in place of nulls."""
-    rows = x.unpivot(["fold", "role", "event_key"], list(names), "feature", "x")
-    return rows.join(F.broadcast(medians(x.where("role = 'train'"), names)), ["fold", "feature"]).select("fold", "role", "event_key", "feature", F.coalesce("x", "median").alias("x"))
-
-
-def scales(x: DataFrame, names=MODEL) -> DataFrame:
-    """Training mean and population standard deviation (1 if 0) of the imputed features."""
-    agg = imputed(x, names).where("role = 'train'").groupBy("fold", "feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    return agg.withColumn("std", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))
+    inputs = mod.learn_inputs(model_rows(t, MODEL), len(FOLDS), len(MODEL))
+    x = by_fold_and_feature(t, "mean double, std double", (inputs.means, inputs.scales), MODEL)
+    return x.select("fold", "feature", rounded("mean", 5).alias("mean"), rounded("std", 5).alias("std"))
 
 
 oracle_view("train_means", "SELECT fold, avg(excess_return) AS mean FROM folded WHERE role = 'train' GROUP BY fold")
@@ -250,62 +248,92 @@ def m9(t):
 # fits
 
 
-def assembled(t, fold: int = 1) -> DataFrame:
-    """Standardised feature vectors of one fold (train and validation) with the label."""
-    from pyspark.ml.functions import array_to_vector
+def walk_forward(found: DataFrame) -> DataFrame:
+    """Predictions by fold number."""
+    fold = F.element_at(F.array(*(F.lit(k) for k, *_ in FOLDS)), F.col("fit") + 1)
+    return found.select(fold.alias("fold"), "model", "event_key", F.col("actual").alias("label"), "prediction")
 
-    x = long_folds(t).where((F.col("fold") == fold) & (F.col("role") != "purged"))
-    z = imputed(x).join(F.broadcast(scales(x)), ["fold", "feature"]).withColumn("z", (F.col("x") - F.col("mean")) / F.col("std"))
-    order = F.array_sort(F.collect_list(F.struct("feature", "z")))
-    vectors = z.groupBy("role", "event_key").agg(order.alias("v")).select("role", "event_key", array_to_vector(F.col("v.z")).alias("features"))
-    return vectors.join(x.select("event_key", F.col("excess_return").alias("label")), "event_key")
 
+RIDGE, NETS = (1.0, 10.0, 100.0), ((0.001, 0.1), (0.01, 0.5))
 
-def linear(alpha: float, l1: float, n: int, std: float):
-    """MLlib regression with the penalty of ridge (l1 = 0: alpha on the summed squares) or elastic net (per row)."""
-    from pyspark.ml.regression import LinearRegression
 
-    if l1 == 0:
-        return LinearRegression(solver="normal", standardization=False, regParam=alpha * std / max(n, 1), elasticNetParam=0.0)
-    a, b = alpha * l1, alpha * (1 - l1) * std
-    return LinearRegression(solver="normal", standardization=False, regParam=a + b, elasticNetParam=a / (a + b))
-
-
-def fit_and_score(t, models: dict) -> DataFrame:
-    """Validation predictions of MLlib estimators made by `models` (name -> f(n, label std))."""
-    from meridian.sources.workspace import scratch
-
-    path = scratch(t.spark, "vectors")
-    assembled(t).write.parquet(path)
-    x = t.spark.read.parquet(path)
-    train = x.where("role = 'train'")
-    n, std = train.agg(F.count(F.lit(1)), F.coalesce(F.stddev_pop("label"), F.lit(0.0))).first()
+def linear_models(moments: list, fits) -> list[tuple]:
+    """The linear candidates of every fit, with the two baselines."""
     out = []
-    for name, make in models.items():
-        fitted = make(n, std).fit(train)
-        out.append(fitted.transform(x.where("role = 'validation'")).select(F.lit(name).alias("model"), "event_key", "label", "prediction"))
-    return reduce(DataFrame.unionByName, out)
+    for k in fits:
+        m = moments[k]
+        none = np.zeros(len(m.covered))
+        out += [(k, "zero", none, 0.0), (k, "mean", none, m.mean)]
+        out += [(k, f"ridge-{a:g}", mod.ridge(m, a), m.mean) for a in RIDGE]
+        out += [(k, f"elastic-net-{a:g}-{s:g}", mod.elastic_net(m, a, s), m.mean) for a, s in NETS]
+    return out
 
 
 @query("M6")
 def m6(t):
-    return fit_and_score(t, {"ridge": lambda n, s: linear(10.0, 0.0, n, s), "elastic_net": lambda n, s: linear(0.001, 0.5, n, s)})
+    """Ridge and elastic net on all model features and missing flags: a fit a fold, predictions for its validation rows."""
+    rows = model_rows(t)
+    inputs = mod.learn_inputs(rows, len(FOLDS), len(ALL))
+    return walk_forward(mod.linear_predictions(rows, inputs, linear_models(mod.normal_equations(rows, inputs), range(len(FOLDS)))))
 
 
 @query("M7")
 def m7(t):
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    """Boosted trees (stopped early by the fold's validation rows) and a forest, a fit a fold."""
+    rows = model_rows(t)
+    inputs, out = mod.learn_inputs(rows, len(FOLDS), len(ALL)), []
+    for k in range(len(FOLDS)):
+        x = written(mod.vectors(rows, inputs, k), "vectors")
+        if not x.where("NOT held").isEmpty() and not x.where("held").isEmpty():
+            out.append(mod.tree_predictions(x, k, "boosted", mod.boosted(20, 2, 0.1, True).fit(x)))
+            out.append(mod.tree_predictions(x, k, "forest", mod.forest(20, 4).fit(x.where("NOT held"))))
+    empty = t.spark.createDataFrame([], "fit int, model string, event_key string, actual double, prediction double")
+    return walk_forward(mod.union_of(out) if out else empty)
+
 
-    return fit_and_score(t, {"boosted": lambda n, s: GBTRegressor(maxIter=8, maxDepth=3, stepSize=0.1, seed=7), "forest": lambda n, s: RandomForestRegressor(numTrees=15, maxDepth=5, seed=7)})
+VALIDATION, TEST = "1998-01-01", "1999-01-01"
+TREES = ((20, 2, 0.1), (20, 3, 0.1))
 
 
 @query("M8")
 def m8(t):
-    """The best ridge strength by (MAE, RMSE, order) on the validation rows."""
-    grid = {f"{k}:ridge-{a}": (lambda n, s, a=a: linear(a, 0.0, n, s)) for k, a in enumerate((1.0, 10.0, 100.0))}
-    x = fit_and_score(t, grid).select("model", F.col("label").alias("actual"), "prediction")
-    scored = met.forecast_metrics(x, ["model"]).select("model", "rows", "mae", "rmse")
-    return scored.withColumn("chosen", F.row_number().over(Window.orderBy("mae", "rmse", "model")) == 1)  # one row per candidate
+    """Candidates scored on validation rows, the best by (MAE, RMSE, order) fitted again on train and validation, and scored once on test rows."""
+    return select_and_refit(model_rows(t))
+
+
+def select_and_refit(rows: DataFrame, validation: str = VALIDATION, test: str = TEST, features: int = len(ALL)) -> DataFrame:
+    """Metrics (split, model, rounds, chosen, METRICS) of all candidates on validation and of the chosen ones and baselines on test.
+
+    Linear and boosted candidates are chosen apart. Labels that cross a border are in no part.
+    Boosted candidates stop early on the validation rows; the refit takes as many rounds.
+    """
+    spark, day = rows.sparkSession, lambda s: F.lit(s).cast("date")
+    f, u, v, e = F.col("anchor_trading_date"), F.col("target_trading_date"), day(validation), day(test)
+    train, valid, late = (f < v) & (u < v), (f >= v) & (f < e) & (u < e), f >= e
+    rows = written(rows.withColumn("roles", mod.roles_of((train, valid), (train | valid, late))), "split-rows")
+    inputs = mod.learn_inputs(rows, 2, features)
+    moments = mod.normal_equations(rows, inputs)
+    linear = linear_models(moments, (0, 1))
+    found, trees = [mod.linear_predictions(rows, inputs, [m for m in linear if m[0] == 0])], {}
+    select, final = (written(mod.vectors(rows, inputs, k), "vectors") for k in (0, 1))
+    if not select.where("NOT held").isEmpty() and not select.where("held").isEmpty():
+        for n, (rounds, depth, step) in enumerate(TREES, 1):
+            fitted = mod.boosted(rounds, depth, step, True).fit(select)
+            trees[f"boosted-{n}"] = (fitted.getNumTrees, depth, step)
+            found.append(mod.tree_predictions(select, 0, f"boosted-{n}", fitted))
+    names = ["split", "model"]
+    scored = written(met.forecast_metrics(mod.union_of(found).withColumn("split", F.lit("validation")), names), "validation-metrics")
+    order = {m[1]: k for k, m in enumerate(x for x in linear if x[0] == 0)} | {c: k for k, c in enumerate(trees)}
+    ranked = sorted(scored.select("model", "mae", "rmse").collect(), key=lambda c: (c.mae, c.rmse, order[c.model]))  # one row a candidate
+    best = [next((c.model for c in ranked if c.model.startswith(kind)), None) for kind in (("ridge", "elastic"), "boosted")]
+    chosen = [b for b in best if b]
+    found = [mod.linear_predictions(rows, inputs, [m for m in linear if m[0] == 1 and m[1] in ("zero", "mean", *chosen)])]
+    if best[1] and not final.where("held").isEmpty():
+        rounds, depth, step = trees[best[1]]
+        found.append(mod.tree_predictions(final, 1, best[1], mod.boosted(rounds, depth, step, False).fit(final.where("NOT held"))))
+    tested = met.forecast_metrics(mod.union_of(found).withColumn("split", F.lit("test")), names)
+    counts = spark.createDataFrame([(k, v[0]) for k, v in trees.items()], "model string, rounds int")
+    return scored.unionByName(tested).join(F.broadcast(counts), "model", "left").withColumn("chosen", F.col("model").isin(chosen))
 
 
 # metrics
