@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions.numeric import ratio
 from meridian.operators.asof import active_on, number_calendar
+from meridian.sources.workspace import written
 
 
 def next_session_returns(bars: DataFrame) -> DataFrame:
@@ -27,9 +28,12 @@ def traded_days(signals: DataFrame, bars: DataFrame, benchmark: str = "SPY") ->
     return days.withColumn("day", F.row_number().over(Window.orderBy("trading_date")))  # one row a session
 
 
-def signal_weights(signals: DataFrame, bars: DataFrame, top_k: int = 2, min_signals: int = 4) -> DataFrame:
-    """Cross-sectional weights by day: the latest signal of each ticker, the best k long, the worst k short."""
-    days = F.broadcast(traded_days(signals, bars).select("trading_date", "day"))
+def signal_weights(signals: DataFrame, bars: DataFrame, top_k: int = 2, min_signals: int = 4, traded: DataFrame | None = None) -> DataFrame:
+    """Cross-sectional weights by day: the latest signal of each ticker, the best k long, the worst k short.
+
+    `traded` are the `traded_days`, where the caller has them.
+    """
+    days = F.broadcast((traded_days(signals, bars) if traded is None else traded).select("trading_date", "day"))  # one row a session
     live = active_on(signals, number_calendar(bars), "feature_as_of_date", "target_trading_date").join(days, "trading_date")
     by_day = Window.partitionBy("day")
     live = live.withColumn("_all", F.count(F.lit(1)).over(by_day)).where(F.col("_all") >= min_signals)
@@ -57,7 +61,8 @@ def turnover(weights: DataFrame, days: DataFrame) -> DataFrame:
 
 def daily_returns(signals: DataFrame, bars: DataFrame, top_k: int = 2, min_signals: int = 4, cost_bps: float = 10.0) -> DataFrame:
     """Gross and net returns of both portfolios by day; positions without a next return are counted."""
-    days, weights = traded_days(signals, bars), signal_weights(signals, bars, top_k, min_signals)
+    days = written(traded_days(signals, bars), "traded-days")
+    weights = written(signal_weights(signals, bars, top_k, min_signals, days), "weights")
     moves = next_session_returns(bars).select("ticker", "trading_date", "next_return")
     held = weights.join(moves, ["ticker", "trading_date"], "left")
     sums = held.groupBy("day").agg(

@@ -479,22 +479,31 @@ oracle_view(
 
 @query("M12", f"SELECT trading_date, ticker, event_key, {r('prediction')} AS prediction, position, {r('long_short_weight')} AS long_short_weight, {r('long_only_weight')} AS long_only_weight FROM weights")
 def m12(t):
+    t.stored("bars_weekly", "predictions")
     x = port.signal_weights(t.predictions, t.bars_weekly)
     return x.select("trading_date", "ticker", "event_key", rounded("prediction").alias("prediction"), "position", rounded("long_short_weight").alias("long_short_weight"), rounded("long_only_weight").alias("long_only_weight"))
 
 
 @query("M13", f"SELECT trading_date, {r('long_short_turnover')} AS long_short_turnover, {r('long_only_turnover')} AS long_only_turnover FROM moved")
 def m13(t):
-    x = port.turnover(port.signal_weights(t.predictions, t.bars_weekly), port.traded_days(t.predictions, t.bars_weekly))
+    t.stored("bars_weekly", "predictions")
+    days = written(port.traded_days(t.predictions, t.bars_weekly), "traded-days")
+    x = port.turnover(written(port.signal_weights(t.predictions, t.bars_weekly, traded=days), "weights"), days)
     return x.select("trading_date", rounded("long_short_turnover").alias("long_short_turnover"), rounded("long_only_turnover").alias("long_only_turnover"))
 
 
+def daily_of(t) -> DataFrame:
+    """Daily returns of the signal portfolio, from bars and predictions written once; written itself, one row a session."""
+    t.stored("bars_weekly", "predictions")
+    return written(port.daily_returns(t.predictions, t.bars_weekly), "daily-returns")
+
+
 DAILY = ("spy_return", "long_short_turnover", "long_only_turnover", "long_short_gross", "long_only_gross", "long_short_net", "long_only_net")
 
 
 @query("M14", f"SELECT trading_date, next_date, long_positions, short_positions, missing_returns, {', '.join(f'{r(c)} AS {c}' for c in DAILY)} FROM daily")
 def m14(t):
-    x = port.daily_returns(t.predictions, t.bars_weekly)
+    x = daily_of(t)
     return x.select("trading_date", "next_date", "long_positions", "short_positions", "missing_returns", *(rounded(c).alias(c) for c in DAILY))
 
 
@@ -511,20 +520,20 @@ def performance_sql(source: str, keys: str) -> str:
 
 @query("M15", f"SELECT strategy, trading_days, {', '.join(f'{r(c, 5)} AS {c}' for c in PERF)} FROM ({performance_sql('arms_daily', 'strategy')})")
 def m15(t):
-    return port.performance(port.strategies(port.daily_returns(t.predictions, t.bars_weekly)), ["strategy"]).select("strategy", "trading_days", *(rounded(c, 5).alias(c) for c in PERF))
+    return port.performance(port.strategies(daily_of(t)), ["strategy"]).select("strategy", "trading_days", *(rounded(c, 5).alias(c) for c in PERF))
 
 
 @query("W16", f"SELECT strategy, trading_date, {r('ln(wealth)', 5)} AS log_wealth, {r('wealth / max(wealth) OVER (PARTITION BY strategy ORDER BY trading_date ROWS UNBOUNDED PRECEDING) - 1', 5)} AS drawdown FROM (SELECT *, product(1 + ret) OVER (PARTITION BY strategy ORDER BY trading_date ROWS UNBOUNDED PRECEDING) AS wealth FROM arms_daily)")
 def w16(t):
     w = Window.partitionBy("strategy").orderBy("trading_date").rowsBetween(Window.unboundedPreceding, 0)
-    x = port.strategies(port.daily_returns(t.predictions, t.bars_weekly)).withColumn("wealth", F.product(F.col("ret") + 1).over(w))
+    x = port.strategies(daily_of(t)).withColumn("wealth", F.product(F.col("ret") + 1).over(w))
     return x.select("strategy", "trading_date", rounded(F.ln("wealth"), 5).alias("log_wealth"), rounded(ratio(F.col("wealth"), F.max("wealth").over(w)) - 1, 5).alias("drawdown"))
 
 
 @query("W17", f"SELECT trading_date, {r('CASE WHEN count(long_short_turnover) OVER w = 5 THEN avg(long_short_turnover) OVER w END')} AS turnover_5d FROM daily WINDOW w AS (ORDER BY trading_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def w17(t):
     w = Window.orderBy("trading_date").rowsBetween(-4, 0)  # one row a session
-    x = port.daily_returns(t.predictions, t.bars_weekly).select("trading_date", "long_short_turnover")
+    x = daily_of(t).select("trading_date", "long_short_turnover")
     return x.select("trading_date", rounded(F.when(F.count("long_short_turnover").over(w) == 5, F.avg("long_short_turnover").over(w))).alias("turnover_5d"))
 
 
@@ -534,7 +543,7 @@ def w17(t):
   JOIN (SELECT CAST(w.fold AS INT) AS fold, count(*) FILTER (d.long_positions > 0) AS active_days FROM daily d JOIN fold_windows w ON d.trading_date >= w.a AND d.trading_date < w.b GROUP BY w.fold) a USING (fold)""",
 )
 def m16(t):
-    x = fold_of(port.daily_returns(t.predictions, t.bars_weekly), "trading_date").where("fold IS NOT NULL")
+    x = fold_of(daily_of(t), "trading_date").where("fold IS NOT NULL")
     perf = port.performance(x.select("fold", "trading_date", F.col("long_short_net").alias("ret"), F.col("long_short_turnover").alias("turnover")), ["fold"])
     active = x.groupBy("fold").agg(F.count_if(F.col("long_positions") > 0).alias("active_days"))
     return perf.join(active, "fold").select("fold", "trading_days", "active_days", *(rounded(c, 5).alias(c) for c in PERF))
@@ -607,7 +616,7 @@ def u4(t):
 )
 def m20(t):
     pooled = met.forecast_metrics(arms(t), ["model"]).agg(F.max(F.when(F.col("model") == "signal", F.col("mae"))).alias("model_mae"), F.max(F.when(F.col("model") == "zero", F.col("mae"))).alias("zero_mae"))
-    sharpe = port.performance(port.strategies(port.daily_returns(t.predictions, t.bars_weekly)), ["strategy"]).where("strategy = 'long_short_net'").select("sharpe")
+    sharpe = port.performance(port.strategies(daily_of(t)), ["strategy"]).where("strategy = 'long_short_net'").select("sharpe")
     better, positive = F.col("model_mae") < F.col("zero_mae"), F.coalesce(F.col("sharpe") > 0, F.lit(False))
     reasons = F.array_compact(F.array(F.when(~better, "mae_not_better"), F.when(~positive, "net_sharpe_not_positive")))
     return pooled.join(F.broadcast(sharpe)).select((better & positive).alias("promote"), F.array_join(reasons, ",").alias("reasons"))

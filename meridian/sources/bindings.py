@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridian.sources.workspace import written
+
 TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 BINDINGS: dict[str, str] = {
@@ -178,6 +180,12 @@ class Tables:
                 raise AttributeError(name)
         return made[name]
 
+    def stored(self, *names: str) -> Tables:
+        """Writes bindings once, for queries that use them several times; whatever is made of them afterwards reads these files."""
+        for name in names:
+            self.made[name] = written(getattr(self, name), name)
+        return self
+
     def sql(self, query: str) -> DataFrame:
         """SQL over tables and bindings; names are resolved when this is called."""
         for name in names_in(query, [*TABLES, *BINDINGS]):
