@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meridian.functions import html, packing, text, udfs
 from meridian.functions.numeric import r, ratio, rounded
 from meridian.operators import sentiment as sent
+from meridian.operators.batching import sequential_batches
 from meridian.operators.retrieval import top_k, unit
 from meridian.plans.aggregate_queries import WT, filing_rows, service, summary_sql, topic_rows_sql
 from meridian.plans.market_queries import latest_two
@@ -743,19 +744,19 @@ def run_history(stages: DataFrame) -> DataFrame:
     )
 
 
-oracle_view("to_batch", "SELECT chunk_id, CAST(greatest(1, length(content) // 4) AS INT) AS tokens, chunk_id // 20000 AS range, row_number() OVER (PARTITION BY chunk_id // 20000 ORDER BY chunk_id) AS k FROM filing_chunks")
+oracle_view("to_batch", "SELECT chunk_id, CAST(greatest(1, length(content) // 4) AS INT) AS tokens, row_number() OVER (ORDER BY chunk_id) AS k FROM filing_chunks")
 oracle_view(
     "batched",
-    """WITH RECURSIVE b AS (SELECT range, k, 0 AS batch, 1 AS n, tokens AS total FROM to_batch WHERE k = 1
-  UNION ALL SELECT b.range, x.k, b.batch + CAST(b.n >= 256 OR b.total + x.tokens > 180000 AS INT), CASE WHEN b.n >= 256 OR b.total + x.tokens > 180000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 256 OR b.total + x.tokens > 180000 THEN x.tokens ELSE b.total + x.tokens END
-    FROM b JOIN to_batch x ON x.range = b.range AND x.k = b.k + 1) SELECT * FROM b""",
+    """WITH RECURSIVE b AS (SELECT k, 0 AS batch, 1 AS n, tokens AS total FROM to_batch WHERE k = 1
+  UNION ALL SELECT x.k, b.batch + CAST(b.n >= 256 OR b.total + x.tokens > 180000 AS INT), CASE WHEN b.n >= 256 OR b.total + x.tokens > 180000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 256 OR b.total + x.tokens > 180000 THEN x.tokens ELSE b.total + x.tokens END
+    FROM b JOIN to_batch x ON x.k = b.k + 1) SELECT * FROM b""",
 )
 
 
-@query("X7", "SELECT CAST(x.range AS INT) AS range, chunk_id, tokens, batch FROM to_batch x JOIN batched b ON b.range = x.range AND b.k = x.k")
+@query("X7", "SELECT chunk_id, tokens, CAST(batch AS BIGINT) AS batch FROM to_batch JOIN batched USING (k)")
 def x7(t):
-    rows = t.filing_chunks.select("chunk_id", F.greatest(F.lit(1), F.length("content") / 4).cast("int").alias("tokens"), F.floor(F.col("chunk_id") / 20_000).cast("int").alias("range"))
-    return packing.bounded_batches(rows, "range", 256, 180_000)
+    rows = t.filing_chunks.select("chunk_id", F.greatest(F.lit(1), F.length("content") / 4).cast("int").alias("tokens"))
+    return sequential_batches(rows, "chunk_id", 256, 180_000)
 
 
 # UDFs
