@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,37 +72,53 @@ SECTIONS = {
         "part2_item1a_risk_factors": (r"^\s*ITEM\s+1A[\.\s:\-]+RISK\s+FACTORS\b.*$", (r"^\s*ITEM\s+2\b.*$", r"^\s*ITEM\s+3\b.*$", r"^\s*ITEM\s+4\b.*$", r"^\s*ITEM\s+5\b.*$", r"^\s*ITEM\s+6\b.*$")),
     },
 }
-MARK = "\u0001"
+#: How every one of these headings begins.
+HEADING = re.compile(r"^\s*(?:ITEM\s+\d+[A-Z]?\b|PART\s+I+\b)", re.I | re.M)
+ITEM_LINE = re.compile(r"^\s*ITEM\s+\d+[A-Z]?\b.*$", re.I | re.M)
+LEADER = re.compile(r"\.{3,}\s*\d+\s*$")
 
 
-def section_candidates(docs: DataFrame, text: str, section: str, form: str, least: int = 50) -> DataFrame:
-    """Every occurrence of a section's start heading, with the text up to the first end heading behind it.
+def toc_score(text: str, position: int, heading: str) -> int:
+    """Evidence that a heading belongs to a table of contents; 3 or more means it does."""
+    before, after = text[max(0, position - 1500) : position], text[position : position + 3000]
+    return 3 * ("TABLE OF CONTENTS" in before.upper()) + 2 * bool(LEADER.search(heading)) + (len(ITEM_LINE.findall(after)) >= 3) + (position < 0.15 * len(text))
+
 
-    A mark is put before each heading and the text is split at the marks, so headings that span lines
-    are found; lengths of the parts before give the place. Adds section_key, position, heading, content,
-    length; candidates shorter than `least` go.
+def find_sections(text: str, form: str, least: int = 50) -> list[tuple[str, int, str, str, int]]:
+    """Candidates (section, position, heading, content, toc) of a filing, from one pass over its headings.
+
+    All headings are listed first; each is then asked which sections it starts and ends. A section runs from each
+    of its starts to the next heading that ends it, or to the end of the text; short ones go.
     """
-    start, ends = SECTIONS[form][section]
-    parts = F.split(F.regexp_replace(text, f"(?imU)({start})", f"{MARK}$1"), MARK)
-    x = docs.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("_k", "_part")).where("_k > 0")
-    before = F.aggregate(F.slice("_parts", 1, F.col("_k")), F.lit(0), lambda n, p: n + F.length(p))
-    heading = F.regexp_extract("_part", f"(?imU)({start})", 1)
-    x = x.withColumns({"position": before, "heading": heading})
-    tail = F.substring(text, F.col("position") + F.length("heading") + 1, F.length(text))
-    body = F.concat("heading", F.split(tail, "(?imU)" + "|".join(ends), 2)[0])
-    x = x.withColumn("content", F.regexp_replace(body, r"(?U)^\s+|\s+\z", ""))
-    return x.withColumns({"section_key": F.lit(section), "length": F.length("content")}).where(F.col("length") >= least).drop("_parts", "_part", "_k")
-
-
-def toc_score(text: Column, position: Column, heading: Column) -> Column:
-    """Evidence that a heading belongs to a table of contents; 3 or more means it does."""
-    before = F.substring(text, F.greatest(F.lit(1), position - 1499), F.least(position, F.lit(1500)))
-    after = F.substring(text, position + 1, F.lit(3000))
-    flag = lambda c, n: F.when(c, n).otherwise(0)
-    return (
-        flag(F.upper(before).contains("TABLE OF CONTENTS"), 3) + flag(heading.rlike(r"(?U)\.{3,}\s*\d+\s*$"), 2)
-        + flag(F.regexp_count(after, F.lit(r"(?imU)^\s*ITEM\s+\d+[A-Z]?\b.*$")) >= 3, 1) + flag(position < F.length(text) * 0.15, 1)
-    )
+    places = [m.start() for m in HEADING.finditer(text)]
+    found = []
+    for section, (start, ends) in SECTIONS[form].items():
+        begins, stops = re.compile(start, re.I | re.M), re.compile("|".join(ends), re.I | re.M)
+        end = len(text)
+        for at in reversed(places):
+            if m := begins.match(text, at):
+                content = (m.group() + text[m.end() : max(m.end(), end)]).strip()
+                if len(content) >= least:
+                    found.append((section, at, m.group(), content, toc_score(text, at, m.group())))
+            if stops.match(text, at):
+                end = at
+    return sorted(found)
+
+
+def section_candidates(docs: DataFrame, id_col: str, text_col: str, form: str, least: int = 50) -> DataFrame:
+    """Rows (id, section_key, position, heading, content, length, toc) of all sections of a form, from one scan. A null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
+                rows = [(k, *c, len(c[3])) for k, x in enumerate(part.column(1)) for c in find_sections(x.as_py() or "", form, least)]
+                who, section, position, heading, content, toc, length = zip(*rows) if rows else [()] * 7
+                cols = [part.column(0).take(pa.array(who, pa.int64())), pa.array(section, pa.string()), pa.array(position, pa.int32()), pa.array(heading, pa.string()), pa.array(content, pa.string()), pa.array(length, pa.int32()), pa.array(toc, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "section_key", "position", "heading", "content", "length", "toc"])
+
+    source = docs.select(id_col, text_col)
+    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, section_key string, position int, heading string, content string, length int, toc int")
 
 
 def best_candidate(cands: DataFrame) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from meridian.sources.workspace import scratch
+
 POSITIVE = frozenset("gain growth improve strong good great best win the and".split())
 NEGATIVE = frozenset("loss decline weak bad worst risk fail of to".split())
 
@@ -61,14 +67,155 @@ def score_texts(rows: DataFrame, key: str, text: str, scorer: Callable[[], objec
     return rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {SCORED}")
 
 
-def embed_texts(rows: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """Unit vectors of hashed words; another embedder can be put in its place."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+class HashedWords:
+    """The embedder that is shipped: unit vectors of word counts, a word's slot from its MD5 hash."""
+
+    def __init__(self, size: int = 64):
+        self.size, self.slot = size, lru_cache(1 << 16)(self._slot)
+
+    def _slot(self, word: str) -> int:
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.size
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.size))
+        for k, t in enumerate(texts):
+            for w in t.lower().split():
+                out[k, self.slot(w)] += 1
+        return out
+
+    def embed_many(self, texts: list[str]) -> np.ndarray:
+        return unit_rows(self.counts(texts))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(size > 0, size, 1.0)
+
+
+def embed_texts(rows: DataFrame, key: str, text: str, embedder: Callable[[], object] = HashedWords) -> DataFrame:
+    """Rows (key, embedding, status) by batch, one by one where a batch fails; a row that fails has no vector and harms no other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = embedder()  # once per task
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                texts = part.column(1).to_pylist()
+                try:
+                    found = list(model.embed_many(texts))
+                except Exception:
+                    found = []
+                    for t in texts:
+                        try:
+                            found.append(model.embed_many([t])[0])
+                        except Exception:
+                            found.append(None)
+                status = ["FAILED" if v is None else "EMBEDDED" for v in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float64())), pa.array(status)], names=[key, "embedding", "status"])
+
+    source = rows.select(key, text)
+    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, embedding array<double>, status string")
+
+
+# fitted models
 
-    words = rows.select(key, F.split(F.lower(text), r"\s+").alias("_words"))
-    counted = HashingTF(numFeatures=size, inputCol="_words", outputCol="_counts").transform(words)
-    return Normalizer(inputCol="_counts", outputCol="_unit").transform(counted).select(key, vector_to_array("_unit").alias("embedding"))
+
+class ModelFile:
+    """Arrays of a fitted model as a file that Spark hands to every worker, read once there."""
+
+    def __init__(self, spark: SparkSession, name: str, arrays: dict[str, np.ndarray]):
+        path = scratch(spark, name)
+        rows = [(k, list(np.shape(v)), np.asarray(v, float).tobytes()) for k, v in arrays.items()]
+        spark.createDataFrame(rows, "name string, shape array<bigint>, data binary").coalesce(1).write.parquet(path)
+        spark.sparkContext.addFile(path, recursive=True)
+        self.name = path.rsplit("/", 1)[-1]
+
+    def read(self) -> dict[str, np.ndarray]:
+        return read_model(self.name)
+
+
+@lru_cache(8)
+def read_model(name: str) -> dict[str, np.ndarray]:
+    import pyarrow.parquet as pq
+    from pyspark import SparkFiles
+
+    rows = pq.read_table(SparkFiles.get(name)).to_pylist()
+    return {r["name"]: np.frombuffer(r["data"]).reshape(r["shape"]) for r in rows}
+
+
+LABELS = ("negative", "neutral", "positive")
+
+
+class LinearScorer:
+    """Multinomial logistic regression on hashed words; scores segments like the lexicon, weighted by their size."""
+
+    def __init__(self, model: ModelFile, size: int = 256):
+        found = model.read()
+        self.weights, self.shift, self.size = found["weights"], found["shift"], size
+        self.words = HashedWords(self.weights.shape[1])
+
+    def score_many(self, texts: list[str]) -> list[tuple]:
+        out = []
+        for text in texts:
+            words = text.split()
+            segments = [" ".join(words[i : i + self.size]) for i in range(0, len(words), self.size)] or [""]
+            z = self.words.embed_many(segments) @ self.weights.T + self.shift
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p = np.average(p, axis=0, weights=[max(1, len(s.split())) for s in segments])
+            best = int(p.argmax())
+            out.append((LABELS[best], round(float(p[2] - p[0]), 8), round(float(p[best]), 8), len(words), len(segments)))
+        return out
+
+
+def fit_linear_scorer(rows: DataFrame, text: str, label: str, size: int = 512, penalty: float = 1e-3) -> ModelFile:
+    """A model for `LinearScorer` from texts with labels (of LABELS); others and null texts are left out."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    known = rows.where(F.col(label).isin(*LABELS) & F.col(text).isNotNull()).select(F.array_position(F.array(*map(F.lit, LABELS)), F.col(label)).alias("_k"), F.col(text).alias("_text"))
+    words = embed_texts(known, "_k", "_text", lambda: HashedWords(size))
+    x = words.select((F.col("_k") - 1).cast("double").alias("label"), array_to_vector("embedding").alias("features"))
+    fitted = LogisticRegression(family="multinomial", regParam=penalty, standardization=False).fit(x)
+    weights, shift = np.zeros((len(LABELS), size)), np.full(len(LABELS), -50.0)  # labels that never come
+    n = fitted.coefficientMatrix.numRows
+    weights[:n], shift[:n] = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    return ModelFile(rows.sparkSession, "linear-scorer", {"weights": weights, "shift": shift})
+
+
+class LsaEmbedder:
+    """Hashed words projected on the directions in which a corpus varies most."""
+
+    def __init__(self, model: ModelFile):
+        self.projection = model.read()["projection"]
+        self.words = HashedWords(self.projection.shape[0])
+
+    def embed_many(self, texts: list[str]) -> np.ndarray:
+        return unit_rows(self.words.embed_many(texts) @ self.projection)
+
+
+def fit_lsa_embedder(rows: DataFrame, text: str, size: int = 512, dims: int = 64) -> ModelFile:
+    """A model for `LsaEmbedder`: the leading eigenvectors of the second moments of hashed words; tasks add up their own moments."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = HashedWords(size), np.zeros((size, size))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                x = words.embed_many([t or "" for t in batch.column(0).slice(start, 1000).to_pylist()])
+                total += x.T @ x
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(total[some, k]) for k in range(size))], names=["i", *(f"c{k}" for k in range(size))])
+
+    form = ", ".join(["i bigint", *(f"c{k} double" for k in range(size))])
+    added = rows.select(text).mapInArrow(moments, form).groupBy("i").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(size)))
+    total = np.zeros((size, size))
+    for i, *values in added.collect():  # at most `size` rows
+        total[i] = values
+    _, vectors = np.linalg.eigh(total)
+    projection = vectors[:, ::-1][:, :dims]
+    signs = np.sign(projection[np.abs(projection).argmax(axis=0), np.arange(projection.shape[1])])
+    return ModelFile(rows.sparkSession, "lsa", {"projection": projection * np.where(signs == 0, 1, signs)})
 
 
 @udtf(returnType="chunk_index: int, tokens: int, content: string")

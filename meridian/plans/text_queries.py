@@ -16,7 +16,7 @@ from meridian.plans.aggregate_queries import WT, filing_rows, service, summary_s
 from meridian.plans.market_queries import latest_two
 from meridian.plans.registry import oracle_view, query
 from meridian.plans.source_queries import routed_sql
-from meridian.sources.workspace import scratch, written
+from meridian.sources.workspace import few, scratch, written
 from meridian.streaming import jobs
 
 ONE = lambda: F.count(F.lit(1))
@@ -75,8 +75,8 @@ oracle_view(
 
 
 def candidates(t) -> DataFrame:
-    found = reduce(DataFrame.unionByName, [html.section_candidates(filings_with_headings(t, form), "body", k, form) for form in html.SECTIONS for k in html.SECTIONS[form]])
-    return found.withColumn("toc", html.toc_score(F.col("body"), F.col("position"), F.col("heading")))
+    """All candidates of both forms: a scan a form."""
+    return reduce(DataFrame.unionByName, [html.section_candidates(filings_with_headings(t, form), "doc_id", "body", form) for form in html.SECTIONS])
 
 
 @query("F2", "SELECT doc_id, section_key, CAST(position AS INT) AS position, CAST(n AS INT) AS length FROM section_candidates")
@@ -296,12 +296,19 @@ def j15(t):
     return index.join(rows, "chunk_id", "full_outer").select("chunk_id", state.alias("state"))
 
 
-#: Aliases made by hand, beside ticker and name of every company.
-HAND_ALIASES = [("Brand#1", "the"), ("Brand#2", "der"), ("Brand#3", "with"), ("Brand#4", "que"), ("Brand#5", "to be")]
-#: Questions name a company by its ticker, or by its name, or not at all.
+#: Aliases made by hand, beside ticker and name of every company: what people call it.
+HAND_ALIASES = [("Brand#11", "acme"), ("Brand#12", "ørsted"), ("Brand#13", "électricité de l'est"), ("Brand#21", "big blue"), ("Brand#22", "müller & söhne"), ("Brand#31", "3m"), ("Brand#32", "the house of brand")]
+#: Questions name a company by its ticker, its name or a hand-made alias, or not at all.
 oracle_view("named_companies", "SELECT ticker, lower(ticker) || ' ' || lower(sector) AS name, row_number() OVER (ORDER BY ticker) - 1 AS i, count(*) OVER () AS n FROM companies")
-oracle_view("questions", "SELECT t.turn_id, CASE turn_id % 3 WHEN 0 THEN content || ' And ' || upper(c.name) || '?' WHEN 1 THEN content || ' And ' || c.ticker || '?' ELSE content END AS content FROM turns t JOIN named_companies c ON c.i = t.turn_id % c.n WHERE t.speaker_role = 'analyst'")
-oracle_view("aliases", f"SELECT alias, max(ticker) AS ticker FROM (SELECT ticker, lower(ticker) AS alias FROM companies UNION ALL SELECT ticker, name FROM named_companies UNION ALL SELECT c.ticker, h.alias FROM companies c JOIN (VALUES {', '.join(map(str, HAND_ALIASES))}) h(ticker, alias) ON h.ticker = c.ticker) GROUP BY alias")
+HAND_SQL = ", ".join("('{}', '{}')".format(t, a.replace("'", "''")) for t, a in HAND_ALIASES)
+oracle_view(
+    "questions",
+    f"""SELECT t.turn_id, CASE turn_id % 4 WHEN 0 THEN content || ' And ' || upper(c.name) || '?' WHEN 1 THEN content || ' And ' || c.ticker || '?' WHEN 2 THEN content || ' And ' || upper(h.alias) || '?' ELSE content END AS content
+  FROM turns t JOIN named_companies c ON c.i = t.turn_id % c.n JOIN (SELECT alias, row_number() OVER (ORDER BY ticker) - 1 AS k FROM (VALUES {HAND_SQL}) v(ticker, alias)) h ON h.k = t.turn_id % {len(HAND_ALIASES)} WHERE t.speaker_role = 'analyst'""",
+)
+oracle_view("aliases", f"SELECT alias, max(ticker) AS ticker FROM (SELECT ticker, lower(ticker) AS alias FROM companies UNION ALL SELECT ticker, name FROM named_companies UNION ALL SELECT c.ticker, h.alias FROM companies c JOIN (VALUES {HAND_SQL}) h(ticker, alias) ON h.ticker = c.ticker) GROUP BY alias")
+
+
 def mentions_sql(key: str, source: str) -> str:
     """Mentions in the questions of a source."""
     return rf"""SELECT {key}, ticker, min(pos) AS pos FROM (SELECT {key}, ticker, length(regexp_extract(' ' || lower(content), '(?s)^(.*?)[^\p{{L}}\p{{N}}_]' || regexp_escape(alias) || '(?:[^\p{{L}}\p{{N}}_]|$)', 1)) AS pos
@@ -313,9 +320,10 @@ oracle_view("mentions", mentions_sql("turn_id", "questions"))
 
 def questions(t) -> DataFrame:
     names = named_companies(t).withColumns({"i": F.row_number().over(Window.orderBy("ticker")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})  # a row per company
-    name, one = F.upper("name"), F.col("turn_id") % 3
+    name, one = F.upper("name"), F.col("turn_id") % 4
+    hand = F.upper(F.element_at(F.array(*(F.lit(a) for _, a in sorted(HAND_ALIASES))), (F.col("turn_id") % len(HAND_ALIASES) + 1).cast("int")))
     asked = t.turns.where("speaker_role = 'analyst'").join(F.broadcast(names.drop("alias")), F.expr("turn_id % n = i"))
-    return asked.select("turn_id", F.when(one == 0, F.concat("content", F.lit(" And "), name, F.lit("?"))).when(one == 1, F.concat("content", F.lit(" And "), names["ticker"], F.lit("?"))).otherwise(F.col("content")).alias("content"))
+    return asked.select("turn_id", F.when(one == 0, F.concat("content", F.lit(" And "), name, F.lit("?"))).when(one == 1, F.concat("content", F.lit(" And "), names["ticker"], F.lit("?"))).when(one == 2, F.concat("content", F.lit(" And "), hand, F.lit("?"))).otherwise(F.col("content")).alias("content"))
 
 
 def named_companies(t) -> DataFrame:
@@ -334,15 +342,16 @@ def mentions(asked: DataFrame, aliases: DataFrame) -> DataFrame:
     """Tickers that a question names by an alias at word borders, with the first position (from 0).
 
     A text is split at word borders; every phrase of as many pieces as the longest alias has meets the
-    dictionary on equality, so the cost does not grow with the dictionary.
+    dictionary on equality, so the cost does not grow with the dictionary. An alias begins with a letter, digit or _.
     """
+    aliases = written(aliases, "aliases")
     word, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
     pieces = lambda c: F.filter(F.split(c, f"(?<={word})(?={other})|(?<={other})(?={word})"), lambda p: p != "")
     longest = F.broadcast(aliases.agg(F.coalesce(F.max(F.size(pieces("alias"))), F.lit(1)).alias("most")))
     x = asked.join(longest, F.lit(True)).select("turn_id", "most", pieces(F.lower("content")).alias("p"))
-    x = x.select("turn_id", "most", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1)))).alias("k")).where("k <= size(p) AND p[k - 1] RLIKE '^[a-z0-9_]'")
+    x = x.select("turn_id", "most", "p", F.explode(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1)))).alias("k")).where(F.try_element_at("p", F.col("k")).rlike(f"^{word}"))
     x = x.select("turn_id", "p", "k", F.explode(F.expr("sequence(1, most, 2)")).alias("m")).where("k + m - 1 <= size(p)")
-    x = x.withColumn("alias", F.array_join(F.slice("p", F.col("k"), F.col("m")), "")).join(F.broadcast(aliases), "alias")
+    x = x.withColumn("alias", F.array_join(F.slice("p", F.col("k"), F.col("m")), "")).join(few(aliases), "alias")
     pos = F.length(F.array_join(F.slice("p", F.lit(1), F.col("k") - 1), ""))
     return x.groupBy("turn_id", "ticker").agg(F.min(pos).alias("pos"))
 
@@ -767,9 +776,15 @@ def d1(t):
     return udfs.score_texts(t.turns, "turn_id", "content")
 
 
-@query("D2")
+@query(
+    "D2",
+    f"""WITH w AS (SELECT doc_id, unnest({WORDS.format('lower(text)')}) AS w FROM documents), s AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS k, count(*) AS n FROM w GROUP BY ALL),
+  u AS (SELECT doc_id, k, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM s) SELECT d.doc_id, CAST(k AS INT) AS slot, {r('x')} AS value, 'EMBEDDED' AS status FROM documents d JOIN u USING (doc_id)""",
+)
 def d2(t):
-    return udfs.embed_texts(t.documents, "doc_id", "text")
+    """Vectors as rows of their slots that are not 0."""
+    x = udfs.embed_texts(t.documents, "doc_id", "text").select("doc_id", "status", F.posexplode("embedding").alias("slot", "value"))
+    return x.where("value <> 0").select("doc_id", "slot", rounded("value").alias("value"), "status")
 
 
 @query(
