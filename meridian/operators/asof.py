@@ -15,17 +15,20 @@ def number_sessions(prices: DataFrame) -> DataFrame:
 def last_index(points: DataFrame, sessions: DataFrame, date: str, inclusive: bool = True) -> DataFrame:
     """`points` with `idx`: the number of the ticker's last session on (or strictly before) their date.
 
-    Points and sessions are merged into one sorted stream per ticker and the session number is
-    carried forward; at equal dates sessions stand first if the bound is inclusive. 0: no session.
+    Distinct dates and sessions are merged into one sorted stream per ticker and the session number is
+    carried forward; at equal dates sessions stand first if the bound is inclusive. 0: no session, or no date.
+    The stream has a row a day and ticker however many points a ticker has; points meet their
+    date's number by an equi-join, in which a hot ticker spreads over its dates.
     """
     side = F.lit(1 if inclusive else -1)
-    merged = sessions.select("ticker", F.col("trading_date").alias("_d"), F.lit(0).alias("_side"), F.col("idx").alias("_idx"))
-    rows = points.withColumns({"_d": F.col(date), "_side": side, "_point": F.struct(*[F.col(c) for c in points.columns])})
-    rows = rows.select("ticker", "_d", "_side", F.lit(None).cast("int").alias("_idx"), "_point")
-    both = merged.withColumn("_point", F.lit(None).cast(rows.schema["_point"].dataType)).unionByName(rows)
+    dates = points.select("ticker", F.col(date).alias("_d")).distinct()
+    marks = dates.select("ticker", "_d", side.alias("_side"), F.lit(None).cast("int").alias("_idx"))
+    both = sessions.select("ticker", F.col("trading_date").alias("_d"), F.lit(0).alias("_side"), F.col("idx").alias("_idx")).unionByName(marks)
     order = Window.partitionBy("ticker").orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("idx", F.coalesce(F.last("_idx", ignorenulls=True).over(order), F.lit(0)))
-    return carried.where("_point IS NOT NULL").select("_point.*", "idx")
+    carried = both.withColumn("idx", F.coalesce(F.last("_idx", ignorenulls=True).over(order), F.lit(0))).where("_side <> 0")
+    found = carried.select(F.col("ticker").alias("_ticker"), "_d", "idx")
+    same = points["ticker"].eqNullSafe(found["_ticker"]) & points[date].eqNullSafe(found["_d"])
+    return points.join(found, same, "left").drop("_ticker", "_d")
 
 
 def forward_anchor(events: DataFrame, sessions: DataFrame, max_gap: int = 7) -> DataFrame:
