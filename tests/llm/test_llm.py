@@ -494,3 +494,50 @@ def test_split_passages_and_loads_give_the_same(docs, monkeypatch, size):
     monkeypatch.setattr(sd, "SHARD_WORDS", size)
     monkeypatch.setattr(sd, "LOAD_WORDS", 2 * size)
     assert rows_of(remove_repeats(docs)) == whole
+
+
+def rules_by_hand(rows, least, sure):
+    """Rules {tokens: confidence} from all token sets of rows (tokens, bad), by definition."""
+    from itertools import combinations
+
+    tokens = sorted({t for items, _ in rows for t in items})
+    conf = {}
+    for k in range(1, len(tokens) + 1):
+        for some in combinations(tokens, k):
+            hit = [bad for items, bad in rows if set(some) <= set(items)]
+            if sum(hit) >= least:
+                conf[some] = sum(hit) / len(hit)
+    return {x: c for x, c in conf.items() if c >= sure and not any(set(y) < set(x) and d >= c for y, d in conf.items())}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_by_brute_force(spark, seed):
+    from meridian.llm.url_filters import BAD, mine_rules, token_classes
+
+    rng, rows = random.Random(seed), []
+    for _ in range(80):
+        some = {t for t in "abcde" if rng.random() < 0.5}
+        some |= {"twin", "twin2"} if "a" in some and rng.random() < 0.9 else set()
+        rows.append((sorted(some), int(rng.random() < (0.9 if {"a", "c"} <= some else 0.3))))
+    data = [(k, [*items, BAD] if bad else items) for k, (items, bad) in enumerate(rows)]
+    frame = spark.createDataFrame(data, "row bigint, items array<string>")
+    classes = {r.token: r.cls for r in token_classes(frame, 4).collect()}
+    assert classes["twin2"] == classes["twin"] == "twin"
+    classed = spark.createDataFrame([(sorted({classes.get(t, t) for t in items if t == BAD or t in classes}),) for _, items in data], "items array<string>")
+    got = {tuple(r.antecedent): r.confidence for r in mine_rules(classed, 4 / len(rows), 0.6).collect()}
+    spread = {}
+    for x, c in got.items():  # a rule stands for one token of each class
+        members = [[t for t, cls in classes.items() if cls == k] for k in x]
+        spread |= {tuple(sorted(y)): c for y in __import__("itertools").product(*members)}
+    want = rules_by_hand(rows, 4, 0.6)
+    assert spread == pytest.approx(want) and len(want) > 1
+
+
+def test_urls_of_thirty_tokens_that_occur_together(spark):
+    path = "/".join(f"w{chr(97 + k)}x" for k in range(26))
+    urls = [(k, f"https://a.b.site.org/{path}/{k}", k % 8 != 0) for k in range(40)] + [(100 + k, f"https://good.com/{k}", False) for k in range(60)]
+    labelled = spark.createDataFrame([(u, b) for _, u, b in urls], "url string, bad boolean")
+    pages = spark.createDataFrame([(k, u) for k, u, _ in urls] + [(200, "https://x.net/wcx/5"), (201, "https://x.net/other")], "page_id bigint, url string")
+    got = {r.page_id: r for r in judge_urls(pages, labelled, [], min_count=20).collect()}
+    assert all(got[k].verdict == "block" for k in range(40)) and all(got[100 + k].verdict == "allow" for k in range(60))
+    assert got[200].verdict == "block" and got[200].mined == "path:wcx" and got[200].confidence == pytest.approx(35 / 40) and got[201].verdict == "allow"
