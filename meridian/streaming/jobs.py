@@ -28,13 +28,15 @@ def read_files(spark: SparkSession, path: str, schema, per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def run_available(stream: DataFrame, each_batch, progress: str, mode: str = "append") -> None:
-    """Process all input that `progress` does not know yet, batch by batch.
+def run_available(stream: DataFrame, each_batch, progress: str, mode: str = "append"):
+    """Process all input that `progress` does not know yet, batch by batch; returns the ended query.
 
     A batch that was cut off is run again with the same rows and number before any new one.
     """
     out = stream.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", progress)
-    out.trigger(availableNow=True).start().awaitTermination()
+    query = out.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def write_batch(rows: DataFrame, table: str, n: int) -> None:
@@ -65,22 +67,36 @@ def refresh_bars(spark: SparkSession, landed: str, schema, place: Place, per_tri
     return spark.createDataFrame([], schema) if found is None else found
 
 
+ALERT = "event_type string, source_record_id string, created_at timestamp, event_id bigint, ticker string"
+
+
 def new_alerts(spark: SparkSession, records: DataFrame, watched: DataFrame, place: Place) -> DataFrame:
-    """One alert per (type, source record) of watched tickers from a stream of records; known ones are left out.
+    """One alert per (type, source record) of watched tickers from a stream of records, for ever; known ones are left out.
 
     The table of alerts is what the job remembers: records are compared with it by a join on their
     key, also after a restart.
     """
-    kind = "event_type string, source_record_id string, created_at timestamp, event_id bigint, ticker string"
     kept = records.join(few(written(watched.distinct(), "watched")), "ticker", "left_semi")
 
     def insert(batch: DataFrame, n: int) -> None:
         fresh = batch.groupBy("event_type", "source_record_id").agg(F.min(F.struct("created_at", "event_id", "ticker")).alias("x")).select("event_type", "source_record_id", "x.*")
-        known = rows_of_table(spark, place, kind).where(F.col("batch") < n)
+        known = rows_of_table(spark, place, ALERT).where(F.col("batch") < n)
         write_batch(fresh.join(known, ["event_type", "source_record_id"], "left_anti"), place.table, n)
 
     run_available(kept, insert, place.progress)
-    return rows_of_table(spark, place, kind).drop("batch")
+    return rows_of_table(spark, place, ALERT).drop("batch")
+
+
+def alerts_within(spark: SparkSession, records: DataFrame, watched: DataFrame, place: Place, days: int) -> DataFrame:
+    """As `new_alerts`, but what is remembered is bounded: a record alerts once more when over twice `days` have passed, and not within `days`.
+
+    The keys of that span are kept as state; nothing is joined with the table. Records that come later than
+    that behind the newest one are left out.
+    """
+    kept = records.join(few(written(watched.distinct(), "watched")), "ticker", "left_semi").withWatermark("created_at", f"{days} days")
+    once = kept.dropDuplicatesWithinWatermark(["event_type", "source_record_id"]).select("event_type", "source_record_id", "created_at", "event_id", "ticker")
+    run_available(once, lambda batch, n: write_batch(batch, place.table, n), place.progress)
+    return rows_of_table(spark, place, ALERT).drop("batch")
 
 
 def score_backlog(spark: SparkSession, items: DataFrame, done: DataFrame, key: str, text: str, place: Place) -> DataFrame:

@@ -67,6 +67,21 @@ def test_alerts_once_each_over_a_failure_and_a_second_call(spark, monkeypatch):
     assert run() == sorted([f"r{k}" for k in range(1, 7)] + ["r50"])
 
 
+def test_bounded_memory_of_alerts(spark, monkeypatch):
+    """Each day brings five new records and repeats of the day before and of thirty days ago; a week is remembered, two at most."""
+    landed, place, kind = scratch(spark, "records"), jobs.Place.fresh(spark, "alerts"), "event_id bigint, created_at timestamp, ticker string, event_type string, source_record_id string"
+    day, kept, run = dt.datetime(2024, 1, 1), [], jobs.run_available
+    monkeypatch.setattr(jobs, "run_available", lambda *a, **kw: kept.append(run(*a, **kw)))
+    watched = spark.createDataFrame([("T1",)], "ticker string")
+    records = lambda d, at: [(100 * at + i, day + dt.timedelta(days=at), "T1" if i < 5 else "T9", "filing", f"r{d}-{i}") for i in range(6)]
+    for k in range(40):
+        land(spark, landed, [*records(k, k), *(records(k - 1, k) if k else []), *(records(k - 30, k) if k >= 30 else [])], kind)
+    got = jobs.alerts_within(spark, jobs.read_files(spark, landed, kind, 3), watched, place, 7).collect()
+    assert len(got) == 5 * 40 + 5 * 10 and {r.ticker for r in got} == {"T1"}
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in kept[0].recentProgress if p["stateOperators"]]
+    assert max(state) <= 5 * (7 + 7 + 4 * 3)  # a batch has three days and the clock is a batch late; the table has 250
+
+
 def test_backlog_scores_each_item_once(spark, monkeypatch):
     landed, place, kind = scratch(spark, "turns"), jobs.Place.fresh(spark, "scores"), "turn_id bigint, content string"
     for k in range(3):
