@@ -15,7 +15,6 @@ def pack_turns(turns: DataFrame, limit: int = 700) -> DataFrame:
     said = F.concat("speaker_role", F.lit(": "), "content")
     ordered = turns.select("transcript_id", "turn_index", "speaker_role", said.alias("text"), F.size(F.filter(F.split(said, r"\s+"), lambda w: w != "")).alias("n"))
     grouped = ordered.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "speaker_role", "text", "n"))).alias("turns"))
-    grouped.createOrReplaceTempView("_turns_to_pack")
     chunk = "named_struct('texts', CAST(array() AS array<string>), 'who', CAST(array() AS array<string>), 'n', 0)"
     pieces = f"transform(sequence(0, CAST(floor((t.n - 1) / {limit}) AS INT)), k -> named_struct('texts', array(array_join(slice(filter(split(t.text, '\\\\s+'), w -> w <> ''), k * {limit} + 1, {limit}), ' ')), 'who', array(t.speaker_role), 'n', least({limit}, t.n - k * {limit})))"
     flushed = "IF(a.open.n > 0, concat(a.done, array(a.open)), a.done)"
@@ -24,7 +23,7 @@ def pack_turns(turns: DataFrame, limit: int = 700) -> DataFrame:
         WHEN a.open.n > 0 AND a.open.n + t.n > {limit} THEN named_struct('done', {flushed}, 'open', named_struct('texts', array(t.text), 'who', array(t.speaker_role), 'n', t.n))
         ELSE named_struct('done', a.done, 'open', named_struct('texts', concat(a.open.texts, array(t.text)), 'who', concat(a.open.who, array(t.speaker_role)), 'n', a.open.n + t.n)) END,
       a -> {flushed})"""
-    out = turns.sparkSession.sql(f"SELECT transcript_id, posexplode({fold}) AS (chunk_index, c) FROM _turns_to_pack")
+    out = grouped.selectExpr("transcript_id", f"posexplode({fold}) AS (chunk_index, c)")
     content = F.array_join("c.texts", "\n\n")
     return out.select("transcript_id", "chunk_index", F.size(F.filter(F.split(content, r"\s+"), lambda w: w != "")).alias("tokens"), F.array_join(F.array_sort(F.array_distinct("c.who")), ",").alias("speakers"), content.alias("content"))
 

@@ -793,6 +793,5 @@ def d2(t):
   FROM (SELECT doc_id, text, w, unnest(range(1 + CAST(greatest(0, ceil((len(w) - 700) / 600.0)) AS INT))) AS i FROM (SELECT doc_id, text, {WORDS.format('text')} AS w FROM documents))""",
 )
 def d3(t):
-    t.spark.udtf.register("split_tokens", udfs.SplitTokens)
-    t.documents.createOrReplaceTempView("documents")
-    return t.spark.sql("SELECT d.doc_id, s.chunk_index, s.tokens, md5(s.content) AS digest FROM documents d, LATERAL split_tokens(d.text, 700, 600) s")
+    pieces = udfs.SplitTokens(F.col("text").outer(), F.lit(700), F.lit(600))
+    return t.documents.lateralJoin(pieces).select("doc_id", "chunk_index", "tokens", F.md5("content").alias("digest"))
