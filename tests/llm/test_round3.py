@@ -248,3 +248,59 @@ def test_facts_of_any_kind(spark):
     facts = spark.createDataFrame([("p", 1, 2, 1, 0), ("p", 1, 3, None, 0), (None, 0, 4, 0, 0), ("", None, 1, 0, 0)], "part string, mask int, n bigint, good bigint, toxic bigint")
     got = {(r.part, r.filter_order, r.step): r for r in fa.audit_orders(facts, "AB").collect()}
     assert len(got) == 8 and got["p", "AB", 1].removed == 5 and got["p", "AB", 1].good_lost == 1 and got["", "BA", 2].kept == 5 and got["p", "BA", 2].shapley == 10
+
+
+# 2 and 3
+
+
+def test_likelihood_ratios_by_brute_force(spark):
+    """Counts of byte 4-grams by plain loops; every text's mean log ratio and verdict."""
+    from meridian.llm.quality_rules import quality_rules
+
+    rng = random.Random(3)
+    make = lambda letters, n: " ".join("".join(rng.choices(letters, k=4)) for _ in range(n))
+    rows = [(k, make("abcdé", 40) if k % 3 else make("wxyzß", 40)) for k in range(60)] + [(90, None), (91, ""), (92, "abc"), (93, make("abcdé", 3000)), (5, rows5 := make("abcdé", 25)), (6, rows5)]
+    trusted = [(k,) for k in range(60) if k % 3] + [(5,), (93,), (None,), (777,)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, bucket string, raw int").repartition(3)
+    got = quality_rules(docs, spark.createDataFrame(trusted, "doc_id bigint")).collect()
+
+    def grams(text):
+        raw = b"\n" + text.encode() + b"\n" if text else b""
+        return [(int.from_bytes(raw[k : k + 4], "little") * 0x9E3779B97F4A7C15 % (1 << 64)) >> 49 for k in range(len(raw) - 3)]
+
+    good, size = {i for (i,) in trusted}, 1 << 15
+    every, target = Counter(g for _, t in rows for g in grams(t)), Counter(g for i, t in rows if i in good for g in grams(t))
+    log = lambda c, g: math.log((c[g] + 1) / (sum(c.values()) + size))
+    ratio = {g: log(target, g) - log(every, g) for g in every}
+    want = sorted((i, round(sum(map(ratio.get, g)) / len(g) if (g := grams(t)) else 0.0, 9)) for i, t in rows)
+    assert sorted((r.doc_id, round(r.llr, 9)) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.llr >= -0.2) for r in got) and 0 < sum(r.kept for r in got) < len(got)
+
+
+def test_toxicity_in_four_languages(spark):
+    """Toxic words have a stem of their own and any ending; ordinary words are made of the same syllables."""
+    from meridian.llm.toxicity import score_toxicity
+
+    rng = random.Random(4)
+    tongues = {"en": ("th er ing an or st", "idiot"), "fr": ("é eau ment è qui ré", "réeuxê"), "de": ("sch keit ü ver ß ung", "achßlich"), "es": ("ción ñ mente ó que as", "ñbomente")}
+    rows, toxic = [], {}
+    for k in range(1600):
+        syllables, stem = tongues[("en", "fr", "de", "es")[k % 4 if k % 8 < 5 else 0]]
+        word = lambda n: "".join(rng.choices(syllables.split(), k=n))  # noqa: E731, B023
+        text = [word(rng.randint(1, 4)) for _ in range(rng.randint(20, 80))]
+        toxic[k] = int(rng.random() < 0.15)
+        for _ in range(3 * toxic[k]):
+            text.insert(rng.randrange(len(text)), stem + rng.choice(["", *syllables.split()]))
+        rows.append((k, " ".join(text).upper() if k % 11 == 0 else " ".join(text), tongues_of(stem)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, t) for k, t in toxic.items() if k % 3 != 1 and k // 8 % 2 == 0], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs, labels).collect()}
+    held = [(lang, toxic[k], got[k]) for k, _, lang in rows if k % 3 == 1]
+    for lang in tongues:
+        found = [p for x, t, p in held if x == lang and t]
+        assert sum(found) >= 0.9 * len(found) > 0
+    assert sum(p for _, t, p in held if not t) <= 0.02 * sum(not t for _, t, _ in held)
+
+
+def tongues_of(stem):
+    return {"idiot": "en", "réeuxê": "fr", "achßlich": "de", "ñbomente": "es"}[stem]
