@@ -690,10 +690,13 @@ def x3(t):
 def x4(t):
     """Forecasts and outcomes land year by year; a forecast without an outcome expires 60 days on, by a timer."""
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
-    made = t.predictions.select("event_key", F.lit("forecast").alias("kind"), day("feature_as_of_date").alias("at"), (day("feature_as_of_date") + 60).alias("deadline"), F.col("prediction").alias("value"))
-    late = made.withColumns({"at": F.col("at") + 1, "value": F.lit(9.0)})  # a second forecast changes nothing
-    done = t.predictions.where("actual IS NOT NULL").select("event_key", F.lit("outcome").alias("kind"), day("target_trading_date").alias("at"), F.lit(None).cast("long").alias("deadline"), F.col("actual").alias("value"))
-    every, landed = written(made.unionByName(late).unionByName(done), "ledger-rows"), scratch(t.spark, "ledger-events")
+    made, none = day("feature_as_of_date"), F.lit(None)
+    event = lambda kind, at, deadline, value: F.struct(F.lit(kind).alias("kind"), at.alias("at"), deadline.cast("long").alias("deadline"), value.cast("double").alias("value"))
+    again = event("forecast", made + 1, made + 60, F.lit(9.0))  # a second forecast changes nothing
+    kinds = F.array(event("forecast", made, made + 60, F.col("prediction")), again, event("outcome", day("target_trading_date"), none, F.col("actual")))
+    # one pass: of a union of three readings adaptive execution lost all outcomes where it reused their exchanges
+    rows = t.predictions.select("event_key", F.explode(kinds).alias("x")).select("event_key", "x.*").where("kind = 'forecast' OR value IS NOT NULL")
+    every, landed = written(rows, "ledger-rows"), scratch(t.spark, "ledger-events")
     first, last = every.agg(F.min(F.floor(F.col("at") / 366)), F.max(F.floor(F.col("at") / 366))).first()
     for year in range(first, last + 1) if first is not None else []:
         every.where(F.floor(F.col("at") / 366) == year).write.mode("append").parquet(landed)

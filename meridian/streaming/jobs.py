@@ -116,9 +116,9 @@ def ledger_stream(spark: SparkSession, events: DataFrame, place: Place, lateness
     A forecast is PENDING until an outcome comes: MATURED, INVALID where the outcome is not later than
     the forecast, EXPIRED where it is later than the deadline. Without any outcome a timer makes
     it EXPIRED when event time passes the deadline, that is, when an event of any key has come that is
-    more than `lateness_days` later. What is not PENDING does not change again. Events that
-    come later than that behind the newest are left out. Only the first forecast of a key counts, and no
-    outcome before it.
+    more than `lateness_days` later. Of a key the first forecast counts and the first outcome that is not
+    before it, by their days and not as they come: events within the lateness may come in any order, and outcomes wait
+    for a forecast that long. Events that come later than that behind the newest are left out.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -126,28 +126,41 @@ def ledger_stream(spark: SparkSession, events: DataFrame, place: Place, lateness
     day = 86_400_000
 
     def step(key, frames, state: GroupState):
-        forecast, at, deadline, status, realized = state.get if state.exists else (None, None, None, "NEW", None)
+        forecast, at, deadline, status, realized, whens, values = state.get if state.exists else (None, None, None, "NEW", None, [], [])
+        clock, outcomes = state.getCurrentWatermarkMs(), list(zip(whens, values))
         if state.hasTimedOut:
+            if status == "NEW":  # no forecast before these outcomes can come any more
+                state.remove()
+                return
             status = "EXPIRED"
         else:
-            rows = pd.concat(list(frames)).sort_values(["at", "kind"])
+            rows = pd.concat(list(frames)).sort_values(["at", "kind", "value"])
             for kind, when, limit, value in rows[["kind", "at", "deadline", "value"]].itertuples(index=False):
-                when = int(when)
-                if kind == "forecast" and status == "NEW":
-                    forecast, at, deadline, status = float(value), when, int(limit), "PENDING"
-                elif kind == "outcome" and status == "PENDING":
-                    status = "INVALID" if when <= at else "MATURED" if when <= deadline else "EXPIRED"
-                    realized = float(value) if status == "MATURED" else None
-            if status == "PENDING" and deadline * day < state.getCurrentWatermarkMs():
-                status = "EXPIRED"
-        state.update((forecast, at, deadline, status, realized))
-        if status == "PENDING":
-            state.setTimeoutTimestamp(max(deadline * day, state.getCurrentWatermarkMs() + 1))
+                if kind == "outcome":
+                    outcomes.append((int(when), float(value)))
+                elif kind == "forecast" and (at is None or when < at):
+                    forecast, at, deadline = float(value), int(when), int(limit)
+            outcomes.sort()
+            first = next((x for x in outcomes if at is not None and x[0] >= at), None)
+            if first is not None:
+                status = "INVALID" if first[0] <= at else "MATURED" if first[0] <= deadline else "EXPIRED"
+                realized = first[1] if status == "MATURED" else None
+            elif at is not None:
+                status = "EXPIRED" if deadline * day < clock else "PENDING"
+            early = [x for x in outcomes if (at is None or x[0] < at) and x[0] * day >= clock]
+            outcomes = early if first is None else [*early, first]
+            if status == "NEW" and not outcomes:
+                if state.exists:
+                    state.remove()
+                return
+        state.update((forecast, at, deadline, status, realized, [x[0] for x in outcomes], [x[1] for x in outcomes]))
+        if status in ("PENDING", "NEW"):
+            state.setTimeoutTimestamp(max((deadline if status == "PENDING" else outcomes[-1][0]) * day, clock + 1))
         if status != "NEW":
             yield pd.DataFrame({"event_key": [key[0]], "status": [status], "forecast": [forecast], "realized": [realized]})
 
     out = "event_key string, status string, forecast double, realized double"
-    kept = "forecast double, at long, deadline long, status string, realized double"
+    kept = "forecast double, at long, deadline long, status string, realized double, whens array<long>, values array<double>"
     timed = events.withColumn("_time", F.timestamp_seconds(F.col("at") * 86_400)).withWatermark("_time", f"{lateness_days} days")
     states = timed.groupBy("event_key").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.EventTimeTimeout)
     run_available(states, lambda batch, n: write_batch(batch, place.table, n), place.progress, "update")

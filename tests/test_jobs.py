@@ -123,3 +123,16 @@ def test_ledger_timers(spark, monkeypatch):
     land(spark, landed, [forecast("new", 500)], EVENT)  # passes all deadlines
     again = {r.event_key: r.status for r in jobs.ledger_stream(spark, jobs.read_files(spark, landed, EVENT), place, 30).collect()}
     assert again == {**{k: s for k, (s, _) in want.items()}, "pending": "EXPIRED", "open": "EXPIRED", "new": "PENDING"}
+
+
+def test_ledger_whatever_the_order_of_files(spark):
+    """Outcomes that land before their forecast, and a first forecast that lands after a second one."""
+    landed, place = scratch(spark, "ledger"), jobs.Place.fresh(spark, "ledger")
+    land(spark, landed, [("a", "outcome", 110, None, 0.25), ("b", "forecast", 101, 161, 9.0), ("c", "outcome", 90, None, 1.0), ("d", "outcome", 95, None, 1.0)], EVENT)
+    land(spark, landed, [("a", "forecast", 100, 160, 0.5), ("b", "forecast", 100, 160, 0.5), ("c", "forecast", 100, 160, 0.5)], EVENT)
+    land(spark, landed, [("a", "outcome", 105, None, 0.75), ("b", "outcome", 120, None, 0.25)], EVENT)
+    got = {r.event_key: (r.status, r.forecast, r.realized) for r in jobs.ledger_stream(spark, jobs.read_files(spark, landed, EVENT), place, 30).collect()}
+    assert got == {"a": ("MATURED", 0.5, 0.75), "b": ("MATURED", 0.5, 0.25), "c": ("PENDING", 0.5, None)}
+    land(spark, landed, [("e", "forecast", 500, 560, 0.5)], EVENT)
+    got = {r.event_key: r.status for r in jobs.ledger_stream(spark, jobs.read_files(spark, landed, EVENT), place, 30).collect()}
+    assert got == {"a": "MATURED", "b": "MATURED", "c": "EXPIRED", "e": "PENDING"}
