@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import math
+
 import numpy as np
 import pytest
 
@@ -120,3 +122,11 @@ def test_choice_refit_and_one_test_evaluation(spark):
         assert got["test", best].mae == pytest.approx(errors(train | valid, late, float(best[6:])))
     tree = next(m for m in picked if m.startswith("boosted"))
     assert got["test", tree].rounds == got["validation", tree].rounds <= 20 and got["test", tree].rows == late.sum()
+
+
+def test_correlations_of_columns_that_do_not_vary(spark):
+    from meridian.plans.model_queries import correlations
+
+    x = spark.createDataFrame([(1.0, 1.0, None, 1.0, 0.5), (1.0, 2.0, None, float("inf"), 0.75), (1.0, 3.0, None, 2.0, 0.5)], "flat double, up double, gone double, wild double, y double")
+    got = {r.feature: r.correlation for r in correlations(x, ["flat", "up", "gone", "wild"], "y").collect()}
+    assert math.isnan(got["flat"]) and got["up"] == 0.0 and got["gone"] is None and math.isnan(got["wild"])
