@@ -24,6 +24,7 @@ def n_rows():
 
 
 def labels_of(t, horizon: int = 30) -> DataFrame:
+    t.stored("corp_events", "bars_daily")
     return forward_labels(t.corp_events, t.bars_daily, horizon)
 
 

@@ -193,3 +193,31 @@ def test_batches_are_bounded_and_in_order(spark):
     rows = spark.createDataFrame([(0, k, n) for k, n in enumerate(sizes)], "part int, chunk_id long, tokens int")
     got = sorted((r.chunk_id, r.batch) for r in packing.bounded_batches(rows, "part", 3, 12).collect())
     assert [b for _, b in got] == [0, 0, 1, 2, 3, 3, 3, 4, 4]
+
+
+def test_prior_events_over_days_and_within_a_day(spark):
+    """Priors equal those of one window over all events of a ticker and source; no task has all of a ticker's events."""
+    from pyspark.sql import Window
+
+    from meridian.operators import features
+
+    rows = [(f"e{k}", t, ("sec_filing", "earnings_call")[k % 3 == 0], f"{k:02d}", D(2024, 1, 1 + k // 4) if k < 20 else None, "10-K", "2024Q1", None if k % 5 == 0 else float(k)) for k in range(22) for t in ("A", None)]
+    x = spark.createDataFrame(rows, "event_key string, ticker string, event_source string, event_id string, event_date date, form_type string, fiscal_period string, v double")
+    order = ("event_date", "event_source", "event_id")
+    over = lambda *keys: Window.partitionBy(*keys).orderBy(*order)
+    gap = lambda *keys: F.datediff("event_date", F.lag("event_date").over(over(*keys)))
+    want = x.select("ticker", "event_key", gap("ticker"), gap("ticker", "event_source"), F.lag("v").over(over("ticker", "event_source")))
+    got = features.event_prior(features.calendar_features(x), "v")
+    names = "ticker event_key days_since_prior_company_event days_since_prior_source_event v_prior".split()
+    plain = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert plain(got.select(*names)) == plain(want)
+    windows = [line for line in features.calendar_features(x)._jdf.queryExecution().executedPlan().toString().splitlines() if "row_number()" in line and "Window" in line]
+    assert windows and all("event_date" in w.split("],")[1] for w in windows)
+
+
+def test_greatest_contributions(spark):
+    from meridian.operators import metrics
+
+    x = spark.createDataFrame([("e", 1.0, -3.0, 3.0, None)], "event_key string, a double, b double, c double, d double")
+    got = metrics.contributions(x, [(k, 0.0, 0.0, 1.0, 1.0) for k in "cbad"], first=3).orderBy("n").collect()
+    assert [(r.feature, r.contribution, r.n) for r in got] == [("b", -3.0, 1), ("c", 3.0, 2), ("a", 1.0, 3)]
