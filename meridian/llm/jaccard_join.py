@@ -345,27 +345,39 @@ def sharing(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, int, np.nda
             yield int(q_fp[a]), int(q_root[a]), fp[order], root[order]
 
 
-def settle(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between components among sets of open lists; `rows` are memberships.
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """Memberships of open lists by block (part, slice): those of sets that ask, and those of sets that are asked.
 
     Sets with one head are dealt to a part, to several if they are many. A part's sets ask the lists
-    that they are in; the members of these are dealt to slices of bounded size, so a list of any length
-    is asked in blocks of a part and a slice each. A first pass over the blocks names the sets that
-    share enough with another component; the second gets the texts of these alone, compares exactly and
-    emits links.
+    that they are in; the members of these are dealt to slices of bounded size by head, so that a list
+    lies in few of them. A membership asks only in slices that hold a member of its list, and all of an
+    asked set's memberships in a part are in one slice, so what two sets share meets in one block.
     """
     parts = max(1, math.ceil(rows.count() / BLOCK_ROWS))
     many = rows.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("split"))
-    deal = F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("fp"), F.col("split"))), F.lit(parts)).cast("int")
+    dealt = lambda split, n: F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("fp"), split)), n).cast("int")
     facts = ("list", "weight", "fp", "size", "below", "count", "spare", "root")
-    homes = materialize(rows.join(many, "head").select(*facts, deal.alias("part")), "homes")
-    ask = homes.where("NOT below")
+    homes = materialize(rows.join(many, "head").select("head", *facts, dealt(F.col("split"), F.lit(parts)).alias("part")), "homes")
+    ask = homes.where("NOT below").drop("head")
     told = materialize(homes.drop("part").join(ask.select("list", "part").distinct(), "list"), "told")
-    slices = F.broadcast(told.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("slices")))  # a row per part: a number per BLOCK_ROWS memberships
-    told = told.join(slices, "part").withColumn("slice", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
-    ask = ask.join(slices, "part").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    number = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")
+    # a row per part, and one per head of more rows than a block has: a number per BLOCK_ROWS memberships
+    slices = F.broadcast(told.groupBy("part").agg(number.alias("slices")))
+    wide = F.broadcast(told.groupBy("part", "head").agg(number.alias("wide")).where("wide > 1"))
+    told = told.join(slices, "part").join(wide, ["part", "head"], "left").withColumn("slice", dealt(F.coalesce("wide", F.lit(1)), F.col("slices")))
+    ask = ask.join(told.select("part", "slice", "list").distinct(), ["part", "list"])
+    block = ("part", "slice")
+    return told.select(*block, *facts, F.lit(False).alias("asks")).unionByName(ask.select(*block, *facts, F.lit(True).alias("asks")))
+
+
+def settle(rows: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components among sets of open lists; `rows` are memberships.
+
+    A first pass over the blocks names the sets that share enough with another component; the second
+    gets the texts of these alone, compares exactly and emits links.
+    """
     block = ("part", "slice")
-    blocks = told.select(*block, *facts, F.lit(False).alias("asks")).unionByName(ask.select(*block, *facts, F.lit(True).alias("asks")))
+    blocks = materialize(blocks_of(rows), "blocks")
 
     def screen(key: tuple, right: pd.DataFrame) -> pd.DataFrame:
         found: set[int] = set()
