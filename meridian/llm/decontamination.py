@@ -134,6 +134,12 @@ def canonical(texts: list[str | None], canon: Canon) -> Canonical:
     return Canonical(words, place, np.repeat(np.arange(len(texts)), sizes)[place], value[place] & ~FLAGS, name[place], (flags[place] & SLOT) > 0)
 
 
+def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether hashes hit a bit table (lowest bit first); it stays packed, since each task holds it."""
+    at = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 #: Kinds of windows; one without names is of both.
 TEMPLATE, LITERAL = 1, 2
 WINDOW = "hash bigint, pos int, slots array<string>, kind int"
@@ -145,9 +151,8 @@ def windows_of(source: DataFrame, widths: list[int], id_kind: str, table: np.nda
     With a bit table: windows of all widths that hit it. `whole`: only the width that fits the text
     (the first, or all words where there are fewer), and the number of the row's positions as `n`.
     """
-    shift = np.uint64(64 - TABLE_BITS)
 
-    def windows(texts: list[str | None], first: int, canon: Canon, bits: np.ndarray | None) -> list[tuple]:
+    def windows(texts: list[str | None], first: int, canon: Canon) -> list[tuple]:
         words, place, text, literal, name, typed = canonical(texts, canon)
         sizes = np.bincount(text, minlength=len(texts))
         ends = np.cumsum(sizes)
@@ -163,7 +168,7 @@ def windows_of(source: DataFrame, widths: list[int], id_kind: str, table: np.nda
             named = before[width:] > before[:m]
             for kind, hashes, is_slot in ((TEMPLATE, template, slotted), (LITERAL, literal, typed))[: 2 if some else 1]:
                 h = window_hashes(hashes, width) ^ np.uint64(width)
-                hit = inside if bits is None else inside & bits[(h >> shift).astype(np.int64)]
+                hit = inside if table is None else inside & in_table(table, h)
                 for p in np.flatnonzero(hit if kind == TEMPLATE else hit & named).tolist():
                     k, n = int(text[p]), int(sizes[text[p]])
                     slots = [surface(words[place[p + i]]) for i in np.flatnonzero(is_slot[p : p + width]).tolist()]
@@ -171,7 +176,7 @@ def windows_of(source: DataFrame, widths: list[int], id_kind: str, table: np.nda
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon, bits = Canon(), None if table is None else np.unpackbits(table).view(bool)
+        canon = Canon()
         for batch in batches:
             rows: list[tuple] = []
             texts: list[str | None] = []
@@ -180,10 +185,10 @@ def windows_of(source: DataFrame, widths: list[int], id_kind: str, table: np.nda
                 texts.append(item.as_py())
                 held += len(texts[-1] or "")
                 if whole or held >= TOGETHER:
-                    rows += windows(texts, first, canon, bits)
+                    rows += windows(texts, first, canon)
                     texts, held, first = [], 0, k + 1
             if texts:
-                rows += windows(texts, first, canon, bits)
+                rows += windows(texts, first, canon)
             cols = list(zip(*rows)) if rows else [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], names=["id", "hash", "pos", "slots", "kind", "n", "n_words"])
@@ -213,9 +218,8 @@ def contaminated(
     table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
     for r in packed.toLocalIterator():  # at most 2 ** 20 rows
         table[r["at"]] = r["bits"]
-    table = np.unpackbits(table.view(np.uint8), bitorder="little")
 
-    hits = windows_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), widths, kinds[1], np.packbits(table), False)
+    hits = windows_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), widths, kinds[1], table.view(np.uint8), False)
     item = known.select("hash", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("kind").alias("item_kind"), F.col("n").alias("n_windows"))
     matches = hits.select("id", "hash", "pos", "slots", "kind").join(item, "hash").where(F.size("slots") == F.size("item_slots"))
     forms, kind = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), F.col("kind").bitwiseAND(F.col("item_kind"))
