@@ -125,8 +125,8 @@ class Lm:
         out[valid] = p
         return out.reshape(y.shape)
 
-    def gradient(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss over the scored positions and its gradient."""
+    def gradient(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+        """Mean loss over the scored positions, which count with the weight of their window, and its gradient."""
         w, slope = self.views(flat), np.zeros_like(flat)
         g = self.views(slope)
         qkv, own = self.tables(w)
@@ -134,7 +134,9 @@ class Lm:
         valid = np.flatnonzero(y.ravel() >= 0)
         if not len(valid):
             return 0.0, slope
-        one, a2, mine = np.float32(1 / len(valid)), a.reshape(-1, HEAD)[valid], x[:, self.block :].ravel()[valid]
+        share = np.ones(len(valid), np.float32) if weight is None else weight[valid // y.shape[1]].astype(np.float32)
+        share /= share.sum()
+        a2, mine = a.reshape(-1, HEAD)[valid], x[:, self.block :].ravel()[valid]
         h = np.maximum(a2 @ w["attended"] + own[mine], 0)
         target = y.ravel()[valid]
         kind, order, starts = self._classes(target)
@@ -143,9 +145,9 @@ class Lm:
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         at = np.arange(len(z))
-        loss = -np.log(np.maximum(z[at, kind], 1e-30)).sum()
+        loss = -(share @ np.log(np.maximum(z[at, kind], 1e-30)))
         z[at, kind] -= 1
-        z *= one
+        z *= share[:, None]
         g["kind"][...], g["kind_shift"][...] = h.T @ z, z.sum(axis=0)
         dh = z @ w["kind"].T
         for c in range(self.classes):
@@ -157,13 +159,13 @@ class Lm:
                 np.exp(z, out=z)
                 z /= z.sum(axis=1, keepdims=True)
                 at, m = np.arange(len(rows)), target[rows] - c * MEMBERS
-                loss -= np.log(np.maximum(z[at, m], 1e-30)).sum()
+                loss -= share[rows] @ np.log(np.maximum(z[at, m], 1e-30))
                 z[at, m] -= 1
-                z *= one
+                z *= share[rows][:, None]
                 g["member"][c], g["member_shift"][c] = hc.T @ z, z.sum(axis=0)
                 dh[rows] += z @ w["member"][c].T
         rows = order[starts[self.classes] :]
-        loss -= self.tail[target[rows] - self.n_head].sum()
+        loss -= share[rows] @ self.tail[target[rows] - self.n_head]
         dh *= h > 0
         g["attended"][...], g["shift"][...] = a2.T @ dh, dh.sum(axis=0)
         da = np.zeros((y.size, HEAD), np.float32)
@@ -182,18 +184,18 @@ class Lm:
         d_own = sums_by(mine, dh, len(own))
         g["qkv"][...], g["own"][...] = w["embed"].T @ d_qkv, w["embed"].T @ d_own
         g["embed"][...] = d_qkv @ w["qkv"].T + d_own @ w["own"].T
-        return float(loss) * float(one), slope
+        return float(loss), slope
 
-    def train(self, flat: np.ndarray, z: np.ndarray, steps: int, batch: int, rate: float, seed: int) -> np.ndarray:
-        """Weights after `steps` steps of Adam from `flat`; z: windows."""
+    def train(self, flat: np.ndarray, z: np.ndarray, steps: int, batch: int, rate: float, seed: int, weight: np.ndarray | None = None) -> np.ndarray:
+        """Weights after `steps` steps of Adam from `flat`; z: windows, with a weight each."""
         flat, rng = flat.copy(), np.random.default_rng(seed)
         m, v, order, at = np.zeros_like(flat), np.zeros_like(flat), rng.permutation(len(z)), 0
         for t in range(1, steps + 1):
             if at >= len(z):
                 order, at = rng.permutation(len(z)), 0
-            rows = z[order[at : at + batch]]
+            rows = order[at : at + batch]
             at += batch
-            _, slope = self.gradient(flat, *self.inputs(rows))
+            _, slope = self.gradient(flat, *self.inputs(z[rows]), None if weight is None else weight[rows])
             m += np.float32(0.1) * (slope - m)
             v += np.float32(0.01) * (slope * slope - v)
             now = rate * (1 - 0.9 * (t - 1) / steps) * (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)

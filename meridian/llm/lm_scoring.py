@@ -7,10 +7,11 @@ once for all its occurrences in a task.
 
 1. Words of all texts are counted (each task counts, Spark adds up); the words' counts give those of the
    pieces. Both grow with the corpus.
-2. Slices of the texts to be learned from become training windows, dealt to parts, one for each
-   `part_bytes` of text. A part takes `steps` batches a round, so slices are thinned evenly to about
-   what it takes. A round trains the models in numpy on every part from the same weights; the mean of
-   the parts' weights starts the next.
+2. All texts to be learned from become training windows: the first pieces of every text for the model
+   between words, and for the one inside words the distinct words, each with the weight of its count. Windows are
+   dealt to parts, one for each `part_bytes` of text or `WORDS_PART` words. A round trains the models in numpy on
+   every part's share of windows for it from the same weights; the mean of the parts' weights starts the next. All
+   rounds together take every window once; a small part is gone through again for at least `steps` batches a round.
 3. Texts are cut into overlapping windows of a block of context and a block of scored positions, so
    that each piece is scored once; windows are scored in batches under a causal mask.
 
@@ -43,8 +44,10 @@ from meridian.llm.common import ASCII_LOWER, ascii_words, materialize, text_byte
 
 #: Words that a task counts before it sends counts on; windows and words scored at a time; words that a task knows.
 COUNTED, BATCH, GROUP, KNOWN = 1_000_000, 2048, 20_000, 1_000_000
-#: Blocks of both models: words behind each other, pieces in a word. Bytes of a training slice and of context before it.
-BETWEEN, WITHIN, SLICE, OVERLAP = 8, 4, 400, 60
+#: Blocks of both models: words behind each other, pieces in a word. Symbols (a multiple of BETWEEN) of a row of a text to train on.
+BETWEEN, WITHIN, RUN = 8, 4, 4096
+#: Distinct words for a training part.
+WORDS_PART = 300_000
 WORD_BYTES = 64
 
 
@@ -159,38 +162,90 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     return {bytes(w): c for w, c in short.where(F.col("level") >= least).select("word", "c").collect()}
 
 
-def training_windows(texts: DataFrame, path: str, pattern: str, parts: int, stride: int) -> DataFrame:
-    """Rows (part, between, within): packed windows of every `stride`-th slice of the texts to learn from, dealt in turn."""
+class First(dict):
+    """Word -> its first piece."""
+
+    def __init__(self, encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        piece = self[word] = pieces_of(word, self.encoder)[0]
+        return piece
+
+
+DEALT = "part int, line binary, weight binary"
+
+
+def dealt_rows(part: list[int], line: list[bytes], weight: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(line, pa.binary()), pa.array(weight, pa.binary())], names=["part", "line", "weight"])
+
+
+def training_lines(texts: DataFrame, path: str, pattern: str, parts: int) -> DataFrame:
+    """Rows (part, line, no weight): the first pieces of all texts to learn from, in runs dealt in turn.
+
+    A run starts with 1 if the block before it, which is context alone, was put in front, else with 0.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (encoder, end), turn = vocabulary(path, pattern), TaskContext.get().partitionId() * 7919
+        first = First(encoder)
         for batch in batches:
-            between, within, part = [], [], []
+            part, lines = [], []
             for item in batch.column(0):
-                raw = (item.as_py() or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER)
-                for at in range(0, len(raw) + 1, SLICE):
+                words = ascii_words(item.as_py(), lower=True)
+                line = np.full(len(words) + 2, end, np.uint16)
+                line[1:-1] = np.fromiter(map(first.__getitem__, words), np.uint16, len(words))
+                for at in range(0, len(line) - 1, RUN):
                     turn += 1
-                    if turn % stride:
-                        continue
-                    first, last = max(0, at - OVERLAP), at + SLICE
-                    words = raw[first:last].split()
-                    # words at a cut may lack an end
-                    some = [pieces_of(w, encoder) for w in words[first > 0 : len(words) - (last < len(raw))]]
-                    line = [end] * (at == 0) + [x[0] for x in some] + [end] * (last >= len(raw))
-                    if len(line) < 2:  # inside one long word
-                        continue
-                    z = windows(np.array(line, np.uint16), BETWEEN)
-                    between.append((z[1:] if at else z).tobytes())
-                    within.append(word_windows(some, end)[0].tobytes())
-                    part.append(turn // stride % parts)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(between, pa.binary()), pa.array(within, pa.binary())], names=["part", "between", "within"])
-
-    return texts.where("learn").select("text").mapInArrow(cut, "part int, between binary, within binary")
-
-
-def trained(lm: Lm, dealt: DataFrame, column: str, parts: int, rounds: int, steps: int, batch: int, rate: float, seed: int) -> np.ndarray:
-    """Weights after `rounds` rounds in which every part trains on its share of windows for that round.
+                    part.append(turn % parts)
+                    lines.append(np.append(np.uint16(at > 0), line[max(at - BETWEEN, 0) : at + RUN + 1]).tobytes())
+            yield dealt_rows(part, lines, [None] * len(part))
+
+    return texts.where("learn").select("text").mapInArrow(cut, DEALT)
+
+
+def line_windows(lines: list[bytes], _: list) -> tuple[np.ndarray, None]:
+    runs = (np.frombuffer(x, np.uint16) for x in lines)
+    return np.concatenate([windows(x[1:], BETWEEN)[x[0] :] for x in runs]), None
+
+
+def training_words(counts: DataFrame, path: str, pattern: str, parts: int, most: int) -> DataFrame:
+    """Rows (part, line, weight): the windows inside all words to learn from, dealt in turn; their weights add up to the words' counts.
+
+    A window weighs `most` at most; those of a more frequent word come several times.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (encoder, end), turn = vocabulary(path, pattern), TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = batch.column(1).to_numpy()
+            times = -(-c // most)
+            z, owner = word_windows([pieces_of(w, encoder) for w in batch.column(0).to_pylist()], end)
+            at = np.repeat(np.arange(len(z)), times[owner])
+            weight = (c / times)[owner[at]].astype(np.float32)
+            of = (turn + np.arange(len(at))) % parts
+            turn += len(at)
+            order = np.argsort(of, kind="stable")
+            some, first = np.unique(of[order], return_index=True)
+            groups = np.split(order, first[1:])
+            yield dealt_rows(some.tolist(), [z[at[g]].tobytes() for g in groups], [weight[g].tobytes() for g in groups])
+
+    return counts.where((F.col("c") > 0) & (F.octet_length("word") > 0)).select("word", "c").mapInArrow(cut, DEALT)
+
+
+def inner_windows(lines: list[bytes], weights: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(lines), np.uint16).reshape(-1, 2 * WITHIN + 1), np.frombuffer(b"".join(weights), np.float32)
+
+
+def trained(lm: Lm, dealt: DataFrame, unpack, parts: int, rounds: int, steps: int, batch: int, rate: float, seed: int) -> np.ndarray:
+    """Weights after `rounds` rounds in which every part trains on its share of windows for that round, all of it.
 
+    `unpack` makes windows and weights from the lines and weights of a part.
     The parts' weights are added up in pieces of bounded length, at most 256 parts at a time.
     """
     weights = lm.start(seed)
@@ -200,10 +255,12 @@ def trained(lm: Lm, dealt: DataFrame, column: str, parts: int, rounds: int, step
     for turn in range(rounds):
 
         def fit(key: tuple, group: pa.Table) -> pa.Table:
-            rows = sorted(group.column(column).to_pylist())  # one order, however rows arrive
-            z = np.frombuffer(b"".join(rows), np.uint16).reshape(-1, 2 * lm.block + 1)
-            mine = z[turn::rounds] if len(z) >= rounds * batch * steps // 2 else z
-            flat = np.append(lm.train(weights, mine, steps, batch, rate / (1 + turn), seed + turn), 1.0).astype(np.float64)
+            rows = sorted(zip(group.column("line").to_pylist(), group.column("weight").to_pylist()), key=lambda r: (r[0], r[1] or b""))  # one order, however rows arrive
+            z, weight = unpack(*map(list, zip(*rows)))
+            mine = slice(turn, None, rounds) if len(z) >= rounds * batch * steps // 2 else slice(None)
+            z, weight = z[mine], None if weight is None else weight[mine]
+            flat = lm.train(weights, z, max(steps, -(-len(z) // batch)), batch, rate / (1 + turn), seed + turn, weight)
+            flat = np.append(flat, 1.0).astype(np.float64)
             at = range(0, len(flat), slab)
             return pa.table({"part": pa.array([key[0].as_py()] * len(at), pa.int32()), "slab": pa.array([k // slab for k in at], pa.int32()), "w": pa.array([flat[k : k + slab].tobytes() for k in at], pa.binary())})
 
@@ -212,7 +269,7 @@ def trained(lm: Lm, dealt: DataFrame, column: str, parts: int, rounds: int, step
             return pa.table({"part": pa.array([key[1].as_py()], pa.int32()), "slab": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([total.tobytes()], pa.binary())})
 
         form = "part int, slab int, w binary"
-        made, left = dealt.select("part", column).groupBy("part").applyInArrow(fit, form), parts
+        made, left = dealt.groupBy("part").applyInArrow(fit, form), parts
         while left > 1:
             left = -(-left // 256)
             made = made.groupBy("slab", F.floor(F.col("part") / 256).cast("int").alias("up")).applyInArrow(add, form)
@@ -230,7 +287,7 @@ def lm_scores(
     path: str,
     pattern: str,
     head_words: int = 200_000,
-    part_bytes: int = 200_000_000,
+    part_bytes: int = 50_000_000,
     rounds: int = 3,
     steps: tuple[int, int] = (100, 300),
     batch: int = 512,
@@ -241,7 +298,7 @@ def lm_scores(
 ) -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score).
 
-    `learn` says which rows are learned from; `steps` are those of both models (between words, inside words); `path` and `pattern` are a rank file of a byte-level tokenizer and
+    `learn` says which rows are learned from; `steps` are the least batches a round of both models (between words, inside words); `path` and `pattern` are a rank file of a byte-level tokenizer and
     its pattern.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -255,10 +312,11 @@ def lm_scores(
     first, every, more = piece_counts(counts, path, pattern, ends)
     between, within = Lm(BETWEEN, first, first, hidden=32), Lm(WITHIN, more, every)
     parts = max(1, round(text_bytes(docs, text_col) / part_bytes))
-    stride = max(1, int(total) // (2 * parts * rounds * steps[1] * batch))
-    dealt = materialize(training_windows(texts, path, pattern, parts, stride), "windows")
-    w_between = trained(between, dealt, "between", parts, rounds, steps[0], batch, rate, seed)
-    w_within = trained(within, dealt, "within", parts, rounds, steps[1], 2 * batch, rate, seed)
+    lines = materialize(training_lines(texts, path, pattern, parts), "lines")
+    w_between = trained(between, lines, line_windows, parts, rounds, steps[0], batch, rate, seed)
+    parts = max(1, round(distinct / WORDS_PART))
+    words = materialize(training_words(counts, path, pattern, parts, max(1, 4 * total // max(distinct, 1))), "inner-windows")
+    w_within = trained(within, words, inner_windows, parts, rounds, steps[1], 2 * batch, rate, seed)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = vocabulary(path, pattern)
