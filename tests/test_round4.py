@@ -41,3 +41,17 @@ def test_bars_read_line_items_once(spark):
         assert sum("FileScan" in line and "l_shipdate" in line for line in plan_of(got).splitlines()) == 1
         assert plain(got) == plain(t.sql(BINDINGS[name])) and got.schema == t.sql(BINDINGS[name]).schema
 
+
+
+def test_parts_of_tree_tables_are_bounded(spark, monkeypatch):
+    import numpy as np
+
+    from meridian.operators import models
+    from meridian.sources.workspace import written
+
+    monkeypatch.setattr(models, "PART_ROWS", 100)
+    rows = written(spark.range(1000).selectExpr("CAST(id AS STRING) AS event_key", "CAST(id AS DOUBLE) AS y", "array(CAST(id AS DOUBLE)) AS x", "array(IF(id < 900, 1, 0)) AS roles"), "rows")
+    one = np.zeros((1, 1))
+    x = models.vectors(rows, models.Inputs(one, one, np.zeros((1, 2)), np.ones((1, 2))), 0)
+    sizes = x.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()
+    assert sum(sizes) == 900 and len(sizes) == 9 and max(sizes) < 200
