@@ -45,14 +45,9 @@ def visible_text(html: str | None) -> str:
 
 
 def html_to_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Rows (id, text) of pages, parsed batch by batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([visible_text(h.as_py()) for h in batch.column(1)], pa.string())], names=[id_col, "text"])
-
-    source = pages.select(id_col, html_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, text string")
+    """Rows (id, text) of pages. A worker gets a hundred pages at a time, so its memory does not depend on the size of a partition or of an Arrow batch."""
+    parse = F.udf(visible_text, "string", useArrow=False).asNondeterministic()  # parsed once, however often the text is used
+    return pages.select(id_col, parse(html_col).alias("text"))
 
 
 #: By form and section the pattern of the heading that starts it and those of headings that end it.

@@ -71,3 +71,11 @@ def test_names_in_questions(spark):
             if m := re.search(r"(?<!\w)" + re.escape(a) + r"(?!\w)", (q or "").lower()):
                 want.add((k, t, m.start()))
     assert {tuple(r) for r in got.select("turn_id", "ticker", F.col("pos").cast("int")).collect()} == want and len(want) == 9
+
+
+def test_pages_are_parsed_once_and_by_hundreds(spark):
+    rows = spark.range(3).select(F.col("id").alias("page_id"), F.lit("<p>a&amp;b</p>").alias("html"))
+    text = html.html_to_text(rows, "page_id", "html").where("length(text) > 1").select("page_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "InArrow" not in plan and "ArrowEvalPython" not in plan
+    assert [r.n for r in text.collect()] == [3, 3, 3]
