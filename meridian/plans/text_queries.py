@@ -95,7 +95,8 @@ def f3(t):
   c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_key ORDER BY position DESC) AS k FROM b WHERE n >= 0.4 * longest) SELECT doc_id, section_key, CAST(position AS INT) AS position, CAST(n AS INT) AS length, md5(content) AS digest FROM c WHERE k = 1""",
 )
 def f4(t):
-    return html.best_candidate(candidates(t)).select("doc_id", "section_key", "position", "length", F.md5("content").alias("digest"))
+    found = candidates(t).select("doc_id", "section_key", "position", "length", "toc", F.md5("content").alias("digest"))  # contents are not shuffled
+    return html.best_candidate(found).select("doc_id", "section_key", "position", "length", "digest")
 
 
 @query(
