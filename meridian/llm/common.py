@@ -58,7 +58,7 @@ def tasks_for(spark: SparkSession, at_least: int = 1) -> int:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, filled on demand and emptied when it has `limit` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

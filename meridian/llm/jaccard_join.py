@@ -422,7 +422,7 @@ def weak_pairs(facts: DataFrame, docs: DataFrame, n: int, fits) -> DataFrame:
     """Pairs that share a token and have a weak set in them; nearly always there is no such set."""
     weak = facts.where("weak = 1").select("fp").distinct()
     if weak.isEmpty():
-        return docs.sparkSession.createDataFrame([], "u bigint, v bigint")
+        return weak.where("false").select(F.col("fp").alias("u"), F.col("fp").alias("v"))  # rows made by the driver would start Python workers of another kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

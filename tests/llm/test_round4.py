@@ -84,3 +84,11 @@ def test_weights_stand_for_repeated_windows():
     times = np.arange(1, len(z) + 1)
     one, many = made.gradient(flat, *made.inputs(z), times.astype(np.float32)), made.gradient(flat, *made.inputs(np.repeat(z, times, axis=0)))
     assert abs(one[0] - many[0]) < 1e-4 and np.allclose(one[1], many[1], atol=1e-5)
+
+
+def test_without_weak_sets_the_driver_makes_no_rows(spark):
+    """Rows handed over by the driver start Python workers of another kind on every executor."""
+    facts = spark.range(2).selectExpr("id AS fp", "0 AS weak")
+    pairs = jj.weak_pairs(facts, spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), 5, None)
+    assert pairs.collect() == [] and pairs.columns == ["u", "v"]
+    assert "ExistingRDD" not in pairs._jdf.queryExecution().executedPlan().toString()
