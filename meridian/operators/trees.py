@@ -103,6 +103,13 @@ class Codes:
         return out
 
 
+def between(v: np.ndarray) -> np.ndarray:
+    """The middles of neighbouring values; the lower one where either is infinite."""
+    with np.errstate(invalid="ignore"):
+        middle = v[:-1] + (v[1:] - v[:-1]) / 2
+    return np.where(np.isfinite(middle), middle, v[:-1])
+
+
 def learn_codes(rows: DataFrame, fits: int, features: int) -> Codes:
     """Ranges between neighbouring values where these are few, else between quantiles; a value that spans a whole range is one by itself."""
     share = np.arange(1, BINS)[:, None, None] / BINS
@@ -115,8 +122,7 @@ def learn_codes(rows: DataFrame, fits: int, features: int) -> Codes:
         ends.append([])
         for f in range(features):
             if (k, f) in few:
-                v = few[k, f]
-                ends[k].append(v[:-1] + (v[1:] - v[:-1]) / 2)
+                ends[k].append(between(few[k, f]))
             elif not n[k, f]:
                 ends[k].append(np.zeros(0))
             else:

@@ -105,6 +105,12 @@ def test_ranges_are_quantiles_of_all_values(spark):
     assert (codes.of(x, 0)[0, :50] == trees.GONE).all() and codes.middle[0, 0] == np.searchsorted(codes.ends[0][0], np.median(v))
 
 
+def test_infinite_values_are_ranges_of_their_own():
+    v = np.array([-np.inf, -1.0, 2.0, np.inf])
+    assert trees.between(v).tolist() == [-np.inf, 0.5, 2.0]
+    assert trees.Codes([[trees.between(v)]], np.zeros((1, 1), int)).of(v[:, None], 0).tolist() == [[0, 1, 2, 3]]
+
+
 def test_a_forest_learns_and_is_the_same_again(spark):
     x, y, roles = sample(4, 2000)
     rows = frame(spark, x, y, roles)
